@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftworks.llm.simhash import simhash_components
+from siftworks.llm.substring_dedup import remove_repeated_windows
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents`: words left after removing every repeated window of 35 words."""
+    found = remove_repeated_windows(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents`: fingerprint and the least doc_id reachable over links of two bits or fewer."""
     found = simhash_components(_read(spark, sf_dir, "documents"))
@@ -20,6 +27,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
