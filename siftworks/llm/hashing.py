@@ -12,6 +12,9 @@ import numpy as np
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: All ASCII but letters and digits; bytes of longer characters belong to words.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
 # Odd bases of the rolling hashes and their inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
@@ -54,14 +57,14 @@ def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
 class Words:
     """The words of a batch: byte spans, and for each text the range of its words."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], space: np.ndarray = _SPACE):
         self.joined = b"\n".join(texts)
         self.bytes = np.frombuffer(self.joined, dtype=np.uint8)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.text_starts = np.concatenate([[0], np.cumsum(lengths + 1)])[: len(texts)].astype(np.int64)
         self.text_ends = self.text_starts + lengths
         solid = np.zeros(len(self.bytes) + 2, dtype=np.int8)
-        solid[1:-1] = ~_SPACE[self.bytes]
+        solid[1:-1] = ~space[self.bytes]
         edges = np.flatnonzero(np.diff(solid))
         self.starts, self.ends = edges[::2], edges[1::2]
         self.first = np.searchsorted(self.starts, self.text_starts)  # first word of each text

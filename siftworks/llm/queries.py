@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftworks.llm.decontamination import find_leaks
+from siftworks.llm.mixing import mix, n_words
 from siftworks.llm.simhash import simhash_components
 from siftworks.llm.substring_dedup import remove_repeated_windows
 from siftworks.llm import toxicity
@@ -15,6 +17,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents` against whole `benchmark`: each leaking document and item with its best window."""
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents`: words left after removing every repeated window of 35 words."""
     found = remove_repeated_windows(_read(spark, sf_dir, "documents"))
@@ -27,6 +34,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents`: words each document puts into the mix."""
+    docs = _read(spark, sf_dir, "documents")
+    found = mix(docs.select(F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size")))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from; a null doc_id is not one of them."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -44,8 +58,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {}
