@@ -114,6 +114,7 @@ def mix(sizes: DataFrame, most: float = MOST, group: int = GROUP) -> DataFrame:
     rate = F.when(full, F.lit(most)).otherwise(_rate(F.col("tilt"), F.col("size") / F.col("scale"), most))
     mark = F.xxhash64("id", "size")
     dealt = rows.join(solved, "key").select("id", "key", "size", rate.alias("rate"), mark.alias("mark"), F.pmod(mark, F.ceil(F.col("n_docs") / group)).alias("part"))
+    scratch.hold()
     whole = int(most)
     kind = dict(rows.dtypes)["id"]
     copies = dealt.groupBy("key", "part").applyInPandas(lambda pdf: _round(pdf, whole), f"id {kind}, key string, size long, rate double, copies long")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftworks.llm.decontamination import find_leaks
 from siftworks.llm.mixing import mix, n_words
+from siftworks.llm.pii import as_string, find_pii
+from siftworks.llm.scratch import Scratch
 from siftworks.llm.simhash import simhash_components
 from siftworks.llm.substring_dedup import remove_repeated_windows
 from siftworks.llm import toxicity
@@ -17,6 +19,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents`: base spans by kind, and all spans with those that weak supervision adds."""
+    scratch = Scratch(spark)
+    found = find_pii(_read(spark, sf_dir, "documents"), scratch, keep=["doc_id"])
+    base = F.col("pii_base")
+    counts = [F.size(F.filter(base["kind"], lambda kind: kind == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    scratch.hold()
+    return found.select("doc_id", *counts, F.sha2(as_string(base).cast("binary"), 256).alias("base_sha256"), as_string(F.col("pii_spans")).alias("spans"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents` against whole `benchmark`: each leaking document and item with its best window."""
     return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -58,6 +70,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,

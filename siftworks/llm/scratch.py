@@ -61,6 +61,11 @@ class Scratch:
         _results.append(self)
         return out
 
+    def hold(self) -> None:
+        """Keep all present tables until the process ends: a lazy result reads them."""
+        self._kept |= self._names
+        _results.append(self)
+
     def drop(self, *names: str) -> None:
         for name in names:
             if name in self._names:

@@ -171,5 +171,6 @@ def remove_repeated_windows(
     cells = scratch.table("cells", repeated_cells(text.mapInArrow(_sketch(plan), EXCHANGE_SCHEMA)))
     keys = text.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(_keys(plan), EXCHANGE_SCHEMA)
     found = scratch.table("found", keys.groupBy("slice").applyInArrow(_exact, EXCHANGE_SCHEMA))
+    scratch.hold()
     told = cells.unionByName(found)
     return text.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_strip(plan), "doc_id long, n_words long, n_removed long, kept string")
