@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftworks.llm.decontamination import find_leaks
+from siftworks.llm.gif import media_digests, text_to_gif
 from siftworks.llm.mixing import mix, n_words
 from siftworks.llm.pii import as_string, find_pii
 from siftworks.llm.scratch import Scratch
@@ -46,6 +47,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents`: each text stored as a GIF and read back."""
+    return media_digests(text_to_gif(_read(spark, sf_dir, "documents")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents`: words each document puts into the mix."""
     docs = _read(spark, sf_dir, "documents")
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_gif": op6_gif,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
 }
