@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftworks.llm.decontamination import find_leaks
 from siftworks.llm.gif import media_digests, text_to_gif
+from siftworks.llm.html_extraction import default_model, extract_text
 from siftworks.llm.mixing import mix, n_words
 from siftworks.llm.pii import as_string, find_pii
 from siftworks.llm.scratch import Scratch
@@ -75,6 +76,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `pages`: main text of every page."""
+    found = extract_text(_read(spark, sf_dir, "pages"), default_model())
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -83,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_gif": op6_gif,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}
