@@ -209,6 +209,11 @@ class _Writer:
         r = self.r
         return " ".join((w := self.words(1, r.choice((4, 10, 20))))[:1].upper() + w[1:] + r.choice((".", ".", ".", "!", "?", ",")) for _ in range(r.randint(low, high)))
 
+    def plain(self) -> str:
+        """Text without punctuation: notes, lists in a row, one word over and over."""
+        r = self.r
+        return self.words(2, r.choice((6, 40, 120))) if r.random() < 0.6 else " ".join(" ".join([self.words(1, 1)] * r.randint(3, 60)) for _ in range(r.randint(1, 5)))
+
     def link(self, low: int = 1, high: int = 3) -> str:
         return f'<a href="/{self.r.randint(1, 999)}">{self.words(low, high)}</a>'
 
@@ -265,9 +270,10 @@ class _Writer:
     def content(self) -> str:
         r = self.r
         parts = [f"<h1>{self.words(2, 9)}</h1>"] if r.random() < 0.75 else []
+        prose = r.choice((1.0, 1.0, 0.95, 0.8, 0.0))
         for _ in range(r.choice((1, 2, 3, 5, 8, 14))):
             k = r.random()
-            text = self.sentences(1, r.choice((1, 3, 8, 20)))
+            text = self.sentences(1, r.choice((1, 3, 8, 20))) if r.random() < prose else self.plain()
             if r.random() < 0.2:
                 text = text.replace(" ", f" {self.link(1, 3)} ", 1)
             if k < 0.72:
