@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from siftworks.llm.scratch import Scratch
 
 MOST = 3.0
-GROUP = 20_000  # documents that are rounded together, about
+GROUP = 500  # documents that are rounded together, about
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
