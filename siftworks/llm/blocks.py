@@ -92,23 +92,25 @@ def exchange_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _EXCHANGE.types, strict=True)], schema=_EXCHANGE)
 
 
-def repeated_cells(cells: DataFrame) -> DataFrame:
+def repeated_cells(cells: DataFrame, hot: int = 0, hot_kind: int = -1) -> DataFrame:
     """Counting cells (kind, slice, block, packed cells) -> the same, with only cells counted twice or more.
 
     One group is one slice of one row of the sketch; merging the blocks' sketches is the sum of
-    their counts, taken here cell by cell.
+    their counts, taken here cell by cell.  With hot, cells counted more often than that are given
+    a second time, as hot_kind.
     """
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack_ints(d.as_py()) for d in table.column("data")]
         together = np.sort(np.concatenate(parts), kind="stable")
         often = np.unique(together[1:][together[1:] == together[:-1]])
+        crowded = np.unique(together[hot:][together[hot:] == together[: max(0, len(together) - hot)]]) if hot else often[:0]
         out = []
-        if len(often):
-            for part, kind, sl, block in zip(parts, *(table.column(n).to_pylist() for n in ("kind", "slice", "block")), strict=True):
-                at = np.minimum(np.searchsorted(often, part), len(often) - 1)
-                if len(hit := np.unique(part[often[at] == part])):
-                    out.append((kind, sl, block, pack_ints(hit)))
+        for part, kind, sl, block in zip(parts, *(table.column(n).to_pylist() for n in ("kind", "slice", "block")), strict=True):
+            if len(hit := np.unique(part[is_member(often, part)])):
+                out.append((kind, sl, block, pack_ints(hit)))
+                if len(hit := hit[is_member(crowded, hit)]):
+                    out.append((hot_kind, sl, block, pack_ints(hit)))
         return pa.Table.from_batches([exchange_rows(out)])
 
     return cells.groupBy("kind", "slice").applyInArrow(run, EXCHANGE_SCHEMA)

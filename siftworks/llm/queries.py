@@ -14,6 +14,7 @@ from siftworks.llm.pii import as_string, find_pii
 from siftworks.llm.scratch import Scratch
 from siftworks.llm.simhash import simhash_components
 from siftworks.llm.substring_dedup import remove_repeated_windows
+from siftworks.llm.suffix_dedup import remove_earlier_strings
 from siftworks.llm import toxicity
 
 
@@ -42,6 +43,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents`: bytes left after removing 50-byte strings that smaller doc_ids hold."""
+    found = remove_earlier_strings(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents`: fingerprint and the least doc_id reachable over links of two bits or fewer."""
     found = simhash_components(_read(spark, sf_dir, "documents"))
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_gif": op6_gif,
     "op7_mixing": op7_mixing,
