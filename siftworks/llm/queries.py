@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siftworks.llm.decontamination import find_leaks
 from siftworks.llm.gif import media_digests, text_to_gif
 from siftworks.llm.html_extraction import default_model, extract_text
+from siftworks.llm.licenses import scan_licenses
 from siftworks.llm.mixing import mix, n_words
 from siftworks.llm.pii import as_string, find_pii
 from siftworks.llm.scratch import Scratch
@@ -83,6 +84,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents`: license templates each document holds."""
+    found = scan_licenses(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "first_word", "n_words", "containment")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `pages`: main text of every page."""
     found = extract_text(_read(spark, sf_dir, "pages"), default_model())
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_gif": op6_gif,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}
