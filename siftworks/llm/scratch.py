@@ -66,6 +66,11 @@ class Scratch:
         self._kept |= self._names
         _results.append(self)
 
+    def hold_only(self, *names: str) -> None:
+        """Keep these tables beyond the block, and no others."""
+        self._kept = set(names)
+        _results.append(self)
+
     def drop(self, *names: str) -> None:
         for name in names:
             if name in self._names:

@@ -223,3 +223,17 @@ def score(docs: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(kind)), pa.array(shared, pa.list_(pa.string()))], names=["doc_id", "score", "neighbours", "shared_terms"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORE_SCHEMA)
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
+    """docs without the rows whose score is threshold or more; columns unchanged."""
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see Model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            scores = [m.score(m.vote_of(*m.nearest(*m.vector(text.as_py()), k))) for text in batch.column(at)]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
