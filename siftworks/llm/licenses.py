@@ -3,12 +3,10 @@
 Texts and templates are lower-cased runs of letters and digits.  For a template of n words, windows
 have n + n // 4 words and start every n // 4 (at least one) words, so wherever a copy of the template
 stands, a window holds all of it.  Windows and templates have MinHash signatures over five-word
-shingles, cut into BANDS bands of ROWS rows.  A window with a whole copy has a similarity of at
-least 0.75 to its template for long ones and 0.5 for one of five words: with 20 bands of 2 rows the
-chance that no band agrees is below 1e-7 and 4e-3; with a containment of 0.8 the similarity is at
-least 0.55 and the chance below 1e-3.  Short templates (of one or two shingles) use 64 bands of one row
-(chance below 1e-12).  Windows in a shared band are verified: a match has a containment - the share
-of the template's shingles that are in the window - of at least CONTAINMENT.
+shingles in BANDS bands of one row.  A window that holds a whole copy has a Jaccard similarity of
+at least 0.5 to its template, one with a containment of 0.8 at least 0.4: the chance that no band
+agrees is below 6e-8 and 5e-6.  Windows in a shared band are verified: a match has a containment -
+the share of the template's shingles that are in the window - of at least CONTAINMENT.
 
 Windows are formed only around cue words.  Each template has cues in more than 1 - CONTAINMENT of
 its shingles (checked when templates are read), so a match always has a cue in it.
@@ -24,9 +22,7 @@ from siftworks.llm.scratch import Scratch
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS, ROWS = 20, 2
-SHORT_BANDS = 64
-SHORT_SHINGLES = 2
+BANDS = 24
 # Public license notices and the words that mark them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -70,7 +66,8 @@ class Templates:
                 raise ValueError(f"template {name} could match without a cue")
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(n, w, len(w)) for n, w in self.words.items()], "license string, words array<string>, size int")
+        rows = F.array(*(F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, w)).alias("words"), F.lit(len(w)).alias("size")) for n, w in self.words.items()))
+        return spark.range(1).select(F.inline(rows))
 
 
 def _shingles(words: Column) -> Column:
@@ -79,11 +76,10 @@ def _shingles(words: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ")))
 
 
-def _bands(shingles: Column, bands: int, rows: int) -> Column:
-    """MinHash signature cut into bands: array of keys, one for each band."""
+def _bands(shingles: Column) -> Column:
+    """One MinHash value for each band."""
     hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    least = lambda t: F.array_min(F.transform(hashes, lambda h: F.xxhash64(F.lit(t), h)))
-    return F.array(*(F.xxhash64(F.lit(b), *(least(b * rows + r) for r in range(rows))) for b in range(bands)))
+    return F.transform(F.array(hashes), lambda h: F.array(*(F.array_min(F.transform(h, lambda x: F.xxhash64(F.lit(t), x))) for t in range(BANDS))))[0]
 
 
 def scan_licenses(docs: DataFrame, templates: Templates | None = None, containment: float = CONTAINMENT) -> DataFrame:
@@ -96,7 +92,7 @@ def scan_licenses(docs: DataFrame, templates: Templates | None = None, containme
     """
     spark = docs.sparkSession
     known = templates or Templates()
-    made = known.frame(spark).withColumn("t_shingles", _shingles(F.col("words"))).select("license", "size", "t_shingles")
+    made = known.frame(spark).withColumn("t_shingles", _shingles(F.col("words"))).select("license", F.col("size").alias("t_size"), "t_shingles")
     cue = f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(known.cues)})(?![\\p{{L}}\\p{{N}}])"
     low = F.lower("text")
     cued = docs.where(low.rlike(cue)).select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(F.split(low, _BREAK), lambda w: w != "").alias("words"))
@@ -105,21 +101,21 @@ def scan_licenses(docs: DataFrame, templates: Templates | None = None, containme
     scratch = Scratch(spark)
     cued = scratch.table("cued", cued.withColumn("places", places))  # one scan of the texts, few of which have a cue
     scratch.hold()
-    found = None
-    for size in sorted({len(w) for w in known.words.values()}):
-        step = max(1, size // 4)
-        length = size + step
-        numbers = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - length + 1) / step)).cast("int"), F.floor(p / step).cast("int")))))
-        windows = cued.select("doc_id", "words", F.explode(numbers).alias("k")).select("doc_id", (F.col("k") * step).alias("first_word"), F.slice("words", F.col("k") * step + 1, F.lit(length)).alias("window"))
-        windows = windows.withColumn("w_shingles", _shingles(F.col("window")))
-        shape = (SHORT_BANDS, 1) if size - SHINGLE + 1 <= SHORT_SHINGLES else (BANDS, ROWS)
-        of_size = made.where(F.col("size") == size)
-        left = windows.select("*", F.posexplode(_bands(F.col("w_shingles"), *shape)).alias("band", "key"))
-        right = of_size.select("*", F.posexplode(_bands(F.col("t_shingles"), *shape)).alias("band", "key"))
-        pairs = left.join(F.broadcast(right), ["band", "key"])  # as many rows as templates have bands: fixed
-        shared = F.size(F.array_intersect("t_shingles", "w_shingles")) / F.size("t_shingles")
-        checked = pairs.withColumn("containment", shared).where(F.col("containment") >= containment)
-        part = checked.select("doc_id", "license", "first_word", F.size("window").alias("n_words"), "containment", F.array_join("window", " ").alias("evidence"))
-        found = part if found is None else found.unionByName(part)
+    shapes = F.array(*(F.struct(F.lit(n).alias("size"), F.lit(max(1, n // 4)).alias("step"), F.lit(n + max(1, n // 4)).alias("length")) for n in sorted({len(w) for w in known.words.values()})))
+
+    def windows_of(shape: Column) -> Column:
+        step, length = shape["step"], shape["length"]
+        around = lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - length + 1) / step)).cast("int"), F.floor(p / step).cast("int"))
+        numbers = F.array_distinct(F.flatten(F.transform("places", around)))
+        return F.transform(numbers, lambda k: F.struct(shape["size"].alias("size"), (k * step).alias("first_word"), F.slice("words", k * step + 1, length).alias("window")))
+
+    windows = cued.select("doc_id", F.inline(F.flatten(F.transform(shapes, windows_of)))).withColumn("w_shingles", _shingles(F.col("window")))
+    left = windows.select("*", F.posexplode(_bands(F.col("w_shingles"))).alias("band", "key"))
+    right = made.select("*", F.posexplode(_bands(F.col("t_shingles"))).alias("band", "key"))
+    on = (left.size == right.t_size) & (left.band == right.band) & (left.key == right.key)
+    pairs = left.join(F.broadcast(right), on)  # as many rows as templates have bands: fixed
+    shared = F.size(F.array_intersect("t_shingles", "w_shingles")) / F.size("t_shingles")
+    found = pairs.withColumn("containment", shared).where(F.col("containment") >= containment)
+    found = found.select("doc_id", "license", "first_word", F.size("window").alias("n_words"), "containment", F.array_join("window", " ").alias("evidence"))
     best = F.max_by(F.struct("first_word", "n_words", "containment", "evidence"), F.struct(F.col("containment"), -F.col("first_word"), "evidence"))
     return found.groupBy("doc_id", "license").agg(best.alias("best")).select("doc_id", "license", "best.*")
