@@ -45,7 +45,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix(values: np.ndarray, which: int) -> np.ndarray:
     """Sums of value[j] * base**j over j < i, for i = 0 .. n."""
     out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values.astype(np.uint64) * powers(BASES[which], len(values)), dtype=np.uint64, out=out[1:])
+    np.multiply(values, powers(BASES[which], len(values)), out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -54,6 +55,15 @@ def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     return (sums[ends] - sums[starts]) * powers(_INVERSES[which], len(sums))[starts]
 
 
+def rolling(values: np.ndarray, width: int, which: int) -> np.ndarray:
+    """Mixed hash of values[i:i + width] for every i, with few temporary arrays."""
+    sums = prefix(values, which)
+    h = sums[width:] - sums[:-width]
+    del sums
+    h *= powers(_INVERSES[which], len(h))
+    return mix(h)
+
+
 class Words:
     """The words of a batch: byte spans, and for each text the range of its words."""
 
@@ -80,7 +90,7 @@ class Words:
     def hashes(self, which: int = 0, values: np.ndarray | None = None) -> np.ndarray:
         """64-bit hash of each word; values replaces the bytes (for example lower-cased)."""
         values = self.bytes if values is None else values
-        sums = prefix(values.astype(np.uint64) + np.uint64(1), which)
+        sums = prefix(values + np.uint8(1), which)  # UTF-8 has no byte 255
         return mix(spans_hash(sums, self.starts, self.ends, which) + (self.ends - self.starts).astype(np.uint64))
 
     def window_starts(self, k: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from siftworks.llm.html_extraction import default_model, extract_text
 from siftworks.llm.licenses import scan_licenses
 from siftworks.llm.mixing import mix, n_words
 from siftworks.llm.pii import as_string, find_pii
-from siftworks.llm.scratch import Scratch
+from siftworks.llm.scratch import Scratch, small_batches
 from siftworks.llm.simhash import simhash_components
 from siftworks.llm.substring_dedup import remove_repeated_windows
 from siftworks.llm.suffix_dedup import remove_earlier_strings
@@ -20,7 +20,7 @@ from siftworks.llm import toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,18 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_IN_BATCH = "500"  # documents or blocks that pass to Python at a time while a table is written
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _local: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Have Spark pass few rows to Python at a time in this session: a batch of whole texts is then
+    a few megabytes in the executor, in its Python worker and on the way back."""
+    spark.conf.set(_BATCH, ROWS_IN_BATCH)
+    return spark
+
+
 def _root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -50,7 +59,12 @@ class Scratch:
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Write df now and return it as read back."""
         where = f"{self.path}/{name}"
-        df.write.parquet(where)
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, ROWS_IN_BATCH)
+        try:
+            df.write.parquet(where)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         self._names.add(name)
         return self.spark.read.schema(df.schema).parquet(where)
 

@@ -27,13 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from siftworks.llm.blocks import (
-    BLOCK_BYTES, EXCHANGE_SCHEMA, blocks_of, cut, exchange_rows, is_member, pack_blocks, pack_ints, repeated_cells, unpack_ints,
+    EXCHANGE_SCHEMA, blocks_of, cut, exchange_rows, is_member, pack_blocks, pack_ints, repeated_cells, unpack_ints,
 )
-from siftworks.llm.hashing import BASES, covered, mix, prefix, runs, spans_hash
+from siftworks.llm.hashing import BASES, covered, mix, prefix, rolling, runs, spans_hash
 from siftworks.llm.scratch import Scratch
 
 LENGTH = 50
 GRAM = 20
+BLOCK_BYTES = 3 << 18  # a task needs up to 200 times as much memory
 HOT = 5_000  # documents with an anchor from which its stretches are treated one by one
 _CELLS, _CROWDED, _AROUND, _SINGLE, _VERDICT, _SINGLE_VERDICT = range(6)
 _CELL_FACTOR = 64  # cells of the sketch for each anchor expected
@@ -59,16 +60,13 @@ class _Anchors:
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.raw = raw
-        self.values = raw.astype(np.uint64) + np.uint64(1)
+        self.values = raw + np.uint8(1)  # UTF-8 has no byte 255
         self.at = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
         known = np.array([i is not None for i in ids], dtype=bool)
         usable = known & (self.lengths >= length)
         if usable.any():
-            sums = prefix(self.values, 0)
-            first = np.arange(len(raw) - gram + 1)
-            h = mix(spans_hash(sums, first, first + gram, 0))
-            del sums, first
+            h = rolling(self.values, gram, 0)
             short = (h >> np.uint64(32)).astype(np.uint32)
             least = _sliding(np.minimum, short, self.reach + 1)  # of the stretch from each place
             valid = np.zeros(len(raw) + 1, np.int8)
@@ -155,16 +153,15 @@ class _Suffixes:
         crowded = is_member(sets[_CROWDED], plan.cells(a.hash))
         before, after = a.room()
         after = np.minimum(after, plan.length)
-        sums = [prefix(a.values, i) for i in (1, 2)] if len(a.at) else None
 
-        def both(starts: np.ndarray, ends: np.ndarray, extra: np.ndarray) -> list[np.ndarray]:
-            return [mix(spans_hash(s, starts, ends, i) + extra * np.uint64(BASES[3])) for s, i in zip(sums, (1, 2), strict=True)] if len(starts) else [np.zeros(0, np.uint64)] * 2
+        def hashed(starts: np.ndarray, ends: np.ndarray, extra: np.ndarray, which: int) -> np.ndarray:
+            return mix(spans_hash(prefix(a.values, which), starts, ends, which) + extra * np.uint64(BASES[3])) if len(starts) else np.zeros(0, np.uint64)
 
         # surroundings of the anchors that are gathered
         self.rows = np.flatnonzero(~crowded)
         r = self.rows
         room = (before[r] * 64 + after[r]).astype(np.uint64)
-        self.of, self.first, _ = _groups([a.hash[r], *both(a.at[r] - before[r], a.at[r] + after[r], room)], a.doc[r])
+        self.of, self.first, _ = _groups([a.hash[r], hashed(a.at[r] - before[r], a.at[r] + after[r], room, 1)], a.doc[r])
         self.slices = plan.slices(a.hash[r][self.first])
         self.before, self.after = before[r], after[r]
         # single stretches over crowded anchors
@@ -174,7 +171,7 @@ class _Suffixes:
             ok = (before[c] >= step) & (after[c] >= plan.length - step)
             starts.append((a.at[c] - step)[ok])
         self.single = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-        keys = both(self.single, self.single + plan.length, np.zeros(len(self.single), np.uint64))
+        keys = [hashed(self.single, self.single + plan.length, np.zeros(len(self.single), np.uint64), i) for i in (0, 1)]
         text = np.searchsorted(a.ends, self.single, side="right")
         self.single_doc = np.array([i if i is not None else 0 for i in ids], dtype=np.int64)[text] if len(ids) else self.single
         self.single_of, self.single_first, _ = _groups(keys, self.single_doc)
@@ -247,6 +244,16 @@ def refine(around: np.ndarray, length: int) -> np.ndarray:
     return now
 
 
+def _batches(rows: np.ndarray, bucket: np.ndarray, size: int = 4096) -> Iterator[np.ndarray]:
+    """rows in order, about size at a time, no bucket cut."""
+    start = 0
+    while start < len(rows):
+        end = min(start + size, len(rows))
+        end = int(np.searchsorted(bucket, bucket[end - 1], side="right"))
+        yield rows[start:end]
+        start = end
+
+
 def _judge(plan: _Plan):
     width, total = plan.reach + 1, plan.reach + plan.length
     big = np.iinfo(np.int64).max
@@ -272,12 +279,12 @@ def _judge(plan: _Plan):
         fits = (room[first, :1].astype(np.int64) >= step) & (room[first, 1:].astype(np.int64) >= plan.length - step)
         smallest = np.where(fits, least[:, None], big)
         mixed = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
-        if len(mixed):
-            names = refine(text[first[mixed]], plan.length)
-            ok = fits[mixed]
+        for part in _batches(mixed, bucket[mixed]):  # equal strings have equal anchors: buckets are apart
+            names = refine(text[first[part]], plan.length)
+            ok = fits[part]
             best = np.full(names.max() + 1, big)
-            np.minimum.at(best, names[ok], np.broadcast_to(least[mixed, None], names.shape)[ok])
-            smallest[mixed] = np.where(ok, best[names], big)
+            np.minimum.at(best, names[ok], np.broadcast_to(least[part, None], names.shape)[ok])
+            smallest[part] = np.where(ok, best[names], big)
         ends = np.cumsum([0, *counts]).tolist()
         return [np.packbits(smallest[of[i:j]] < doc[i:j, None]).tobytes() for i, j in zip(ends, ends[1:], strict=False)]
 
@@ -328,7 +335,7 @@ def _ask(plan: _Plan):
     return run
 
 
-def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, slice_entries: int = 400_000) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, slice_entries: int = 250_000) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept binary): one row per input row.
 
     Texts are UTF-8 bytes.  A byte goes if a string of ``length`` bytes that covers it also starts in
