@@ -14,6 +14,8 @@ SLICES = 64
 
 def slice_bounds(df: DataFrame, order: str, slices: int = SLICES) -> list[float]:
     """Approximate quantiles of the order column; any bounds are right, even ones are fast."""
+    if slices < 2:
+        return []
     return sorted(set(df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.25 / slices)))
 
 
