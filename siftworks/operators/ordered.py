@@ -58,3 +58,17 @@ def running_maximum(value: Column | str, keys: list[str], order: str) -> Column:
 def strided(df: DataFrame, position: str, total: int, most: int) -> DataFrame:
     """Every k-th row, k = max(1, total // most)."""
     return df.where(F.pmod(F.col(position), F.lit(max(1, total // most))) == 0)
+
+
+def positional_parity(left: DataFrame, right: DataFrame, track: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Rows of two tables paired by their number in each track: track, position, equal (false where one is missing)."""
+    place = lambda df, side: df.select(*track, (F.row_number().over(Window.partitionBy(*track).orderBy(*order)) - 1).alias("position"), F.struct(*values).alias(side))
+    both = place(left, "_a").join(place(right, "_b"), [*track, "position"], "full")
+    return both.select(*track, "position", (F.col("_a").isNotNull() & F.col("_b").isNotNull() & F.col("_a").eqNullSafe(F.col("_b"))).alias("equal"))
+
+
+def key_comparison(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys of either table with both values and which side lacks the key."""
+    a, b = left.select(*keys, F.col(value).alias("before")), right.select(*keys, F.col(value).alias("after"))
+    lacks = F.when(F.col("before").isNull(), "before").when(F.col("after").isNull(), "after").otherwise("none")
+    return a.join(b, keys, "full").withColumn("lacks", lacks)

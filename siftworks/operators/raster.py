@@ -103,3 +103,89 @@ def bilateral(height: int, width: int, radius: int, space: float, tone: float) -
         return (w * views).sum(axis=2) / w.sum(axis=2)
 
     return _udf(lambda x: pass_over(pass_over(x).T).T, height, width)
+
+
+def area_resample(raster: Column, height: int, width: int, rows: int, cols: int) -> Column:
+    """Coverage-weighted means over fractional footprints, row-major: shares of edge samples count in part."""
+
+    def spans(n: int, m: int) -> list[list[tuple[int, float]]]:
+        out = []
+        for k in range(m):
+            low, high = k * n / m, (k + 1) * n / m
+            out.append([(i, min(high, i + 1) - max(low, i)) for i in range(int(low), min(n, int(np.ceil(high)))) if min(high, i + 1) - max(low, i) > 1e-12])
+        return out
+
+    cells = []
+    for down in spans(height, rows):
+        for across in spans(width, cols):
+            parts = [F.get(raster, F.lit(y * width + x)).cast("double") * (wy * wx) for y, wy in down for x, wx in across]
+            cells.append(sum(parts[1:], parts[0]) / sum(wy * wx for _, wy in down for _, wx in across))
+    return F.array(*cells)
+
+
+def lut_trilinear(edge: int, nodes: np.ndarray) -> Callable[[Column, Column, Column], Column]:
+    """A 3-D table (edge**3 nodes of three values, first axis fastest) read at r, g, b in [0, 1], clamped."""
+    table = np.asarray(nodes, dtype=np.float64).reshape(edge, edge, edge, 3)  # b, g, r
+
+    @pandas_udf("array<double>")
+    def run(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.Series:
+        at = np.clip(np.stack([b, g, r], axis=1).astype(np.float64), 0, 1) * (edge - 1)
+        low = np.minimum(at.astype(np.int64), edge - 2)
+        f = at - low
+        out = np.zeros((len(at), 3))
+        for corner in range(8):
+            step = np.array([corner >> 2 & 1, corner >> 1 & 1, corner & 1])
+            weight = np.prod(np.where(step, f, 1 - f), axis=1)
+            i = low + step
+            out += weight[:, None] * table[i[:, 0], i[:, 1], i[:, 2]]
+        return pd.Series(list(out))
+
+    return run
+
+
+def pack_half(raster: Column) -> Column:
+    """Arrays of numbers as little-endian half floats; null where one does not fit."""
+
+    @pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            halves = [None if v is None else np.asarray(v, dtype=np.float64).astype("<f2") for v in values]
+        return pd.Series([None if h is None or not np.isfinite(h).all() else h.tobytes() for h in halves])
+
+    return run(raster)
+
+
+def unpack_half(data: Column) -> Column:
+    @pandas_udf("array<float>")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None or len(d) % 2 else np.frombuffer(d, "<f2").astype(np.float32) for d in values])
+
+    return run(data)
+
+
+def merge_regions(points: pd.DataFrame, radius: float, tolerance: float) -> pd.DataFrame:
+    """Greedy merge in order: a point joins the earlier regions within radius whose tone is within tolerance.
+
+    points (image, point, x, y, tone) of one image, for groupBy('image').applyInPandas: the result
+    depends on the order of the points, so an image is one group.
+    """
+    points = points.sort_values("point")
+    xy, tone = points[["x", "y"]].to_numpy(float), points["tone"].to_numpy(float)
+    parent = list(range(len(points)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    low, high = tone.copy(), tone.copy()
+    for i in range(1, len(points)):
+        for j in np.flatnonzero(((xy[:i] - xy[i]) ** 2).sum(axis=1) <= radius * radius).tolist():
+            a, b = find(i), find(j)
+            if a != b and max(high[a], high[b]) - min(low[a], low[b]) <= tolerance:
+                keep, gone = min(a, b), max(a, b)
+                parent[gone] = keep
+                low[keep], high[keep] = min(low[a], low[b]), max(high[a], high[b])
+    numbers = points["point"].to_numpy()
+    return points[["image", "point"]].assign(region=[int(numbers[find(i)]) for i in range(len(points))])

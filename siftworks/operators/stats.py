@@ -108,3 +108,21 @@ def budget_report(reference: DataFrame, current: DataFrame, key: str, value: str
     out = reference.select(key, F.col(value).alias("reference"), limit.alias("budget")).join(now, key, "left")
     verdict = F.when(F.col("current").isNull(), "missing").when(F.col("current") <= F.col("budget"), "pass").otherwise("fail")
     return out.withColumn("verdict", verdict)
+
+
+def quantised(df: DataFrame, value: str, levels: int = 255) -> DataFrame:
+    """df with code: value between the table's least and largest, in steps of 1 / levels."""
+    ends = df.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    share = F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low"))
+    return df.join(F.broadcast(ends)).withColumn("code", F.coalesce(F.round(share * levels), F.lit(0)).cast("int")).drop("_low", "_high")  # one row is sent
+
+
+def clipped(df: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:
+    """How many values lie below and above, and the mean of the clamped ones."""
+    x = F.col(value)
+    return df.groupBy(*keys).agg(F.count_if(x < low).alias("below"), F.count_if(x > high).alias("above"), F.avg(F.greatest(F.lit(low), F.least(F.lit(high), x))).alias("mean"))
+
+
+def best_of(df: DataFrame, keys: list[str], score: str, tie: str, values: list[str]) -> DataFrame:
+    """The row of the highest score of each key; of equals the least tie."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(F.col(score), -F.col(tie))).alias("_v")).select(*keys, "_v.*")

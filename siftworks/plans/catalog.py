@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftworks.functions import flags as fl, text as tx, transfer as tr
-from siftworks.operators import fits, gates, graphs, ordered, planning, raster, sessions, stats
+from siftworks.operators import fits, gates, graphs, ordered, planning, ranking, raster, sessions, stats
 from siftworks.sources import pages
 from siftworks.streaming import journal
 
@@ -512,3 +512,131 @@ def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journal replay as a stream over the event files, run to its end."""
     return journal.replayed(spark, sf_dir)
+
+
+# --- more predicates, ranges and geometry ----------------------------------------------------
+
+
+@query("""
+WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, event_type FROM events WHERE event_id % 2 = 0),
+b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, event_type FROM events WHERE event_id % 2 = 1)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, CAST(coalesce(a.position, b.position) AS INTEGER) AS position, coalesce(a.event_type = b.event_type, false) AS equal FROM a FULL JOIN b ON a.user_id = b.user_id AND a.position = b.position""")
+def packet_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return ordered.positional_parity(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id"], ["ts", "event_id"], ["event_type"])
+
+
+_YEAR_KEY = "SELECT l_suppkey AS k, round(sum(l_quantity), 6) AS v FROM lineitem WHERE year(l_shipdate) = {0} AND l_quantity > 48 GROUP BY 1"
+
+
+@query(f"""WITH a AS ({_YEAR_KEY.format(1996)}), b AS ({_YEAR_KEY.format(1997)}) SELECT coalesce(a.k, b.k) AS k, a.v AS before, b.v AS after, CASE WHEN a.v IS NULL THEN 'before' WHEN b.v IS NULL THEN 'after' ELSE 'none' END AS lacks FROM a FULL JOIN b ON a.k = b.k""")
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = lambda y: read(spark, sf_dir, "lineitem").where((F.year("l_shipdate") == y) & (F.col("l_quantity") > 48)).groupBy(F.col("l_suppkey").alias("k")).agg(r6(F.sum("l_quantity")).alias("v"))
+    return ordered.key_comparison(year(1996), year(1997), ["k"], "v")
+
+
+@query("""
+WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), c AS (SELECT unnest(range(9)) AS cell),
+w AS (SELECT cell, i, greatest(0, least((cell // 3 + 1) * 8 / 3, i // 8 + 1) - greatest(cell // 3 * 8 / 3, i // 8)) * greatest(0, least((cell % 3 + 1) * 8 / 3, i % 8 + 1) - greatest(cell % 3 * 8 / 3, i % 8)) AS w FROM c, (SELECT unnest(range(64)) AS i))
+SELECT vec_id, CAST(cell AS INTEGER) AS cell, round(sum(v * w) / sum(w), 6) AS mean FROM e JOIN w USING (i) GROUP BY 1, 2""")
+def area_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(raster.area_resample(F.col("embedding"), 8, 8, 3, 3)).alias("cell", "mean")))
+
+
+@query("SELECT p_partkey, CAST(round((p_retailprice - lo) / (hi - lo) * 255) AS INTEGER) AS code FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)")
+def quantise_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.quantised(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", "code")
+
+
+@query("SELECT l_returnflag, count(*) FILTER (l_quantity < 5) AS below, count(*) FILTER (l_quantity > 45) AS above, round(avg(greatest(5, least(45, l_quantity))), 6) AS mean FROM lineitem GROUP BY 1")
+def clip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.clipped(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", 5.0, 45.0))
+
+
+@query("SELECT p_brand, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS p_partkey, round(max(p_retailprice), 6) AS p_retailprice FROM part GROUP BY 1")
+def top_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.best_of(read(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", "p_partkey", ["p_partkey", "p_retailprice"]))
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: greatest(CAST(v AS DOUBLE), least(CAST(embedding[65 - i] AS DOUBLE), 0.05)))), 5) AS total FROM embeddings""")
+def fused_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.transform("embedding", lambda v: v.cast("double"))
+    fused = raster.fused(value, F.reverse(value), F.transform(value, lambda v: F.lit(0.05)))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(fused, F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey, p_size * 100 + 37 AS w, p_size * 61 + 500 AS h, CAST(p_size AS DOUBLE) AS s FROM part), y AS (SELECT *, least(1.0, 3000.0 / greatest(w, h)) AS k FROM x)
+SELECT p_partkey, greatest(2, CAST(round(w * k / 2) * 2 AS INTEGER)) AS width, greatest(2, CAST(round(h * k / 2) * 2 AS INTEGER)) AS height, round(s * sqrt(36.0 * 36 + 24 * 24) / sqrt(13.2 * 13.2 + 8.8 * 8.8), 6) AS focal,
+round(least(140000.0, 1 / (1 / 8.0 + pow(s * 5 / 255, 1.5) * (1 / 0.4 - 1 / 8.0))), 6) AS depth FROM y""")
+def geometry_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("p_size")
+    width, height = tr.even_fit(s * 100 + 37, s * 61 + 500, 3000)
+    focal = tr.equivalent_focal(s.cast("double"), F.lit(13.2), F.lit(8.8))
+    depth = tr.rank_to_depth(s.cast("double") * 5, 0.4, 8.0, 1.5)
+    return read(spark, sf_dir, "part").select("p_partkey", width.alias("width"), height.alias("height"), r6(focal).alias("focal"), r6(depth).alias("depth"))
+
+
+@query("SELECT o_orderkey, (o_orderkey | 2048) & ~16 AS flags, lpad(CAST((o_orderkey | 2048) & ~16 AS VARCHAR), CAST(greatest(9, len(CAST((o_orderkey | 2048) & ~16 AS VARCHAR))) AS INTEGER), '0') AS digits FROM orders")
+def flag_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = fl.clear_bits(fl.set_bits(F.col("o_orderkey"), 0x800), 0x10)
+    return read(spark, sf_dir, "orders").select("o_orderkey", flags.alias("flags"), fl.padded(flags, F.lit("000000000")).alias("digits"))
+
+
+@query(r"""
+SELECT page_id, regexp_matches(path, '^[^/]*$') AS leaf, regexp_matches(path, '^de/.*$') AS german, regexp_matches(path, '^[^/][^/]/[^/]*\.html$') AS html FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS path FROM pages)""")
+def glob_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+/(.*)$", 1)
+    return read(spark, sf_dir, "pages").select("page_id", *(path.rlike(tx.glob_to_regex(g)).alias(n) for n, g in {"leaf": "*", "german": "de/**", "html": "??/*.html"}.items()))
+
+
+@query("""
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT), doc_id) AS i, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN i <= greatest(1, n // 5) THEN 'validation' WHEN i <= 2 * greatest(1, n // 5) THEN 'test' ELSE 'train' END AS split FROM r""")
+def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20/20/60 split by hash order, at least one document in each part: ranks over the whole table, in slices."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.conv(F.substring(tx.sha256(F.col("doc_id")), 1, 15), 16, 10).cast("long").alias("h"))
+    part = max(1, docs.count() // 5)
+    place = F.col("rank")
+    split = F.when(place <= part, "validation").when(place <= 2 * part, "test").otherwise("train")
+    return ranking.numbered(docs.withColumn("all", F.lit(0)), ["all"], ["h", "doc_id"]).select("doc_id", split.alias("split"))
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 7 = 0")
+def strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.strided(read(spark, sf_dir, "events").select("event_id", "value"), "event_id", 7000, 1000)
+
+
+@query("""SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.leaves(read(spark, sf_dir, "events"), "event_id", "props")
+
+
+@query("""SELECT c_custkey, (CASE WHEN c_acctbal > 0 THEN CAST(round(c_acctbal, 2) AS VARCHAR) ELSE '0.0' END) = '0.0' AS zeroed, c_acctbal > 0 AS observed FROM customer""")
+def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing (here: not positive) balance is 0 with mask false."""
+    vector, mask = tx.numeric_features(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
+    return read(spark, sf_dir, "customer").select("c_custkey", (vector[0] == 0).alias("zeroed"), mask[0].alias("observed"))
+
+
+@query()
+def half_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = raster.pack_half(F.col("embedding"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", packed.alias("packed")).withColumn("values", raster.unpack_half(F.col("packed")))
+
+
+@query()
+def lut_trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity, discount and tax as a colour, through a 5**3 table that mixes its channels."""
+    grid = [i / 4 for i in range(5)]
+    nodes = [(r * r, (r + g) / 2, b * g) for b in grid for g in grid for r in grid]
+    read_at = raster.lut_trilinear(5, nodes)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", read_at(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("rgb"))
+
+
+@query()
+def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of an embedding as points on an 8 x 8 grid, merged where near and alike."""
+    long = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("point", "tone"))
+    points = long.select("image", "point", (F.col("point") % 8).alias("x"), F.floor(F.col("point") / 8).alias("y"), "tone")
+    return points.groupBy("image").applyInPandas(lambda pdf: raster.merge_regions(pdf, 1.0, 0.3), "image long, point int, region int")
