@@ -261,3 +261,26 @@ def test_files(spark, tmp_path):
     entries = spark.range(1).select(files.manifest(F.lit(tail)).alias("m")).first().m
     assert [(e.name, e.start, e.length) for e in entries] == [("b", -20, 2), ("a", -10, 4)]
     assert spark.range(1).select(files.byte_range(F.lit(b"abcdef"), F.lit(2), F.lit(3), 10).alias("b")).first().b == b"cde"
+
+
+def test_media(spark):
+    import struct
+
+    from siftworks.sources import media
+
+    exif = b"Exif\0\0MM\0*" + struct.pack(">I", 8) + struct.pack(">HHHII", 1, 0x8769, 4, 1, 26) + struct.pack(">I", 0) + struct.pack(">HHHIHH", 1, 0xA001, 3, 1, 65535, 0)
+    frame = b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, 40, 60, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    one = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + frame + b"\xff\xda\0\x02ab\xff\0cd\xff\xd9"
+    box = lambda kind, body: struct.pack(">I", len(body) + 8) + kind + body
+    hvcc = bytes([1, 2] + [0] * 14 + [0xFC | 1, 0xF8 | 2, 0xF8 | 2])
+    heif = box(b"ftyp", b"heic") + box(b"meta", b"\0\0\0\0" + box(b"iprp", box(b"ipco", box(b"hvcC", hvcc))))
+    df = spark.createDataFrame([("a", bytearray(one + b"junk" + one)), ("b", bytearray(heif)), ("c", bytearray(one[:12])), ("d", None)], "path string, content binary")
+    segments = values(media.jpeg_segments(df).where("path = 'a'").orderBy("start"), "image", "marker")
+    assert segments == [(i, m) for i in (0, 1) for m in (0xD8, 0xE1, 0xC0, 0xDA, 0xD9)]
+    assert values(media.jpeg_frames(df).where("image = 0 and path = 'a'"), "width", "height", "sampling") == [(60, 40, ["2x2", "1x1", "1x1"])]
+    assert values(media.colour_space(media.exif_entries(df)), "path", "colour_space") == [("a", 65535)]
+    boxes = media.iso_boxes(df.where("path = 'b'"))
+    assert [b.kind for b in boxes.orderBy("start").collect()] == ["ftyp", "meta", "iprp", "ipco", "hvcC"]
+    payload = media.box_fields(df, boxes, "hvcC").select(media.hevc_profile(F.col("payload")).alias("p")).first().p
+    assert (payload.profile, payload.chroma_format, payload.luma_depth) == (2, 1, 10)
+    assert values(spark.range(1), media.rational(F.lit(struct.pack(">iI", -3, 2)), 0, True)) == [(-1.5,)]
