@@ -1,13 +1,13 @@
-"""Ranks and running sums inside keys of any size.
+"""Ranks, running sums and exact percentiles inside keys of any size.
 
 A window over a key puts all its rows in one task.  Here rows are first cut into slices of the
-order column; a window runs inside (key, slice), and the slices before it come from a small table
-of counts.  A key with a third of all rows is thereby spread over as many tasks as there are slices.
+order column; a window runs inside (key, slice), and what lies in the slices before it comes from a
+small table of sums.  A key with a third of all rows is spread over as many tasks as there are slices.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICES = 64
 
@@ -19,30 +19,65 @@ def slice_bounds(df: DataFrame, order: str, slices: int = SLICES) -> list[float]
     return sorted(set(df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.25 / slices)))
 
 
-def with_slices(df: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
+def _search(x: Column, bounds: list[float], first: int = 0) -> Column:
+    """How many bounds lie below x, as nested comparisons."""
+    if not bounds:
+        return F.lit(first)
+    m = len(bounds) // 2
+    return F.when(x <= bounds[m], _search(x, bounds[:m], first)).otherwise(_search(x, bounds[m + 1 :], first + m + 1))
+
+
+def with_slices(df: DataFrame, order: str, slices: int = SLICES, name: str = "_slice") -> DataFrame:
+    """df with the slice of its order column; nulls are in the last one."""
     bounds = slice_bounds(df, order, slices)
-    at = F.lit(0)
-    if bounds:
-        at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order)))
-    return df.withColumn("_slice", at)
+    return df.withColumn(name, F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(_search(F.col(order), bounds)))
+
+
+def same_keys(keys: list[str], prefix: str) -> Column:
+    """Null-safe equality of keys with their copies prefix + key."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return out
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slices: int = SLICES) -> DataFrame:
-    """df with name = sum of value over the key's rows up to this one; order[0] is numeric, order is unique in a key."""
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slices: int = SLICES, total: str | None = None) -> DataFrame:
+    """df with name = sum of value over the key's rows up to this one, and total = the key's whole sum.
+
+    order[0] is numeric; order is unique in a key.
+    """
     cut = with_slices(df, order[0], slices)
     sums = cut.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_slice").alias("_s"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    match = F.col("_slice") == F.col("_s")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    over = Window.partitionBy(*(f"_k_{k}" for k in keys))
+    renamed = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_slice").alias("_s"), "_sum")
+    offsets = renamed.select(
+        *(f"_k_{k}" for k in keys), "_s", F.sum("_sum").over(over).alias("_total"),
+        F.coalesce(F.sum("_sum").over(over.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = cut.withColumn(name, F.sum(value).over(inside))
-    out = part.join(offsets, match).withColumn(name, F.col(name) + F.col("_before"))
-    return out.select(*df.columns, name)
+    out = part.join(offsets, (F.col("_slice") == F.col("_s")) & same_keys(keys, "_k_")).withColumn(name, F.col(name) + F.col("_before"))
+    return out.select(*df.columns, name, *([F.col("_total").alias(total)] if total else []))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", slices: int = SLICES) -> DataFrame:
     """df with the row's number, from 1, in its key."""
     out = running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", name, slices)
     return out.drop("_one")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], slices: int = SLICES) -> DataFrame:
+    """keys, n and exact linearly interpolated percentiles of the non-null values of each key.
+
+    Equal values are counted, counts are summed in slices, and each percentile is the least value
+    whose running count passes its place: no task holds the values of a key.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counted, keys, ["_x"], "_n", "_c", slices, "_of")
+    ends = []
+    for i, p in enumerate(wanted.values()):
+        place = (F.col("_of") - 1) * p
+        ends += [F.min(F.when(F.col("_c") > F.floor(place), F.col("_x"))).alias(f"_low{i}"), F.min(F.when(F.col("_c") > F.ceil(place), F.col("_x"))).alias(f"_high{i}")]
+    found = ranked.groupBy(*keys).agg(F.max("_of").alias("n"), *ends)
+    share = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+    return found.select(*keys, "n", *((F.col(f"_low{i}") * (1 - share(p)) + F.col(f"_high{i}") * share(p)).alias(name) for i, (name, p) in enumerate(wanted.items())))

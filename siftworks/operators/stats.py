@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from siftworks.operators.ranking import percentiles, same_keys
+
 #: Names and percentiles of the nine-number summary.
 NINE = {"black_point": 0.005, "p02": 0.02, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "high_key": 0.95, "p98": 0.98, "white_point": 0.995}
 
@@ -14,17 +16,13 @@ def finite(x: Column) -> Column:
 
 
 def nine_number(df: DataFrame, keys: list[str], value: Column, mask: Column | None = None) -> DataFrame:
-    """Exact interpolated percentiles of the finite values of each key; with none, zeros and high_key 1.
-
-    Equal values are counted before they are shuffled, so repeated samples cost one row for each value.
-    """
+    """Exact interpolated percentiles of the finite values of each key; with none, zeros and high_key 1."""
     used = finite(value.cast("double"))
     used = used if mask is None else F.when(mask, used)
-    counted = df.groupBy(*keys, used.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    all_of = F.percentile("_x", [*NINE.values()], F.when(F.col("_x").isNull(), 0).otherwise(F.col("_n")))
-    found = counted.groupBy(*keys).agg(all_of.alias("_p"), F.sum(F.when(F.col("_x").isNull(), 0).otherwise(F.col("_n"))).alias("n"))
-    pick = [F.coalesce(F.try_element_at("_p", F.lit(i + 1)), F.lit(1.0 if name == "high_key" else 0.0)).alias(name) for i, name in enumerate(NINE)]
-    return found.select(*keys, "n", *pick)
+    found = percentiles(df.select(*keys, used.alias("_v")), keys, "_v", NINE)
+    every = df.select(*(F.col(k).alias(f"_e_{k}") for k in keys)).distinct()
+    pick = [F.coalesce(name, F.lit(1.0 if name == "high_key" else 0.0)).alias(name) for name in NINE]
+    return every.join(found, same_keys(keys, "_e_"), "left").select(*(F.col(f"_e_{k}").alias(k) for k in keys), F.coalesce("n", F.lit(0)).cast("long").alias("n"), *pick)
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int, low: str, high: str) -> DataFrame:
@@ -62,14 +60,15 @@ def micro_macro(df: DataFrame, group: str, error: str) -> DataFrame:
 
 def robust_scale(df: DataFrame, keys: list[str], value: str, quantile: float = 0.9, least: float = 1e-3) -> DataFrame:
     """Median and quantile of |x - median| of each key; a scale below least is inactive."""
-    centre = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"))
-    spread = df.join(centre, keys).groupBy(*keys).agg(F.first("median").alias("median"), F.percentile(F.abs(F.col(value) - F.col("median")), quantile).alias("scale"))
-    return spread.withColumn("active", F.col("scale") >= least)
+    centre = percentiles(df, keys, value, {"median": 0.5}).drop("n")
+    gaps = df.join(centre, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_gap"))
+    return centre.join(percentiles(gaps, keys, "_gap", {"scale": quantile}).drop("n"), keys).withColumn("active", F.col("scale") >= least)
 
 
 def summary(df: DataFrame, keys: list[str], wall: str, memory: str) -> DataFrame:
     """Benchmark summary of each case."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(wall, 0.5).alias("median_wall"), F.percentile(wall, 0.95).alias("p95_wall"), F.percentile(memory, 0.5).alias("median_memory"), F.max(memory).alias("max_memory"))
+    walls = percentiles(df, keys, wall, {"median_wall": 0.5, "p95_wall": 0.95})
+    return walls.join(percentiles(df, keys, memory, {"median_memory": 0.5, "max_memory": 1.0}).drop("n"), keys)
 
 
 def receipt(df: DataFrame, keys: list[str], status: str, names: list[str]) -> DataFrame:
@@ -95,9 +94,9 @@ def local_regression(df: DataFrame, keys: list[str], x: str, y: str, held_out: C
 
 def edge_to_flat(df: DataFrame, gradient: str, value: str) -> DataFrame:
     """Mean value where the gradient is at or over its q95, over the mean where it is at or under its q50."""
-    q = df.agg(F.percentile(gradient, [0.5, 0.95]).alias("_q"))
+    q = percentiles(df.select(F.lit(0).alias("_all"), gradient), ["_all"], gradient, {"_mid": 0.5, "_top": 0.95}).select("_mid", "_top")
     both = df.join(F.broadcast(q))  # one row
-    found = both.agg(F.avg(F.when(F.col(gradient) >= F.col("_q")[1], F.col(value))).alias("edge"), F.avg(F.when(F.col(gradient) <= F.col("_q")[0], F.col(value))).alias("flat"))
+    found = both.agg(F.avg(F.when(F.col(gradient) >= F.col("_top"), F.col(value))).alias("edge"), F.avg(F.when(F.col(gradient) <= F.col("_mid"), F.col(value))).alias("flat"))
     return found.withColumn("ratio", F.try_divide("edge", "flat"))
 
 

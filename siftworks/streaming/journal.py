@@ -51,8 +51,10 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last event of each user and type, by a stream over the event table run until it has read everything."""
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if batch.inputFiles()[0].count("events.parquet/") else f"{sf_dir}/events*.parquet")
-    name = f"replayed_{uuid.uuid4().hex[:12]}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftworks-")
-    query = last_writes(stream, ["user_id", "event_type"], ["ts", "event_id"], "event_id").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{root}/siftworks/{name}").trigger(availableNow=True).start()
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftworks-")
+    where = f"{root}/siftworks/replayed-{uuid.uuid4().hex}"
+    last = last_writes(stream, ["user_id", "event_type"], ["ts", "event_id"], "event_id")
+    put = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{where}/rows")  # noqa: E731  the whole state, written again
+    query = last.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(last.schema).parquet(f"{where}/rows")
