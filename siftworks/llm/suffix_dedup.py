@@ -98,7 +98,7 @@ class _Plan:
         self.length, self.gram, self.reach = length, gram, length - gram
         anchors = max(1, 2 * n_bytes // (self.reach + 2))
         self.bits = max(12, int(np.ceil(np.log2(anchors * _CELL_FACTOR))))
-        self.slice_bits = min(self.bits - 8, int(np.ceil(np.log2(max(1, anchors // slice_entries)))) if anchors > slice_entries else 0)
+        self.slice_bits = min(self.bits - 8, max(6, int(np.ceil(np.log2(max(1, anchors // slice_entries))))))
 
     def cells(self, h: np.ndarray) -> np.ndarray:
         return mix(h) >> np.uint64(64 - self.bits)
