@@ -50,3 +50,35 @@ def on_curve(x: Column, nodes: list[tuple[float, float]]) -> Column:
     for (x0, y0), (x1, y1) in zip(nodes, nodes[1:], strict=False):
         out = F.when(x > x0, y0 + (y1 - y0) * (F.least(x, F.lit(float(x1))) - x0) / (x1 - x0)).otherwise(out)
     return out
+
+
+def shape_problems(edges: DataFrame, graph: str, source: str, target: str, ordinal: str, expected: list[str]) -> DataFrame:
+    """Graphs whose one source does not point to exactly the expected targets in order: (graph, problem)."""
+    lists = edges.groupBy(graph, source).agg(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, target))), lambda x: x[target]).alias("_targets"))
+    each = lists.groupBy(graph).agg(F.count(F.lit(1)).alias("_sources"), F.first("_targets").alias("_targets"))
+    wanted = F.array(*map(F.lit, expected))
+    problem = F.when(F.col("_sources") != 1, "sources").when(F.size(F.array_distinct("_targets")) != F.size("_targets"), "repeated").when(F.col("_targets") != wanted, "targets")
+    return each.select(graph, problem.alias("problem")).where("problem is not null")
+
+
+def tile_problems(tiles: DataFrame, graph: str, tile: str, rows: str, cols: str, config: str) -> DataFrame:
+    """Graphs whose tiles do not fill rows x cols, repeat, or differ in configuration."""
+    each = tiles.groupBy(graph).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(tile).alias("_d"), F.count_distinct(config).alias("_c"), F.max(F.col(rows) * F.col(cols)).alias("_want"))
+    problem = F.when(F.col("_n") != F.col("_want"), "count").when(F.col("_d") != F.col("_n"), "repeated").when(F.col("_c") > 1, "config")
+    return each.select(graph, problem.alias("problem")).where("problem is not null")
+
+
+def plan_digest(df: DataFrame, order: str, fields: list[str], slices: int = 64) -> DataFrame:
+    """One digest of a table in the order of a numeric column.
+
+    Rows are digested, slices of the order digest their rows' digests in order, and the result
+    digests the slices: a list is never longer than a slice.  The slices are fixed spans of the
+    order column, so the digest does not depend on how rows are dealt to tasks.
+    """
+    ends = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    row = F.sha2(F.concat_ws("", *(F.concat(F.length(F.col(f).cast("string")).cast("string"), F.lit(":"), F.col(f).cast("string")) for f in fields)), 256)
+    at = F.floor((F.col(order) - F.col("_low")) * slices / (F.col("_high") - F.col("_low") + 1))
+    sliced = df.join(F.broadcast(ends)).select(at.alias("_slice"), F.col(order).alias("_o"), row.alias("_d"))  # one row is sent
+    joined = lambda a: F.sha2(F.array_join(F.transform(F.array_sort(a), lambda x: x["_d"]), ""), 256)
+    each = sliced.groupBy("_slice").agg(joined(F.collect_list(F.struct("_o", "_d"))).alias("_d"))
+    return each.agg(joined(F.collect_list(F.struct(F.col("_slice").alias("_o"), "_d"))).alias("digest"))

@@ -125,3 +125,31 @@ def clipped(df: DataFrame, keys: list[str], value: str, low: float, high: float)
 def best_of(df: DataFrame, keys: list[str], score: str, tie: str, values: list[str]) -> DataFrame:
     """The row of the highest score of each key; of equals the least tie."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(F.col(score), -F.col(tie))).alias("_v")).select(*keys, "_v.*")
+
+
+def agreement(df: DataFrame, keys: list[str], order: str, value: str, share: float = 0.2, least: int = 3, most: int = 128) -> DataFrame:
+    """Median of each key's short series and whether it is usable: least to most samples, and all within share of the median."""
+    centre = percentiles(df, keys, value, {"median": 0.5})
+    gap = F.abs(F.try_divide(F.col(value), F.col("median")) - 1)
+    worst = df.join(centre, keys).groupBy(*keys).agg(F.max(gap).alias("worst"), F.count_distinct(order).alias("_times"))
+    ok = F.col("n").between(least, most) & (F.col("worst") <= share) & (F.col("_times") == F.col("n"))
+    return centre.join(worst, keys).select(*keys, "n", "median", "worst", ok.alias("usable"))
+
+
+def headroom(samples: Column) -> Column:
+    """max(1, largest sample)."""
+    return F.greatest(F.lit(1.0), F.coalesce(F.array_max(samples).cast("double"), F.lit(1.0)))
+
+
+def coverage(mask: Column, top: float = 255.0) -> Column:
+    """Mean of the mask over top; 0 for a missing or empty mask."""
+    total = F.aggregate(mask, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return F.coalesce(F.try_divide(total, F.size(mask) * top), F.lit(0.0))
+
+
+def bin_medians(df: DataFrame, keys: list[str], x: str, y: str, bins: int) -> DataFrame:
+    """Median of y and count in bins of x over each key's 2 % to 98 % range, values outside in the end bins."""
+    ends = percentiles(df, keys, x, {"_low": 0.02, "_high": 0.98}).drop("n")
+    at = F.floor(F.try_divide(F.col(x) - F.col("_low"), F.col("_high") - F.col("_low")) * bins)
+    placed = df.join(ends, keys).select(*keys, F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(at, F.lit(0)))).cast("int").alias("bin"), y)
+    return percentiles(placed, [*keys, "bin"], y, {"median": 0.5})

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftworks.functions import flags as fl, text as tx, transfer as tr
+from siftworks.functions import decisions as dc, flags as fl, text as tx, transfer as tr
 from siftworks.operators import fits, gates, graphs, ordered, planning, ranking, raster, sessions, stats
 from siftworks.sources import pages
 from siftworks.streaming import journal
@@ -640,3 +640,73 @@ def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("point", "tone"))
     points = long.select("image", "point", (F.col("point") % 8).alias("x"), F.floor(F.col("point") / 8).alias("y"), "tone")
     return points.groupBy("image").applyInPandas(lambda pdf: raster.merge_regions(pdf, 1.0, 0.3), "image long, point int, region int")
+
+
+# --- decision tables, small series, graph shapes ---------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size / 10.0 < 1 THEN 'wide' WHEN p_size / 10.0 < 2 THEN 'main' WHEN p_size / 10.0 < 5 THEN 'tele' ELSE 'far' END AS zoom,
+CASE WHEN p_size <= 11 THEN CASE WHEN p_retailprice / 30 < 45 THEN 'phone-wide' ELSE 'phone-tele' END WHEN p_size < 28 THEN 'short' ELSE 'long' END AS profile,
+CASE WHEN p_partkey % 3 = 0 THEN '444' WHEN p_partkey % 3 = 1 THEN '444' ELSE NULL END AS layout, 'part' || CASE WHEN p_size > 1 THEN '.out (' || p_size || ')' ELSE '.out' END || CASE WHEN p_partkey % 2 = 0 THEN 'MP' ELSE '' END || '.jpg' AS name FROM part""")
+def decision_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = F.element_at(F.array(F.lit("444"), F.lit("422"), F.lit("400")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", dc.zoom_bucket(F.col("p_size") / 10.0).alias("zoom"), dc.lens_profile(F.col("p_size"), F.col("p_retailprice") / 30).alias("profile"),
+        dc.resolved_layout(wanted, ["444", "420"], {"422": "444"}).alias("layout"), dc.output_name(F.lit("part"), "out", F.col("p_size"), F.col("p_partkey") % 2 == 0, F.lit("jpg")).alias("name"),
+    )
+
+
+@query("""SELECT page_id, concat_ws(',', CASE WHEN contains(html, '<article') AND contains(html, '<h1') THEN 'headed' END, CASE WHEN contains(html, '<nav') THEN 'menu' END, CASE WHEN contains(html, '<table') THEN 'table' END) AS tags FROM pages""")
+def capability_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dc.capabilities(F.col("html").cast("binary"), {"headed": [b"<article", b"<h1"], "menu": [b"<nav"], "table": [b"<table"]})
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(dc.tags(found), ",").alias("tags"))
+
+
+@query("""
+WITH m AS (SELECT l_orderkey, count(*) AS n, quantile_cont(l_quantity, 0.5) AS median, count(DISTINCT l_linenumber) AS t FROM lineitem GROUP BY 1),
+w AS (SELECT l_orderkey, n, median, t, max(abs(l_quantity / median - 1)) AS worst FROM lineitem JOIN m USING (l_orderkey) GROUP BY ALL)
+SELECT l_orderkey, n, round(median, 6) AS median, round(worst, 6) AS worst, n BETWEEN 3 AND 128 AND worst <= 0.2 AND t = n AS usable FROM w""")
+def series_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.agreement(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", "l_quantity"))
+
+
+@query("""SELECT vec_id, round(greatest(1.0, list_max(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 5))), 5) AS headroom, round(list_sum(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)))) / 64 / 2, 5) AS coverage,
+len(list_filter(embedding, lambda v: v >= 0.1)) >= 16 AS foreground FROM embeddings""")
+def sample_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = F.transform("embedding", lambda v: v.cast("double"))
+    return read(spark, sf_dir, "embeddings").select(
+        "vec_id", F.round(stats.headroom(F.transform(wide, lambda v: v * 5)), 5).alias("headroom"), F.round(stats.coverage(F.transform(wide, lambda v: F.abs(v)), 2.0), 5).alias("coverage"),
+        dc.has_foreground(wide, 0.1, 16).alias("foreground"),
+    )
+
+
+@query("""
+WITH x AS (SELECT o_orderkey AS g, l_linenumber AS o, l_returnflag AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2), a AS (SELECT g, list(t ORDER BY o, t) AS ts FROM x GROUP BY 1)
+SELECT g, CASE WHEN len(list_distinct(ts)) <> len(ts) THEN 'repeated' ELSE 'targets' END AS problem FROM a WHERE len(list_distinct(ts)) <> len(ts) OR ts <> ['N', 'A']""")
+def graph_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as graphs whose first two lines should be flagged N, then A."""
+    edges = read(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("g"), F.lit("s").alias("s"), F.col("l_linenumber").alias("o"), F.col("l_returnflag").alias("t"))
+    return graphs.shape_problems(edges, "g", "s", "t", "o", ["N", "A"])
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS g, count(*) AS n, count(DISTINCT l_linenumber) AS d, count(DISTINCT l_linestatus) AS c, max(l_linenumber) AS want FROM lineitem GROUP BY 1)
+SELECT g, CASE WHEN n <> want THEN 'count' WHEN d <> n THEN 'repeated' ELSE 'config' END AS problem FROM a WHERE n <> want OR d <> n OR c > 1""")
+def tile_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), "l_linenumber", F.lit(1).alias("one"), "l_linestatus")
+    return graphs.tile_problems(lines, "g", "l_linenumber", "l_linenumber", "one", "l_linestatus")
+
+
+@query("""
+WITH e AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), r AS (SELECT floor((o_orderkey - lo) * 64 / (hi - lo + 1)) AS s, o_orderkey AS o, sha256(len(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || len(o_orderstatus) || ':' || o_orderstatus) AS d FROM orders, e),
+x AS (SELECT s, sha256(string_agg(d, '' ORDER BY o)) AS d FROM r GROUP BY s) SELECT sha256(string_agg(d, '' ORDER BY s)) AS digest FROM x""")
+def plan_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.plan_digest(read(spark, sf_dir, "orders"), "o_orderkey", ["o_orderkey", "o_orderstatus"])
+
+
+@query("""
+WITH e AS (SELECT quantile_cont(l_quantity, 0.02) AS lo, quantile_cont(l_quantity, 0.98) AS hi FROM lineitem), b AS (SELECT CAST(greatest(0, least(15, floor((l_quantity - lo) / (hi - lo) * 16))) AS INTEGER) AS bin, l_extendedprice AS y FROM lineitem, e)
+SELECT bin, count(*) AS n, round(quantile_cont(y, 0.5), 6) AS median FROM b GROUP BY 1""")
+def bin_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").withColumn("all", F.lit(1))
+    return rounded(stats.bin_medians(lines, ["all"], "l_quantity", "l_extendedprice", 16).drop("all"))
