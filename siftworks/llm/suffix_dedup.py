@@ -80,7 +80,7 @@ class _Anchors:
             high = _sliding(np.maximum, floor, self.reach + 1)[: len(h)]
             some = _sliding(np.logical_or, asked, self.reach + 1)[: len(h)]
             self.at = np.flatnonzero(some & (high == short))
-            self.hash = h[self.at]
+            self.hash = mix(h[self.at])  # the least hashes are small numbers; mixed again they spread over the slices
         self.text = np.searchsorted(self.ends, self.at, side="right")
         self.doc = np.array([i if i is not None else 0 for i in ids], dtype=np.int64)[self.text] if len(ids) else self.at
 
