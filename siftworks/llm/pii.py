@@ -216,13 +216,14 @@ def find_pii(docs: DataFrame, scratch: Scratch, text: str = "text", keep: list[s
     pii_base holds the base spans, pii_spans those and the accepted candidates, each ordered by kind
     as in KINDS, then by start.  Places count code points; the end is exclusive.  A null text is
     empty and has no spans.  One row for each input row; null ids and repeated rows are no matter.
-    Columns already named __base, __more, pii_base or pii_spans are replaced.
+    Columns already named pii_base or pii_spans are replaced; all others pass through.
     """
-    kept = [c for c in (keep or docs.columns) if c not in ("__base", "__more", "pii_base", "pii_spans")]
-    scanned = scratch.table("scanned", scan(docs.select(*dict.fromkeys([*kept, text])), text).select(*kept, "__base", "__more"))
+    kept = [c for c in (keep or docs.columns) if c not in ("pii_base", "pii_spans")]
+    packed = docs.select(F.struct(*kept).alias("__row"), F.col(text).alias("__text"))  # in a struct no name can clash
+    scanned = scratch.table("scanned", scan(packed, "__text").select("__row", "__base", "__more"))
     fitted = learn(scanned)
     added = F.transform(F.filter("__more", fitted.accepts), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return scanned.select(*kept, F.col("__base").alias("pii_base"), F.concat("__base", added).alias("pii_spans"))
+    return scanned.select("__row.*", F.col("__base").alias("pii_base"), F.concat("__base", added).alias("pii_spans"))
 
 
 def as_string(spans: Column) -> Column:
