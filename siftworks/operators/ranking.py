@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICES = 64
+SHARE = 0.02  # of the rows, to choose the bounds of slices from
 
 
-def slice_bounds(df: DataFrame, order: str, slices: int = SLICES) -> list[float]:
-    """Approximate quantiles of the order column; any bounds are right, even ones are fast."""
+def slice_bounds(df: DataFrame, order: str, slices: int = SLICES, share: float = SHARE) -> list[float]:
+    """Approximate quantiles of a sample of the order column; any bounds are right, even ones are fast."""
     if slices < 2:
         return []
-    return sorted(set(df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.25 / slices)))
+    return sorted(set(df.select(order).sample(share, 7).approxQuantile(order, [i / slices for i in range(1, slices)], 0.25 / slices)))
 
 
 def _search(x: Column, bounds: list[float], first: int = 0) -> Column:
@@ -27,9 +28,9 @@ def _search(x: Column, bounds: list[float], first: int = 0) -> Column:
     return F.when(x <= bounds[m], _search(x, bounds[:m], first)).otherwise(_search(x, bounds[m + 1 :], first + m + 1))
 
 
-def with_slices(df: DataFrame, order: str, slices: int = SLICES, name: str = "_slice") -> DataFrame:
+def with_slices(df: DataFrame, order: str, slices: int = SLICES, bounds: list[float] | None = None, name: str = "_slice") -> DataFrame:
     """df with the slice of its order column; nulls are in the last one."""
-    bounds = slice_bounds(df, order, slices)
+    bounds = slice_bounds(df, order, slices) if bounds is None else bounds
     return df.withColumn(name, F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(_search(F.col(order), bounds)))
 
 
@@ -41,12 +42,12 @@ def same_keys(keys: list[str], prefix: str) -> Column:
     return out
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slices: int = SLICES, total: str | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slices: int = SLICES, total: str | None = None, bounds: list[float] | None = None) -> DataFrame:
     """df with name = sum of value over the key's rows up to this one, and total = the key's whole sum.
 
     order[0] is numeric; order is unique in a key.
     """
-    cut = with_slices(df, order[0], slices)
+    cut = with_slices(df, order[0], slices, bounds)
     sums = cut.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
     over = Window.partitionBy(*(f"_k_{k}" for k in keys))
     renamed = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_slice").alias("_s"), "_sum")
@@ -73,7 +74,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     whose running count passes its place: no task holds the values of a key.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(counted, keys, ["_x"], "_n", "_c", slices, "_of")
+    ranked = running(counted, keys, ["_x"], "_n", "_c", slices, "_of", slice_bounds(df.select(F.col(value).cast("double").alias("_x")), "_x", slices))
     ends = []
     for i, p in enumerate(wanted.values()):
         place = (F.col("_of") - 1) * p
