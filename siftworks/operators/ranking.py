@@ -67,14 +67,15 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank
     return out.drop("_one")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], slices: int = SLICES) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], slices: int = SLICES, bounds: list[float] | None = None) -> DataFrame:
     """keys, n and exact linearly interpolated percentiles of the non-null values of each key.
 
     Equal values are counted, counts are summed in slices, and each percentile is the least value
     whose running count passes its place: no task holds the values of a key.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(counted, keys, ["_x"], "_n", "_c", slices, "_of", slice_bounds(df.select(F.col(value).cast("double").alias("_x")), "_x", slices))
+    bounds = slice_bounds(df.select(F.col(value).cast("double").alias("_x")), "_x", slices) if bounds is None else bounds
+    ranked = running(counted, keys, ["_x"], "_n", "_c", slices, "_of", bounds)
     ends = []
     for i, p in enumerate(wanted.values()):
         place = (F.col("_of") - 1) * p

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftworks.operators.ranking import percentiles, same_keys
+from siftworks.operators.ranking import percentiles, running, same_keys, slice_bounds
 
 #: Names and percentiles of the nine-number summary.
 NINE = {"black_point": 0.005, "p02": 0.02, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "high_key": 0.95, "p98": 0.98, "white_point": 0.995}
@@ -60,9 +60,12 @@ def micro_macro(df: DataFrame, group: str, error: str) -> DataFrame:
 
 def robust_scale(df: DataFrame, keys: list[str], value: str, quantile: float = 0.9, least: float = 1e-3) -> DataFrame:
     """Median and quantile of |x - median| of each key; a scale below least is inactive."""
-    centre = percentiles(df, keys, value, {"median": 0.5}).drop("n")
-    gaps = df.join(centre, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_gap"))
-    return centre.join(percentiles(gaps, keys, "_gap", {"scale": quantile}).drop("n"), keys).withColumn("active", F.col("scale") >= least)
+    bounds = slice_bounds(df, value)
+    around = sorted({abs(b - bounds[len(bounds) // 2]) for b in bounds})  # near the quantiles of the distances, without a pass to find them
+    centre = percentiles(df, keys, value, {"median": 0.5}, bounds=bounds).drop("n")
+    gaps = df.join(centre, keys).select(*keys, "median", F.abs(F.col(value) - F.col("median")).alias("_gap"))
+    found = percentiles(gaps, [*keys, "median"], "_gap", {"scale": quantile}, bounds=around).drop("n")
+    return found.withColumn("active", F.col("scale") >= least)
 
 
 def summary(df: DataFrame, keys: list[str], wall: str, memory: str) -> DataFrame:
@@ -77,11 +80,12 @@ def receipt(df: DataFrame, keys: list[str], status: str, names: list[str]) -> Da
 
 
 def trimmed_anchor(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Rows ranked by order, ranks [n // 5, 4n // 5) kept; the upper median of value among them."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, value)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    kept = ranked.where((F.col("_rank") >= F.floor(F.col("_n") / 5)) & (F.col("_rank") < F.floor(F.col("_n") * 4 / 5)))
-    placed = kept.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return placed.where(F.col("_at") == F.floor(F.col("_m") / 2)).select(*keys, F.col(value).alias("anchor"), F.col("_m").alias("kept"))
+    """Rows ranked by order, ranks [n // 5, 4n // 5) kept; the upper median of value among them.  Ranks are taken in slices."""
+    one = df.select(*keys, order, value, F.lit(1).cast("long").alias("_one"))
+    ranked = running(one, keys, [order, value], "_one", "_rank", total="_n")
+    kept = ranked.where((F.col("_rank") - 1 >= F.floor(F.col("_n") / 5)) & (F.col("_rank") - 1 < F.floor(F.col("_n") * 4 / 5))).select(*keys, value, "_one")
+    placed = running(kept, keys, [value], "_one", "_at", total="_m")
+    return placed.where(F.col("_at") - 1 == F.floor(F.col("_m") / 2)).select(*keys, F.col(value).alias("anchor"), F.col("_m").alias("kept"))
 
 
 def local_regression(df: DataFrame, keys: list[str], x: str, y: str, held_out: Column) -> DataFrame:

@@ -63,12 +63,14 @@ def categorize_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_orderkey, o_custkey, min(l_linenumber) AS companion FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) l ON o_orderkey = l_orderkey GROUP BY ALL""")
 def companion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the first of its large lines, if it has one."""
     big = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     return planning.companions(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), big, ["o_orderkey"], "l_linenumber")
 
 
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def missing_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without a finished order."""
     done = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return planning.missing(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), done, ["c_custkey"])
 
@@ -92,6 +94,7 @@ WITH f AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000003 AS flags FROM
 SELECT o_orderkey, modes, CASE WHEN modes <> '' THEN string_split(modes, ',')[1] WHEN flags & {~fl.KNOWN_MASK & 0x7FFFFFFFFFFFFFFF} = 0 THEN 'normal' END AS primary_mode,
 CAST(flags & {fl.MAPPED_MASK} AS BIGINT) AS recognized, CAST(flags & {fl.KNOWN_MASK & ~fl.MAPPED_MASK} AS BIGINT) AS known_unmapped, CAST(flags & {~fl.KNOWN_MASK & 0x7FFFFFFFFFFFFFFF} AS BIGINT) AS unknown FROM g""")
 def flag_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys, spread over the bits, as capture flags."""
     flags = (F.col("o_orderkey") * 1000003).cast("decimal(20,0)")
     df = read(spark, sf_dir, "orders").select("o_orderkey", flags.alias("flags")).withColumn("found", fl.modes(F.col("flags")))
     f, found = F.col("flags"), F.col("found")
@@ -101,6 +104,7 @@ def flag_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS flags FROM events""")
 def flag_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flag value in each event's JSON properties."""
     return read(spark, sf_dir, "events").select("event_id", fl.parse_json_flags(F.col("props"), "k").cast("long").alias("flags"))
 
 
@@ -158,6 +162,7 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY bin) AS cumulative, sum(n)
 d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY bin) AS i FROM c WHERE cumulative > floor(total * 0.3))
 SELECT k AS l_returnflag, bin, CAST(cumulative AS BIGINT) AS cumulative, round(mean, 6) AS mean FROM d WHERE i = 1""")
 def histogram_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price bin of each return flag where the running count passes 30 %."""
     lines = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
     ends = lines.groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
     binned = stats.histogram(lines.join(ends, "l_returnflag"), ["l_returnflag"], "l_extendedprice", 20, "low", "high")
@@ -219,6 +224,7 @@ _YEARLY = "SELECT l_returnflag || l_linestatus || CAST(l_linenumber AS VARCHAR)
 WITH a AS ({_YEARLY.format(1996)}), b AS ({_YEARLY.format(1997)}), j AS (SELECT a.c, a.v AS reference, greatest(a.v * 1.01, a.v + 50) AS budget, b.v AS current FROM a LEFT JOIN b USING (c))
 SELECT c, round(reference, 6) AS reference, round(budget, 6) AS budget, round(current, 6) AS current, CASE WHEN current IS NULL THEN 'missing' WHEN current <= budget THEN 'pass' ELSE 'fail' END AS verdict FROM j""")
 def budget_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean prices of 1997 against a budget from those of 1996, by flag, status and line."""
     lines = read(spark, sf_dir, "lineitem").withColumn("c", F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")))
     year = lambda y: lines.where(F.year("l_shipdate") == y).groupBy("c").agg(F.avg("l_extendedprice").alias("v"))
     return rounded(stats.budget_report(year(1996), year(1997), "c", "v", 0.01, 50.0))
@@ -229,6 +235,7 @@ WITH r AS (SELECT l_suppkey AS k, l_extendedprice AS v, row_number() OVER (PARTI
 s AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) - 1 AS j, count(*) OVER (PARTITION BY k) AS m FROM r WHERE i >= floor(n / 5) AND i < floor(n * 4 / 5))
 SELECT k AS l_suppkey, v AS anchor, m AS kept FROM s WHERE j = floor(m / 2)""")
 def trimmed_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper median of the price among the middle three fifths of each supplier's lines by quantity."""
     return stats.trimmed_anchor(read(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice"), ["l_suppkey"], "l_quantity", "l_extendedprice")
 
 
@@ -237,6 +244,7 @@ WITH t AS (SELECT l_suppkey AS k, regr_slope(l_extendedprice, l_quantity) AS slo
 h AS (SELECT k, avg(abs(l_extendedprice - intercept - slope * l_quantity)) AS e FROM lineitem JOIN t ON l_suppkey = k WHERE (l_orderkey + l_linenumber) % 2 = 0 GROUP BY 1)
 SELECT t.k AS l_suppkey, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(correlation, 6) AS correlation, round(e, 4) AS held_out_mae FROM t LEFT JOIN h ON t.k = h.k""")
 def local_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price on quantity for each supplier, fitted on one colour of a checkerboard and judged on the other."""
     found = stats.local_regression(read(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", (F.col("l_orderkey") + F.col("l_linenumber")) % 2 == 0)
     return found.select("l_suppkey", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), r6("correlation").alias("correlation"), F.round("held_out_mae", 4).alias("held_out_mae"))
 
@@ -253,6 +261,7 @@ def edge_to_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY 1, 2")
 def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last write wins: the last event of each user and type."""
     return rounded(ordered.replay(read(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["event_id", "value"]))
 
 
@@ -285,6 +294,7 @@ w AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OV
 WINDOW b AS (PARTITION BY event_type ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c AS (PARTITION BY event_type ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT event_type, CAST(pos AS INTEGER) AS pos, round(coalesce(v, CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * (pos - x0) / (x1 - x0) END, y0, y1), 6) AS filled FROM w""")
 def gap_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily means measured on every third day; the days between are the gaps to fill."""
     events = read(spark, sf_dir, "events")
     days = events.select("event_type").distinct().withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(31))))
     known = events.where(F.day("ts") % 3 == 1).groupBy("event_type", F.day("ts").alias("pos")).agg(F.avg("value").alias("v"))
@@ -396,6 +406,7 @@ def scene_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH r AS (SELECT p_brand, min(p_retailprice) - 1e-9 AS lo, max(p_retailprice) + 1e-9 AS hi FROM part WHERE p_size <= 25 GROUP BY 1) SELECT p_partkey, p_retailprice BETWEEN lo AND hi AS in_range FROM part LEFT JOIN r USING (p_brand)""")
 def range_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is a part's price within its brand's range among the small parts?"""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
     return graphs.outside_range(part, part.where("p_size <= 25"), ["p_brand"], "p_retailprice").select("p_partkey", "in_range")
 
@@ -410,6 +421,7 @@ _HALF = "SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = {0}
 
 @query(f"""SELECT side, count(*) AS n FROM (SELECT 'left' AS side FROM ({_HALF.format(0)} EXCEPT ALL {_HALF.format(1)}) UNION ALL SELECT 'right' FROM ({_HALF.format(1)} EXCEPT ALL {_HALF.format(0)})) GROUP BY 1""")
 def bag_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of even orders against those of odd orders as bags; both halves make the whole table."""
     half = lambda k: read(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 2 == k).select("l_suppkey", "l_linenumber")
     return graphs.bag_difference(half(0), half(1)).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
@@ -438,6 +450,7 @@ def ref_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_orderkey, rule, count(*) AS n FROM (SELECT l_orderkey, unnest(list_filter([CASE WHEN NOT coalesce(l_quantity <= 45, false) THEN 'quantity' END, CASE WHEN NOT coalesce(l_discount < 0.1, false) THEN 'discount' END, CASE WHEN NOT coalesce(l_tax < 0.08, false) THEN 'tax' END], lambda x: x IS NOT NULL)) AS rule FROM lineitem) GROUP BY 1, 2""")
 def validation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules of each order's lines."""
     rules = {"quantity": F.col("l_quantity") <= 45, "discount": F.col("l_discount") < 0.1, "tax": F.col("l_tax") < 0.08}
     return gates.violations(read(spark, sf_dir, "lineitem"), "l_orderkey", rules).groupBy("l_orderkey", "rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -446,6 +459,7 @@ def validation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH x AS (SELECT l_returnflag AS f, l_linenumber AS n, count(*) AS c FROM lineitem WHERE l_quantity > 30 GROUP BY 1, 2), e AS (SELECT DISTINCT l_returnflag AS f, i AS n FROM lineitem, range(0, 8) t(i))
 SELECT f, CAST(n AS INTEGER) AS n, 'missing' AS problem FROM e WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.f = e.f AND x.n = e.n) UNION ALL SELECT f, n, 'repeated' FROM x WHERE c > 1""")
 def sweep_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flag and line-number cells of the large lines against the full grid."""
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("n"), "l_quantity")
     grid = lines.select("f").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(7))))
     return gates.grid_gaps(grid, lines.where("l_quantity > 30").select("f", "n"), ["f", "n"])
@@ -522,6 +536,7 @@ WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,
 b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, event_type FROM events WHERE event_id % 2 = 1)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, CAST(coalesce(a.position, b.position) AS INTEGER) AS position, coalesce(a.event_type = b.event_type, false) AS equal FROM a FULL JOIN b ON a.user_id = b.user_id AND a.position = b.position""")
 def packet_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's even-numbered events against the odd-numbered ones, place by place; both halves make the whole table."""
     events = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
     return ordered.positional_parity(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id"], ["ts", "event_id"], ["event_type"])
 
@@ -531,6 +546,7 @@ _YEAR_KEY = "SELECT l_suppkey AS k, round(sum(l_quantity), 6) AS v FROM lineitem
 
 @query(f"""WITH a AS ({_YEAR_KEY.format(1996)}), b AS ({_YEAR_KEY.format(1997)}) SELECT coalesce(a.k, b.k) AS k, a.v AS before, b.v AS after, CASE WHEN a.v IS NULL THEN 'before' WHEN b.v IS NULL THEN 'after' ELSE 'none' END AS lacks FROM a FULL JOIN b ON a.k = b.k""")
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large lines of each supplier in 1996 against 1997."""
     year = lambda y: read(spark, sf_dir, "lineitem").where((F.year("l_shipdate") == y) & (F.col("l_quantity") > 48)).groupBy(F.col("l_suppkey").alias("k")).agg(r6(F.sum("l_quantity")).alias("v"))
     return ordered.key_comparison(year(1996), year(1997), ["k"], "v")
 
@@ -604,6 +620,7 @@ def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, value FROM events WHERE event_id % 7 = 0")
 def strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh event: the sampling is the operator."""
     return ordered.strided(read(spark, sf_dir, "events").select("event_id", "value"), "event_id", 7000, 1000)
 
 
