@@ -37,6 +37,7 @@ _AGAINST = frozenset(
     "pagination pager widget widgets legal copyright disclaimer skip hidden meta byline toolbar tools utility".split()
 )
 _FOR = frozenset("article content contents main post entry story body text page hentry articlebody maincontent document".split())
+_HEADS = frozenset(("header", "head", "title"))
 _WORDS_AGAINST = re.compile(
     r"^(?:©|\(c\)|copyright\b|all rights reserved|advertisement|sponsored|subscribe|sign up|log ?in|share|related|read more|comments?\b|leave a (?:reply|comment)|"
     r"\d+ comments?|reply\b|we use cookies|this (?:site|website) uses cookies|privacy|terms|skip to|menu|search|posted by|follow us|cookies?\b)|(?:cookies|newsletter|all rights reserved)",
@@ -47,7 +48,7 @@ _ENDS = re.compile(r"[.!?…:;,](?:\s|$)")
 _KINDS = ("run", "p", "heading", "list", "table", "box", "frame")
 _KIND_OF = {"": 0, "p": 1, **{f"h{i}": 2 for i in range(1, 7)}, "ul": 3, "ol": 3, "li": 3, "dl": 3, "dt": 3, "dd": 3, "table": 4, "tr": 4, "td": 4, "th": 4, "tbody": 4, "nav": 6, "header": 6, "footer": 6, "aside": 6, "form": 6}
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
-N_FEATURES = len(_TAGS) + 17
+N_FEATURES = len(_TAGS) + 21
 
 
 def _features(nodes: list[Node]) -> np.ndarray:
@@ -62,6 +63,7 @@ def _features(nodes: list[Node]) -> np.ndarray:
                 a[n.parent] += a[i]
     out = np.zeros((len(nodes), N_FEATURES))
     base = len(_TAGS)
+    against, within = [False] * len(nodes), [False] * len(nodes)  # some ancestor or self speaks against, or for, content
     for i, n in enumerate(nodes):
         own = n if n.tag else nodes[n.parent]
         row = out[i]
@@ -69,6 +71,8 @@ def _features(nodes: list[Node]) -> np.ndarray:
             row[_TAG_AT[own.tag]] = 1
         if own.names.strip():
             names = {w.lower() for w in _NAME.findall(own.names)}
+            if own.parent >= 0 and within[own.parent]:
+                names -= _HEADS  # the head of an article belongs to it
             row[base] = bool(names & _AGAINST)
             row[base + 1] = bool(names & _FOR) and not row[base]
         long = math.log1p(size[i])
@@ -88,6 +92,15 @@ def _features(nodes: list[Node]) -> np.ndarray:
         row[base + 14] = size[i] == 0
         row[base + 15] = own.tag in ("nav", "header", "footer", "aside", "form", "dialog")
         row[base + 16] = 1
+        if n.parent >= 0:
+            up = n.parent
+            frame = n.tag in ("nav", "footer", "aside", "form", "dialog") or n.tag == "header" and not within[up]
+            against[i] = against[up] or bool(n.tag) and (frame or bool(row[base]))
+            within[i] = within[up] or n.tag in ("article", "main") or bool(n.tag) and bool(row[base + 1])
+        row[base + 17] = against[i]
+        row[base + 18] = within[i] and not against[i]
+        row[base + 19] = not within[i] and not against[i]
+        row[base + 20] = within[i] and against[i]
     return out
 
 
@@ -196,6 +209,9 @@ def extract_text(pages: DataFrame, model: Model) -> DataFrame:
 _PARTS = "an be co de el fi ga hu in jo ka li mo ne or pa qui re so ta un ve wi xa yo za the and ing ion ment ous té ción ung keit".split()
 
 
+_NEUTRAL = "wrap wrapper container row col col-8 col-main inner layout block region box l-grid section-1 clearfix left center".split()
+
+
 class _Writer:
     """Writes one page: each part is HTML with its label."""
 
@@ -221,7 +237,7 @@ class _Writer:
         """An element with one of the names as class or id; now and then a plain one."""
         r = self.r
         if not names or r.random() < bare:
-            name = ""
+            name = "" if r.random() < 0.6 else f' class="{r.choice(_NEUTRAL)}"'
         else:
             pick = r.choice(names.split())
             name = f' {r.choice(("class", "id"))}="{r.choice(("", "", "site-", "main-", "the-", "c-")) + pick if r.random() < 0.5 else pick}"'
@@ -237,7 +253,7 @@ class _Writer:
         r = self.r
         inner = r.choice((f"<h1>{self.words(1, 4)}</h1>", f"<p>{self.words(2, 8)}</p>", self.link(), "", f"<div>{self.sentences(1, 2)}</div>"))
         parts = [r.choice((self.named("header", "header masthead", inner, 0, 0.5), self.named("div", "header masthead topbar banner", inner, 0, 0.05), ""))]
-        parts.append(r.choice((self.named("nav", "nav menu navigation", self.links(r.randint(2, 9)), 0, 0.6), self.named("div", "nav menu navbar", self.links(r.randint(3, 9)), 0, 0.2), f'<ul data-label="0">{"".join(f"<li>{self.link()}</li>" for _ in range(5))}</ul>', "")))
+        parts.append(r.choice((self.named("nav", "nav menu navigation", self.links(r.randint(2, 9)), 0, 0.6), self.named("div", "nav menu navbar top", self.links(r.randint(2, 9)), 0, 0.5), f'<ul data-label="0">{"".join(f"<li>{self.link()}</li>" for _ in range(5))}</ul>', "")))
         if r.random() < 0.2:
             parts.append(self.named("div", "breadcrumb breadcrumbs", " &gt; ".join(self.link() for _ in range(3)), 0, 0.1))
         return "".join(parts)
@@ -270,8 +286,11 @@ class _Writer:
     def content(self) -> str:
         r = self.r
         parts = [f"<h1>{self.words(2, 9)}</h1>"] if r.random() < 0.75 else []
+        if parts and r.random() < 0.2:
+            name = r.choice(("entry-header", "post-header", "article-header", "title-block", "head"))
+            parts = [f'<{(t := r.choice(("header", "div")))} class="{name}" data-label="1">{parts[0]}' + (self.named("div", "meta byline", f"{self.words(1, 3)} {self.link(1, 2)}", 0, 0.0) if r.random() < 0.5 else "") + f"</{t}>"]
         prose = r.choice((1.0, 1.0, 0.95, 0.8, 0.0))
-        for _ in range(r.choice((1, 2, 3, 5, 8, 14))):
+        for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14))):
             k = r.random()
             text = self.sentences(1, r.choice((1, 3, 8, 20))) if r.random() < prose else self.plain()
             if r.random() < 0.2:
@@ -296,6 +315,8 @@ class _Writer:
         if r.random() < 0.12:
             inner += self.comments()
         wrap = r.choice((("article", "article post entry"), ("article", ""), ("article", ""), ("main", "content main"), ("div", "content article post entry story text articlebody"), ("div", "content post entry"), ("section", "content story"), ("div", "")))
+        if r.random() < 0.08:  # no wrapper: the parts stand in the body
+            return "".join(re.sub(r"<(p|h[1-6]|ul|blockquote|table|pre|div)>", r'<\1 data-label="1">', part) for part in parts)
         out = self.named(*wrap, inner, 1, 0.3)
         for _ in range(r.choice((0, 0, 1, 2))):
             out = f'<{(t := r.choice(("div", "main", "section")))} data-label="1">{out}</{t}>'
@@ -308,6 +329,8 @@ class _Writer:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.06:  # a page of text alone
+            return f'<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body data-label="0">{self.content()}</body></html>'
         body = [self.head(), *(self.noise() for _ in range(r.choice((0, 1, 1, 2, 3)))), self.content(), *(self.noise() for _ in range(r.choice((0, 0, 1, 2))))]
         if r.random() < 0.35:
             body.append(self.comments())
