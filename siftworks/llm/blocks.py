@@ -116,8 +116,20 @@ def repeated_cells(cells: DataFrame, hot: int = 0, hot_kind: int = -1) -> DataFr
     return cells.groupBy("kind", "slice").applyInArrow(run, EXCHANGE_SCHEMA)
 
 
+_MASK = np.uint64((1 << 22) - 1)
+
+
 def is_member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x (unsigned) are among sorted_values; a table of low bits spares most of the searches."""
+    out = np.zeros(len(x), dtype=bool)
     if not len(sorted_values):
-        return np.zeros(len(x), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return sorted_values[at] == x
+        return out
+    if len(x) > 1 << 14:
+        table = np.zeros(1 << 22, dtype=bool)
+        table[(sorted_values & _MASK).astype(np.int64)] = True
+        ask = np.flatnonzero(table[(x & _MASK).astype(np.int64)])
+    else:
+        ask = np.arange(len(x))
+    at = np.minimum(np.searchsorted(sorted_values, x[ask]), len(sorted_values) - 1)
+    out[ask] = sorted_values[at] == x[ask]
+    return out
