@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from siftworks.operators.ranking import numbered, numeric_order, running, shifted
+
 
 def replay(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The last row of each key by order (last write wins), by aggregation: no key is gathered."""
@@ -18,7 +20,8 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def steps(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """df with delta, the next value less this one; null at the end of a key."""
-    return df.withColumn("delta", F.lead(value).over(Window.partitionBy(*keys).orderBy(order)) - F.col(value))
+    numeric, by = numeric_order(df, [order])
+    return shifted(numeric, keys, by, value, "_next", ahead=True).select(*df.columns, (F.col("_next") - F.col(value)).alias("delta"))
 
 
 def step_score(stepped: DataFrame, keys: list[str], epsilon: float = 0.0) -> DataFrame:
@@ -28,15 +31,16 @@ def step_score(stepped: DataFrame, keys: list[str], epsilon: float = 0.0) -> Dat
 
 
 def strictly_increasing(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    last = F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("_ok", F.coalesce(F.col(value) > last, F.lit(True))).groupBy(*keys).agg(F.bool_and("_ok").alias("increasing"))
+    numeric, by = numeric_order(df, [order])
+    last = shifted(numeric, keys, by, value, "_last")
+    return last.withColumn("_ok", F.coalesce(F.col(value) > F.col("_last"), F.lit(True))).groupBy(*keys).agg(F.bool_and("_ok").alias("increasing"))
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], state: str) -> DataFrame:
     """Maximal runs of one state: keys, run (from 0), state, first and last of order[0], length."""
-    along = Window.partitionBy(*keys).orderBy(*order)
-    changed = (~F.col(state).eqNullSafe(F.lag(state).over(along))) | (F.row_number().over(along) == 1)
-    numbered = df.withColumn("_new", changed.cast("int")).withColumn("run", (F.sum("_new").over(along) - 1).cast("long"))
+    numeric, by = numeric_order(df.withColumn("_here", F.struct(F.col(state).alias("s"))), order)
+    marked = shifted(numeric, keys, by, "_here", "_last_state").withColumn("_new", (~F.col("_here").eqNullSafe(F.col("_last_state"))).cast("long"))
+    numbered = running(marked, keys, by, "_new", "_run").withColumn("run", F.col("_run") - 1)
     return numbered.groupBy(*keys, "run").agg(F.first(state).alias(state), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("length"))
 
 
@@ -62,7 +66,11 @@ def strided(df: DataFrame, position: str, total: int, most: int) -> DataFrame:
 
 def positional_parity(left: DataFrame, right: DataFrame, track: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Rows of two tables paired by their number in each track: track, position, equal (false where one is missing)."""
-    place = lambda df, side: df.select(*track, (F.row_number().over(Window.partitionBy(*track).orderBy(*order)) - 1).alias("position"), F.struct(*values).alias(side))
+
+    def place(df: DataFrame, side: str) -> DataFrame:
+        numeric, by = numeric_order(df, order)
+        return numbered(numeric, track, by, "_place").select(*track, (F.col("_place") - 1).cast("int").alias("position"), F.struct(*values).alias(side))
+
     both = place(left, "_a").join(place(right, "_b"), [*track, "position"], "full")
     return both.select(*track, "position", (F.col("_a").isNotNull() & F.col("_b").isNotNull() & F.col("_a").eqNullSafe(F.col("_b"))).alias("equal"))
 

@@ -52,13 +52,13 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, name:
     over = Window.partitionBy(*(f"_k_{k}" for k in keys))
     renamed = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_slice").alias("_s"), "_sum")
     offsets = renamed.select(
-        *(f"_k_{k}" for k in keys), "_s", F.sum("_sum").over(over).alias("_total"),
-        F.coalesce(F.sum("_sum").over(over.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        *(f"_k_{k}" for k in keys), "_s", F.sum("_sum").over(over).alias("_run_total"),
+        F.coalesce(F.sum("_sum").over(over.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_run_before"),
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = cut.withColumn(name, F.sum(value).over(inside))
-    out = part.join(offsets, (F.col("_slice") == F.col("_s")) & same_keys(keys, "_k_")).withColumn(name, F.col(name) + F.col("_before"))
-    return out.select(*df.columns, name, *([F.col("_total").alias(total)] if total else []))
+    out = part.join(offsets, (F.col("_slice") == F.col("_s")) & same_keys(keys, "_k_")).withColumn(name, F.col(name) + F.col("_run_before"))
+    return out.select(*df.columns, name, *([F.col("_run_total").alias(total)] if total else []))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", slices: int = SLICES) -> DataFrame:
@@ -83,3 +83,29 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     found = ranked.groupBy(*keys).agg(F.max("_of").alias("n"), *ends)
     share = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
     return found.select(*keys, "n", *((F.col(f"_low{i}") * (1 - share(p)) + F.col(f"_high{i}") * share(p)).alias(name) for i, (name, p) in enumerate(wanted.items())))
+
+
+def shifted(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, ahead: bool = False, slices: int = SLICES) -> DataFrame:
+    """df with name = value of the row before (or, ahead, after) in the key, null at its end.
+
+    Inside a slice this is a window; the first row of a slice takes the last value of the slice
+    before it that has rows.  order[0] is numeric and not null, order is unique in a key.
+    """
+    cut = with_slices(df, order[0], slices)
+    one, place = F.struct(F.col(value).alias("v")), F.struct(*order)
+    edge = F.min_by(one, place) if ahead else F.max_by(one, place)
+    edges = cut.groupBy(*keys, "_slice").agg(edge.alias("_edge")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_slice").alias("_s"), "_edge")
+    along = Window.partitionBy(*(f"_k_{k}" for k in keys)).orderBy("_s")
+    edges = edges.select(*(f"_k_{k}" for k in keys), "_s", (F.lead("_edge") if ahead else F.lag("_edge")).over(along).alias("_over"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    near = (F.lead(one) if ahead else F.lag(one)).over(inside)
+    out = cut.withColumn("_near", near).join(edges, (F.col("_slice") == F.col("_s")) & same_keys(keys, "_k_"))
+    return out.select(*df.columns, F.coalesce("_near", "_over")["v"].alias(name))
+
+
+def numeric_order(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    """df and order with a leading time or date as microseconds in column _us."""
+    kind = dict(df.dtypes)[order[0]]
+    if kind.startswith(("timestamp", "date")):
+        return df.withColumn("_us", F.unix_micros(F.col(order[0]).cast("timestamp"))), ["_us", *order[1:]]
+    return df, order

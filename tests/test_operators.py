@@ -111,6 +111,19 @@ def test_sliced_running_sums(spark, slices):
             assert got[key, o] == (total, n)
 
 
+@pytest.mark.parametrize("slices", [1, 5])
+def test_shifts_over_slices(spark, slices):
+    rows = [(k, o, None if o % 5 == 0 else o * o) for k in ("a", "b", None) for o in range(0, 90, 3 if k else 1)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    for ahead in (False, True):
+        got = {(k, o): x for k, o, x in values(ranking.shifted(df, ["k"], ["o"], "v", "x", ahead, slices), "k", "o", "x")}
+        for key in ("a", "b", None):
+            line = [r for r in rows if r[0] == key]
+            for i, (_, o, _) in enumerate(line):
+                j = i + 1 if ahead else i - 1
+                assert got[key, o] == (line[j][2] if 0 <= j < len(line) else None)
+
+
 # --- planning ---
 
 
