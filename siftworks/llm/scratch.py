@@ -8,6 +8,7 @@ folder is used.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -37,7 +38,9 @@ def _root(spark: SparkSession) -> str:
 
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
-    if sc._jsc is None:  # the session has ended
+    if sc._jsc is None:  # the session has ended: what it left in a mounted folder can still go
+        if path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
         return
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
