@@ -9,14 +9,17 @@ the pairs, all but 3 in a million, share a band.  Every candidate is then verifi
 sets of shingle hashes, so a merge always has a pair of that similarity behind it.
 
 Documents with equal shingle sets are first reduced to one class.  In a band, members are linked to
-one representative, never all to each other; a second round takes other representatives, for the
-pairs that are not yet in one component.  A pair whose bands all hold other members, none of them
-similar to both, is found only if one of the two is a representative; bands of four rows hold few
-members that are not near-duplicates themselves.
+two representatives in two rounds, which joins most copies at little cost.  A bucket of three or more
+whose members are then still in several components may hide pairs that have no representative in
+common, so its members pass an exact prefix-filter join: each class is sorted by how common its
+shingles are, rarest first; two sets of that similarity must share one of the first shingles of both,
+and what is left from there on must still be large enough.  All pairs that pass and are not yet in one
+component are verified, whatever the size of the bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 BROADCAST_ROWS = 4_000_000  # row numbers (8 bytes) that may be sent to every executor
+CELLS, SLICES = 1 << 20, 64  # counters of shingles that order them by how common they are; rows that carry them
 _SALTS = (np.random.default_rng(20).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -88,6 +92,65 @@ def _alike(similarity: float):
     return run
 
 
+def _counted(shingle: int):
+    """How many classes of the partition hold shingles of each cell, in slices of the cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(count, _cells(shingle_set((text.as_py() or "").encode(), shingle)), 1)
+        parts = [(i, part.tobytes()) for i, part in enumerate(np.split(count, SLICES)) if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["slice", "counts"])
+
+    return run
+
+
+def _cells(s: np.ndarray) -> np.ndarray:
+    return (mix(s) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _summed(part: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), np.int64) for x in part.column("counts"))
+    return pa.table({"slice": part.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _prefixes(shingle: int, similarity: float, sent):
+    """Of each class the first shingles in the common order, with what is left from there on.
+
+    A shingle whose cell counts one class is shared with none and only takes its place in the order.
+    """
+    names = ["token", "class", "component", "size", "left"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = sent.value
+        for batch in batches:
+            for node, component, text in zip(*batch.columns, strict=True):
+                s = shingle_set((text.as_py() or "").encode(), shingle)
+                often = count[_cells(s)]
+                order = np.lexsort((s, often))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+                at = np.flatnonzero(often[order] > 1)
+                same = lambda v, n=len(at): pa.array(np.full(n, v, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(s[order[at]].view(np.int64)), same(node.as_py()), same(component.as_py()), same(len(s)), pa.array(len(s) - at)], names=names)
+
+    return run
+
+
+def _prefix_pairs(crowd: DataFrame, texts: DataFrame, similarity: float, shingle: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the classes of crowd (class, component) that can be similar enough and are in
+    different components: every pair that is similar enough is among them."""
+    held = scratch.table("crowd_texts", _small_join(texts, crowd, "class", "inner").select("class", "component", "text"))
+    counts = held.select("text").mapInArrow(_counted(shingle), "slice long, counts binary").groupBy("slice").applyInArrow(_summed, "slice long, counts binary")
+    total = np.zeros((SLICES, CELLS // SLICES), np.int32)
+    for r in scratch.table("crowd_counts", counts).collect():
+        total[r["slice"]] = np.minimum(np.frombuffer(r["counts"], np.int64), np.iinfo(np.int32).max)
+    sent = crowd.sparkSession.sparkContext.broadcast(total.ravel())  # four bytes for each of the cells
+    first = scratch.table("prefixes", held.mapInArrow(_prefixes(shingle, similarity, sent), "token long, class long, component long, size long, left long"))
+    side = lambda x: first.select("token", F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "size", "left")))
+    room = F.least("left_a", "left_b") * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & room).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs (a, b) of classes whose shingle sets are similar enough."""
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
@@ -142,8 +205,19 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingl
         where = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
         apart = ordered(starred.select(F.col("class").alias("p"), F.col("second").alias("q"))).join(where("a"), "a", "left").join(where("b"), "b", "left")
         apart = apart.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        more = _verified(scratch.table("pairs2", apart.join(scratch.table("tried", ordered(pairs)), ["a", "b"], "left_anti")), texts, similarity, shingle, scratch, "two")
-        group = connected_components(edges.unionByName(more), scratch, "cc_two")
+        tried = scratch.table("tried", ordered(pairs))
+        more = _verified(scratch.table("pairs2", apart.join(tried, ["a", "b"], "left_anti")), texts, similarity, shingle, scratch, "two")
+        edges = edges.unionByName(more)
+        group = connected_components(edges, scratch, "cc_two")
+        # crowded buckets: all pairs that two representatives have not joined
+        placed = classes.select("class").join(group, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"))
+        inside = spread.join(full.where("n > 2").select("band", "key"), ["band", "key"]).join(placed, "class")
+        split = inside.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
+        crowd = scratch.table("crowd", inside.join(split, ["band", "key"]).select("class", "component").distinct())
+        if not crowd.isEmpty():
+            close = _prefix_pairs(crowd, texts, similarity, shingle, scratch)
+            rest = _verified(scratch.table("pairs3", close.join(tried, ["a", "b"], "left_anti")), texts, similarity, shingle, scratch, "three")
+            group = connected_components(edges.unionByName(rest), scratch, "cc_three")
         member = classes.join(group, F.col("class") == F.col("node")).select("class", "component", "best")
         winner = member.groupBy("component").agg(F.min("best").alias("top"))
         lost = member.join(winner, "component").where(F.col("top.row") != F.col("class")).select("class")

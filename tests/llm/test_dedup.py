@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 import xxhash
 
+from siftworks.llm import near_dedup
 from siftworks.llm.simhash import fingerprint, simhash_components
 from siftworks.llm.substring_dedup import remove_repeated_windows
 from siftworks.llm.suffix_dedup import refine, remove_earlier_strings
@@ -155,3 +156,20 @@ def test_digest_of_nothing(spark):
     assert remove_repeated_windows(docs).collect()[0].kept == ""
     row = remove_earlier_strings(docs).collect()[0]
     assert hashlib.sha256(bytes(row.kept)).hexdigest().startswith("e3b0c442")
+
+
+def test_pairs_in_crowded_buckets(spark):
+    """Pairs that share most of their text with a whole family just under the similarity."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    template, rows = [word() for _ in range(404)], []
+    for pair in range(120):
+        both = [word() for _ in range(15)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(template + both + [word() for _ in range(40)])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(near_dedup.shingle_set(t.encode()).tolist()) for _, t in rows]
+    alike = lambda p, q: len(sets[p] & sets[q]) / len(sets[p] | sets[q])
+    assert all((alike(p, q) >= 0.8) == (p // 2 == q // 2) for p in range(240) for q in range(p))
+    kept = sorted(x.doc_id for x in near_dedup.drop_near_duplicates(table).select("doc_id").collect())
+    assert kept == list(range(0, 240, 2))
