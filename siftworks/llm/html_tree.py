@@ -14,6 +14,7 @@ BLOCK = frozenset(
 )
 SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select option optgroup textarea button datalist map".split())
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template"))
+_IN_HEAD = frozenset("base link meta noscript script style template title head html".split())  # other start tags, and text, end a head
 #: A start tag of the first kind ends an open element of the second kinds, up to one of the third.
 _CLOSES = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
@@ -78,6 +79,8 @@ def parse(html: str) -> list[Node]:
             continue
         at = m.end()
         if m[4] is not None:
+            if stack[-1][0] == "head" and not m[4].isspace():
+                pop_to(len(stack) - 1)
             if not skip:
                 pieces.append((m[4], links > 0))
             continue
@@ -92,6 +95,8 @@ def parse(html: str) -> list[Node]:
                 if stack[depth][0] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
             continue
+        if stack[-1][0] == "head" and tag not in _IN_HEAD:
+            pop_to(len(stack) - 1)
         if tag == "br":
             if not skip:
                 pieces.append((" ", links > 0))

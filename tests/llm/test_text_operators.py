@@ -334,3 +334,12 @@ def test_pages(spark):
     got = {r.page_id: r.text for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), html_extraction.default_model()).collect()}
     assert got[1] == "A heading here\nFirst & best, text.\nSecond one <b>, it is. Line."
     assert got[2] == got[3] == "" and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("start", ["<body>", "<body class=x>", "", "<img src=a>", "<div>"])
+def test_head_without_end_tag(start):
+    rest = "<article><h1>A heading</h1><p>First text, here. It has two sentences.</p></article>"
+    whole, left_out = (f"<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title>\n<style>p {{}}</style>{end}{start}{rest}" for end in ("</head>", ""))
+    texts = lambda page: [n.text for n in parse(page) if not n.tag]
+    assert texts(left_out) == texts(whole) == ["A heading", "First text, here. It has two sentences."]
+    assert [n.text for n in parse("<head><title>T</title> Bare text <p>and more") if not n.tag] == ["Bare text", "and more"]
