@@ -137,7 +137,7 @@ def parse(html: str) -> list[Node]:
             got = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in _ATTRIBUTE.finditer(m[3])}
             style = got.get("style", "").lower().replace(" ", "")
             hidden = nodes[parent].hidden or "hidden" in got or "display:none" in style
-            label = int(got["data-label"]) if "data-label" in got else nodes[parent].label
+            label = {"0": 0, "1": 1}.get(got.get("data-label"), nodes[parent].label)  # other values are the page's own
             nodes.append(Node(tag, parent, " ".join(got.get(k, "") for k in ("class", "id", "role")), label=label, hidden=hidden))
             nodes[parent].children.append(len(nodes) - 1)
             stack.append((tag, len(nodes) - 1))

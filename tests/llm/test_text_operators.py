@@ -343,3 +343,9 @@ def test_head_without_end_tag(start):
     texts = lambda page: [n.text for n in parse(page) if not n.tag]
     assert texts(left_out) == texts(whole) == ["A heading", "First text, here. It has two sentences."]
     assert [n.text for n in parse("<head><title>T</title> Bare text <p>and more") if not n.tag] == ["Bare text", "and more"]
+
+
+def test_data_labels_of_other_meaning():
+    cells = "".join(f'<td data-label="{v}">{v} is given.</td>' for v in ("Amount", "", "2", "-1", "²"))
+    nodes = parse(f'<body data-label="1"><table><tr>{cells}</tr></table><p data-label=0>no</p>')
+    assert [n.label for n in nodes if not n.tag] == [1, 1, 1, 1, 1, 0]
