@@ -87,7 +87,7 @@ def _features(nodes: list[Node]) -> np.ndarray:
         row[base + 9] = math.log1p(runs[i]) / 3
         row[base + 10] = size[i] / max(1, runs[i]) > 80
         row[base + 11] = size[i] / max(1, runs[i]) < 25
-        row[base + 12] = not n.tag and bool(_WORDS_AGAINST.search(n.text[:200]))
+        row[base + 12] = not n.tag and bool(_WORDS_AGAINST.search(n.text))
         row[base + 13] = size[i] / max(1, size[0])
         row[base + 14] = size[i] == 0
         row[base + 15] = own.tag in ("nav", "header", "footer", "aside", "form", "dialog")

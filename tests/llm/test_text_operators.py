@@ -349,3 +349,9 @@ def test_data_labels_of_other_meaning():
     cells = "".join(f'<td data-label="{v}">{v} is given.</td>' for v in ("Amount", "", "2", "-1", "²"))
     nodes = parse(f'<body data-label="1"><table><tr>{cells}</tr></table><p data-label=0>no</p>')
     assert [n.label for n in nodes if not n.tag] == [1, 1, 1, 1, 1, 0]
+
+
+def test_notice_words_late_in_a_run():
+    at = len(html_extraction._TAGS) + 12
+    told = [html_extraction._features(parse(f"<p>{'word ' * 60}{end}"))[-1, at] for end in ("newsletter", "Cookies.", "nothing", "sign up")]
+    assert told == [1, 1, 0, 0]
