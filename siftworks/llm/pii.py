@@ -27,7 +27,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MORE = {
-    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[^\s,;]{4,256}",
+    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[^\s,;]{4,}+",
     "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?[\[(]at[\])]\s?[A-Za-z0-9-]{1,64}(?:\s?[\[(]dot[\])]\s?[A-Za-z0-9-]{1,64}){1,4}",
     "phone_local": r"(?<![0-9.+()-])(?<!\+[0-9]{1,3}\x20)(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "identity": r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9-])",
@@ -48,7 +48,7 @@ _GAZETTEER = {
 _CUES = r"(?i)(?:call|phone|tel|mobile|fax|mail|contact|write|login|user|account|credential|iban|ssn|passport|social|dear|signed|born|lives)"
 _COUNTER_CUES = r"(?i)(?:version|isbn|issn|order|invoice|serial|page|figure|table|chapter|line|example|placeholder|dummy)"
 _FORM = {
-    "secret": r"[=:]\s{0,3}(?=[^\s]*[0-9])(?=[^\s]*[A-Za-z])[^\s]{8,}$",
+    "secret": r"^[^=:]*+[=:]\s{0,3}(?=[^\s]*[0-9])(?=[^\s]*[A-Za-z])[^\s]{8,}$",
     "email_spelled": r"[\])]\s?[A-Za-z]{2,10}$",
     "phone_local": r"^\([0-9]{3}\)|^[0-9]{3}([\x20.-])[0-9]{3}\1",
     "identity": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)|^[A-Z]{2}[0-9]{2}",
@@ -232,7 +232,7 @@ def as_string(spans: Column) -> Column:
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
-    """Replace each span of pii_spans in text by [KIND]; of overlapping spans the first to start counts.
+    """Replace each span of pii_spans in text by [KIND]; overlapping spans are replaced together, by the kind of the first to start.
 
     A null text stays null.
     """
@@ -243,7 +243,8 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
     def put(acc: Column, x: Column) -> Column:
         gap = F.substring(whole, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
         grown = F.struct((-x["back"]).alias("at"), F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
-        return F.when(x["start"] >= acc["at"], grown).otherwise(acc)
+        longer = F.struct(F.greatest(acc["at"], -x["back"]).alias("at"), acc["out"].alias("out"))
+        return F.when(x["start"] >= acc["at"], grown).otherwise(longer)
 
     done = F.aggregate(ordered, zero, put, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole))))
     return found.withColumn(text, F.when(F.size("pii_spans") > 0, done).otherwise(whole))

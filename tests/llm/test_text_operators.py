@@ -355,3 +355,12 @@ def test_notice_words_late_in_a_run():
     at = len(html_extraction._TAGS) + 12
     told = [html_extraction._features(parse(f"<p>{'word ' * 60}{end}"))[-1, at] for end in ("newsletter", "Cookies.", "nothing", "sign up")]
     assert told == [1, 1, 0, 0]
+
+
+def test_whole_secrets_and_overlaps_are_redacted(spark):
+    token = "password=" + "aB3" * 400
+    more = pii.scan(spark.createDataFrame([(f"login {token}, then",)], "text string"), "text").first()["__more"]
+    assert [(x.kind, x.start, x.end) for x in more] == [("secret", 6, 6 + len(token))]
+    rows = [("say 0123456789 ab", [("card", 7, 12), ("ip", 4, 9)]), ("0123456789", [("ip", 0, 8), ("card", 2, 4), ("phone", 6, 9)]), ("0123456789", [("ip", 0, 3), ("card", 3, 5)])]
+    found = spark.createDataFrame(rows, "text string, pii_spans array<struct<kind:string,start:long,end:long>>")
+    assert [x.text for x in pii.redact(found).collect()] == ["say [IP]89 ab", "[IP]9", "[IP][CARD]56789"]
