@@ -1,19 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words without outer punctuation, and their first four and five letters (so
-that inflected forms meet).  A bounded sample of labelled rows gives the examples; terms whose
-presence differs between the classes (chi-square) form the vocabulary; document frequencies are
-counted over all documents.  The index stores, for each term, its weights in blocks of examples
-and the largest weight of each block.  A query bounds every block by its terms' largest weights,
-visits blocks from the highest bound down and stops once no block left can reach the k-th best:
-the k nearest are exact.  Their cosine-weighted votes, fitted to probabilities on left-out votes
-of the examples themselves, are the score; the neighbours and shared terms are the evidence.
+that inflected forms meet).  A bounded sample of labelled rows gives the examples; every term of
+every example is indexed, and document frequencies are counted over all documents.  A term weighs
+(1 + log count) * idf * importance.  The importance lies between FLOOR and one and grows with the
+chi-square between the term's presence and the label: in plain TF-IDF the many chance words of a
+text outweigh the few that matter.  Vectors are scaled over all terms of the whole text; a term that
+no example holds weighs FLOOR and the idf of a term of one document, so words that say nothing
+still thin out a long text.
+
+The index is sparse: a term's postings are cut into blocks of examples, each with its largest
+weight.  A query bounds every block by its terms' largest weights, visits blocks from the highest
+bound down and stops once no block left can reach the k-th best: the k nearest are exact.  Their
+cosine-weighted votes, fitted to probabilities on left-out votes of the examples themselves, are
+the score; the neighbours and the terms that weigh most are the evidence.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,71 +29,127 @@ from pyspark.sql import DataFrame, functions as F
 from siftworks.llm.scratch import Scratch
 
 EXAMPLES_PER_CLASS = 1000  # bound of the labelled sample, for each of the two labels
-MAX_TERMS = 2048  # bound of the vocabulary
-CHI_SQUARE = 24.0
+CHI_SQUARE = 12.0  # from here on a term's importance rises above FLOOR
+FLOOR = 0.05
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_VOTES = 0.5
+EVIDENCE_TERMS = 10  # terms reported with a score
+_MEMO = 200_000  # words whose terms a task remembers
 _TRIM = ".,;:!?\"'()[]{}|<>-_*#%&$¡¿«»"
 
 
-def terms(text: str | None) -> Counter:
+def word_terms(word: str) -> tuple[str, ...]:
+    """Terms of one lower-cased word."""
+    word = word.strip(_TRIM)
+    if len(word) > 5:
+        return word, word[:4] + "*", word[:5] + "*"
+    if len(word) > 4:
+        return word, word[:4] + "*"
+    return (word,) if word else ()
+
+
+class _Reader:
+    """Texts -> term -> how often; known terms are their numbers, others stay strings."""
+
+    def __init__(self, vocabulary: dict[str, int] | None = None):
+        self.vocabulary, self.memo = vocabulary or {}, {}
+
+    def read(self, text: str | None) -> dict[int | str, int]:
+        memo, known, found = self.memo, self.vocabulary, {}
+        if len(memo) > _MEMO:
+            memo.clear()
+        for word in (text or "").lower().split():
+            ids = memo.get(word)
+            if ids is None:
+                ids = memo[word] = tuple(known.get(t, t) for t in word_terms(word))
+            for i in ids:
+                found[i] = found.get(i, 0) + 1
+        return found
+
+
+def terms(text: str | None) -> dict[str, int]:
     """Term -> how often, of a whole text; null and empty texts have none."""
-    found: Counter = Counter()
-    for word, n in Counter((text or "").lower().split()).items():
-        word = word.strip(_TRIM)
-        if word:
-            found[word] += n
-            if len(word) > 4:
-                found[word[:4] + "*"] += n
-                if len(word) > 5:
-                    found[word[:5] + "*"] += n
-    return found
+    return _Reader().read(text)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for lengths[i] places, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class Index:
+    """Postings (example, weight) by term, in cells of one term and one block of examples."""
+
+    def __init__(self, n_terms: int, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.examples = len(rows)
+        size = [len(at) for at, _ in rows]
+        term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in rows)])
+        example = np.repeat(np.arange(len(rows)), size)
+        weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        block, term = example[order] // BLOCK, term[order]
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.cell = np.append(new, len(term))  # where a cell's postings start
+        self.block = block[new].astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.of_term = np.searchsorted(term[new], np.arange(n_terms + 1))  # where a term's cells start
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples with a positive cosine; ties by number."""
+        count = self.of_term[at + 1] - self.of_term[at]
+        cells, scale = _ranges(self.of_term[at], count), np.repeat(weight, count)
+        block = self.block[cells]
+        bound = np.bincount(block, scale * self.most[cells], minlength=-(-self.examples // BLOCK))
+        best_i, best_c = np.zeros(0, np.int64), np.zeros(0)
+        order, start, step = np.argsort(-bound, kind="stable"), 0, 2
+        while start < len(order):
+            if bound[order[start]] <= 0 or len(best_c) == k and bound[order[start]] * (1 + 1e-9) < best_c[-1]:
+                break
+            visit = np.zeros(len(bound), bool)
+            visit[order[start : start + step]] = True
+            start, step = start + step, step * 2
+            some = visit[block]
+            first, n = self.cell[cells[some]], self.cell[cells[some] + 1] - self.cell[cells[some]]
+            postings = _ranges(first, n)
+            cosine = np.bincount(self.example[postings], np.repeat(scale[some], n) * self.weight[postings], minlength=self.examples)
+            index = np.flatnonzero(cosine > 0)
+            index = index[index != without]
+            i, c = np.concatenate([best_i, index]), np.concatenate([best_c, cosine[index]])
+            top = np.lexsort((i, -c))[:k]
+            best_i, best_c = i[top], c[top]
+        return best_i, best_c
 
 
 @dataclass
 class Model:
-    """Vocabulary, weights and examples; its size is bounded by the sample and the vocabulary."""
+    """Vocabulary, weights and indexed examples; its size is bounded by the sample."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    value: np.ndarray  # idf times importance of each term
+    strange: float  # the same of a term that no example holds
     ids: np.ndarray
     label: np.ndarray
     vote: np.ndarray  # weight of an example's vote: the share of its class over that of the sample
-    postings: np.ndarray  # blocks x terms x BLOCK
     prior: float
+    index: Index
     fit: tuple[float, float] = (1.0, 0.0)
-    most: np.ndarray = field(init=False)  # terms x blocks: the largest weight of each block
+    reader: _Reader = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
-        self.most = self.postings.max(axis=2).T if len(self.postings) else np.zeros((len(self.vocabulary), 0), np.float32)
+        self.reader = _Reader(self.vocabulary)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms in the vocabulary and their weights, scaled to length one."""
-        known = self.vocabulary
-        hits = sorted((known[t], n) for t, n in terms(text).items() if t in known)
-        at = np.array([i for i, _ in hits], dtype=np.int64)
-        weight = (1 + np.log(np.array([n for _, n in hits], dtype=np.float64))) * self.idf[at] if hits else np.zeros(0)
-        norm = math.sqrt(float(weight @ weight))
-        return at, (weight / norm if norm else weight).astype(np.float32)
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes and cosines of the k nearest examples with a positive cosine; ties by index."""
-        if not len(at) or not len(self.postings):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        bound = weight @ self.most[at]
-        best_i, best_c = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_c) == k and bound[b] * (1 + 1e-5) < best_c[-1]:
-                break
-            cos = weight @ self.postings[b][at]
-            index = np.flatnonzero(cos > 0)
-            i, c = np.concatenate([best_i, index + b * BLOCK]), np.concatenate([best_c, cos[index]])
-            if without >= 0:
-                i, c = i[i != without], c[i != without]
-            order = np.lexsort((i, -c))[:k]
-            best_i, best_c = i[order], c[order]
-        return best_i, best_c
+        """Numbers of the known terms and their weights; all terms of the text, known or not, scale it to length one."""
+        found = self.reader.read(text)
+        known = sorted((i, n) for i, n in found.items() if type(i) is int)
+        at = np.array([i for i, _ in known], dtype=np.int64)
+        weight = (1 + np.log(np.array([n for _, n in known], dtype=np.float64))) * self.value[at]
+        other = np.array([n for i, n in found.items() if type(i) is str], dtype=np.float64)
+        norm = math.sqrt(float(weight @ weight) + self.strange**2 * float(((1 + np.log(other)) ** 2).sum()))
+        return at, weight / norm if norm else weight
 
     def vote_of(self, i: np.ndarray, c: np.ndarray) -> float:
         w = c * self.vote[i]
@@ -132,28 +193,38 @@ def _presence(sample: DataFrame) -> DataFrame:
 def _document_frequency(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
     """In how many of all documents each term of the (bounded) vocabulary occurs; at the end, their number."""
     n = len(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(n + 1, dtype=np.int64)
+        reader = _Reader(sent.value)
         for batch in batches:
             for text in batch.column(0):
-                count[[vocabulary[t] for t in terms(text.as_py()) if t in vocabulary]] += 1
+                count[[i for i in reader.read(text.as_py()) if type(i) is int]] += 1
                 count[n] += 1
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some])], names=["term", "n"])
 
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n + 1)
-    for term, k in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        out[term] = k
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS, max_terms: int = MAX_TERMS, chi_square: float = CHI_SQUARE, k: int = NEIGHBOURS) -> Model:
+def _importance(a: np.ndarray, b: np.ndarray, n1: int, n0: int, floor: float, chi_square: float) -> np.ndarray:
+    """Of terms in a of the n1 examples of label 1 and b of the n0 of label 0."""
+    spread = (a + b) * (n0 + n1 - a - b) * float(n0) * n1
+    chi = np.divide((n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2, spread, out=np.zeros(len(a)), where=spread > 0)
+    return floor + (1 - floor) * (1 - chi_square / np.maximum(chi, chi_square))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS, floor: float = FLOOR, chi_square: float = CHI_SQUARE, k: int = NEIGHBOURS) -> Model:
     """Fit on labels (doc_id, label 0 or 1), with texts from docs.
 
     Of each label the per_class doc_ids with the least hash become examples; other statistics cover
     all documents.  Null ids and labels are ignored, a doc_id labelled twice counts as its higher
-    label, and texts that occur twice count once.  Without examples every score is the prior.
+    label, one with several texts gives the least of them, and texts that occur twice count once.
+    Without examples every score is the prior.
     """
     clean = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     totals = {r.label: r.n for r in clean.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -161,66 +232,59 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
     chosen = [clean.where(F.col("label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     with Scratch(docs.sparkSession) as scratch:
         picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class rows
-        sample = scratch.table("sample", docs.select("doc_id", "text").join(picked, "doc_id"))
-        sample = scratch.table("once", sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")))
+        each = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+        sample = scratch.table("sample", each.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")))
         sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-        a, b = F.col("a").cast("double"), F.col("b").cast("double")
-        rest0, rest1 = F.lit(float(n0)) - b, F.lit(float(n1)) - a
-        spread = (a + b) * (rest0 + rest1) * F.lit(float(n0) * n1)
-        chi = F.try_divide(F.lit(float(n0 + n1)) * (a * rest0 - b * rest1) ** 2, spread)
-        told = _presence(sample).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
-        words = [r.term for r in told.where(chi >= chi_square).orderBy(chi.desc(), "term").limit(max_terms).collect()]
-        vocabulary = {t: i for i, t in enumerate(sorted(words))}
+        told = _presence(sample).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).toArrow().sort_by("term")
+        vocabulary = {t: i for i, t in enumerate(told.column("term").to_pylist())}
         frequency = _document_frequency(docs, vocabulary)
         idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
-        total = max(1, sum(totals.values()))
-        prior = totals.get(1, 0) / total
-        blank = Model(vocabulary, idf, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((0, len(vocabulary), BLOCK), np.float32), prior)
-
-        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for doc, text, label in zip(*batch.columns, strict=True):
-                    at, weight = blank.vector(text.as_py())
-                    yield pa.RecordBatch.from_pylist([{"doc_id": doc.as_py(), "label": label.as_py(), "at": at.tolist(), "weight": weight.tolist()}], pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("at", pa.list_(pa.int64())), ("weight", pa.list_(pa.float32()))]))
-
-        rows = sorted(sample.select("doc_id", "text", "label").mapInArrow(vectors, "doc_id long, label int, at array<long>, weight array<float>").collect())
-    postings = np.zeros((-(-len(rows) // BLOCK), len(vocabulary), BLOCK), dtype=np.float32)
-    for i, r in enumerate(rows):
-        postings[i // BLOCK, r.at, i % BLOCK] = r.weight
-    label = np.array([r.label for r in rows], dtype=np.float64)
-    share = np.where(label == 1, prior / max(1, n1), (1 - prior) / max(1, n0)) * len(rows) if len(rows) else label
-    model = Model(vocabulary, idf, np.array([r.doc_id for r in rows], dtype=np.int64), label, share, postings, prior)
+        value = idf * _importance(told.column("a").to_numpy().astype(float), told.column("b").to_numpy().astype(float), n1, n0, floor, chi_square)
+        prior = totals.get(1, 0) / max(1, sum(totals.values()))
+        model = Model(vocabulary, value, floor * (math.log((1 + frequency[-1]) / 2) + 1), np.zeros(0), np.zeros(0), np.zeros(0), prior, Index(len(vocabulary), []))
+        examples = sorted((r.doc_id, r.label, *model.vector(r.text)) for r in sample.select("doc_id", "label", "text").toLocalIterator())
+    rows = [(at, weight) for _, _, at, weight in examples]
+    model.ids = np.array([doc for doc, *_ in examples], dtype=np.int64)
+    model.label = np.array([y for _, y, *_ in examples], dtype=np.float64)
+    model.vote = np.where(model.label == 1, prior / max(1, n1), (1 - prior) / max(1, n0)) * len(rows)
+    model.index = Index(len(vocabulary), rows)
     if n0 and n1:
-        left_out = np.array([_logit(model.vote_of(*model.nearest(np.array(r.at, np.int64), np.array(r.weight, np.float32), k, without=i))) for i, r in enumerate(rows)])
-        model.fit = _fit_logistic(left_out, label, share)
+        left_out = np.array([_logit(model.vote_of(*model.index.nearest(at, weight, k, without=i))) for i, (at, weight) in enumerate(rows)])
+        model.fit = _fit_logistic(left_out, model.label, model.vote)
+    model.reader = _Reader(vocabulary)
     return model
 
 
-SCORE_SCHEMA = "doc_id long, score double, neighbours array<struct<doc_id:long,label:int,cosine:float>>, shared_terms array<string>"
+SCORE_SCHEMA = "doc_id long, score double, neighbours array<struct<doc_id:long,label:int,cosine:float>>, leading_terms array<string>"
 
 
 def score(docs: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score in [0, 1] and evidence; one row per input row.
 
-    Whole texts; a text that is null, empty or shares no term of the vocabulary has no neighbours
-    and scores as the prior does.  Equal texts have equal scores.  Other columns are ignored.
+    Whole texts; a text that is null, empty or shares no term with an example has no neighbours
+    and scores as the prior does.  Equal texts have equal scores.  leading_terms are the known terms
+    that weigh most in the text, at most EVIDENCE_TERMS.  Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see Model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        names = sorted(m.vocabulary, key=m.vocabulary.get)
-        kind = pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float32())])
+        names = pa.array(m.vocabulary, pa.string())
         for batch in batches:
-            scores, near, shared = [], [], []
+            scores, near, leading = [], [], []
             for text in batch.column(1):
                 at, weight = m.vector(text.as_py())
-                i, c = m.nearest(at, weight, k)
+                i, c = m.index.nearest(at, weight, k)
                 scores.append(m.score(m.vote_of(i, c)))
-                near.append([{"doc_id": int(m.ids[j]), "label": int(m.label[j]), "cosine": float(x)} for j, x in zip(i.tolist(), c, strict=True)])
-                shared.append([names[j] for j in at.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(kind)), pa.array(shared, pa.list_(pa.string()))], names=["doc_id", "score", "neighbours", "shared_terms"])
+                near.append((i, c))
+                leading.append(at[np.lexsort((at, -weight))[:EVIDENCE_TERMS]])
+            flat = np.concatenate([np.zeros(0, np.int64), *(i for i, _ in near)])
+            cosine = np.concatenate([np.zeros(0), *(c for _, c in near)])
+            kind = pa.StructArray.from_arrays([pa.array(m.ids[flat].astype(np.int64)), pa.array(m.label[flat].astype(np.int32)), pa.array(cosine.astype(np.float32))], names=["doc_id", "label", "cosine"])
+            ends = lambda parts: pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
+            shown = names.take(pa.array(np.concatenate([np.zeros(0, np.int64), *leading])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(ends([i for i, _ in near]), kind), pa.ListArray.from_arrays(ends(leading), shown)], names=["doc_id", "score", "neighbours", "leading_terms"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORE_SCHEMA)
 
@@ -233,7 +297,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, k: int = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            scores = [m.score(m.vote_of(*m.nearest(*m.vector(text.as_py()), k))) for text in batch.column(at)]
+            scores = [m.score(m.vote_of(*m.index.nearest(*m.vector(text.as_py()), k))) for text in batch.column(at)]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

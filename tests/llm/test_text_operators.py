@@ -1,5 +1,6 @@
 """Personal data, leaks, licenses, toxicity, GIF, mixing and HTML against plain versions and edge cases."""
 
+import math
 import random
 import re
 
@@ -167,6 +168,38 @@ def test_licenses(spark):
 # --- toxicity ---
 
 
+def cosines(text, examples, model):
+    """Cosine of a text to each example, term by term over whole texts."""
+
+    def weights(t):
+        value = lambda x: model.value[model.vocabulary[x]] if x in model.vocabulary else model.strange
+        return {x: (1 + math.log(n)) * value(x) for x, n in toxicity.terms(t).items()}
+
+    long = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    q = weights(text)
+    out = []
+    for e in map(weights, examples):
+        dot = sum(x * e.get(k, 0.0) for k, x in q.items())
+        out.append(dot / (long(q) * long(e)) if dot else 0.0)
+    return out
+
+
+def test_other_words_thin_out_a_long_text(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 5)))
+    rows = [(i, " ".join([word() for _ in range(40)] + ["vile"] * (i % 10 == 0) * 2), int(i % 10 == 0)) for i in range(400)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, " ".join(word() for _ in range(4000)) + " vile"), (901, " ".join(word() for _ in range(30)) + " vile vile")], "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int"))
+    got = {x.doc_id: x.score for x in toxicity.score(table.where("doc_id >= 900"), model).collect()}
+    assert got[900] < got[901]
+
+
+def test_repeated_ids_do_not_multiply_the_sample(spark):
+    table = spark.createDataFrame([(1, f"word{i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int"))
+    assert model.ids.tolist() == [1, 2] and "word0" in model.vocabulary
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 5)))
@@ -183,14 +216,15 @@ def test_toxicity(spark):
     got = {x.doc_id: x for x in toxicity.score(table, model).collect()}
     assert all((got[i].score >= 0.5) == bool(y) for i, _, y in rows if not i % 5)
     assert got[1000].score == got[1001].score < 0.5 and got[None].score > 0.5
-    assert got[0].neighbours and "rascals" in set().union(*(set(got[i].shared_terms) for i in range(0, 400, 4)))
-    # the index gives the exact nearest examples
+    assert got[0].neighbours and "rascals" in set().union(*(set(got[i].leading_terms) for i in range(0, 400, 4)))
+    # the index gives the exact nearest examples, by the cosine over all terms of both whole texts
+    texts = [dict((i, t) for i, t, _ in rows)[i] for i in model.ids]
     for i, t, _ in rows[:60]:
         at, w = model.vector(t)
-        full = np.concatenate([w @ block[at] for block in model.postings]) if len(at) else np.zeros(0)
-        near, cos = model.nearest(at, w, 15)
-        want = np.sort(full[full > 0])[::-1][:15]
-        assert np.allclose(np.sort(cos)[::-1], want, atol=1e-6)
+        full = cosines(t, texts, model)
+        near, cos = model.index.nearest(at, w, 15)
+        want = sorted(((-c, j) for j, c in enumerate(full) if c > 0))[:15]
+        assert np.allclose(cos, [-c for c, _ in want], atol=1e-9) and np.allclose([full[j] for j in near], cos, atol=1e-9)
     kept = {x.doc_id for x in toxicity.drop_toxic(table, model).collect()}
     assert kept == {d for d, x in got.items() if x.score < 0.5}
 
@@ -198,16 +232,53 @@ def test_toxicity(spark):
 # --- GIF ---
 
 
+def plain_lzw(data, size):
+    """The textbook decoder: one code at a time, strings kept in a table."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    clear, at, width, table, last, out = 1 << size, 0, size + 1, [], None, b""
+    while at + width <= len(bits):
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear:
+            table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], size + 1, None
+            continue
+        if code == clear + 1:
+            return out
+        now = table[code] if code < len(table) else last + last[:1]
+        if last is not None and len(table) < 4096:
+            table.append(last + now[:1])
+        out, last = out + now, now
+        if len(table) == 1 << width and width < 12:
+            width += 1
+
+
+def test_lzw_uses_its_dictionary():
+    prose = np.frombuffer(("the quick brown fox jumps over the lazy dog " * 200).encode(), np.uint8)
+    assert len(gif.lzw_encode(prose)) < len(prose) / 3
+    # "aaaa...": each code is the entry that it completes
+    assert gif.lzw_decode(gif.lzw_encode(np.zeros(100000, np.uint8)), 8, 100000) == bytes(100000)
+
+
+def test_truncated_files(spark):
+    whole = hand_made()
+    for n in range(len(whole)):
+        assert len(list(gif.frames_of(whole[:n]))) <= 3
+    wide = whole[:6] + b"\xff\xff\xff\xff" + whole[10:]
+    with pytest.raises(ValueError):
+        list(gif.decode_gif(wide))
+    rows = gif.media_digests(spark.createDataFrame([(1, 0, None), (2, 0, b"no gif"), (3, 0, wide)], "doc_id long, n_bytes long, media binary")).collect()
+    assert [(r.payload_bytes, r.tail_crc32) for r in rows] == [(0, 0)] * 3
+
+
 def test_lzw_round_trip():
     r = np.random.default_rng(1)
     for n in (1, 2, 3, 253, 254, 255, 508, 5000, 40000):
         for top in (1, 3, 256):
             v = r.integers(0, top, n).astype(np.uint8)
-            for compress in (False, True):
-                assert gif.lzw_decode(gif.lzw_encode(v, 8, compress), 8, n) == v.tobytes()
+            assert gif.lzw_decode(gif.lzw_encode(v), 8, n) == v.tobytes() == plain_lzw(gif.lzw_encode(v), 8)
     for size in (2, 4):
         v = r.integers(0, 1 << size, 900).astype(np.uint8)
-        assert gif.lzw_decode(gif.lzw_encode(v, size, True), size, 900) == v.tobytes()
+        assert gif.lzw_decode(gif.lzw_encode(v, size), size, 900) == v.tobytes() == plain_lzw(gif.lzw_encode(v, size), size)
     with pytest.raises(ValueError):
         gif.lzw_decode(b"\x00\x01", 8, 50)
 
@@ -221,7 +292,7 @@ def hand_made():
 
     def frame(values, left, top, w, h, disposal, delay, clear=None, flags=0, palette=b""):
         control = b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), delay, clear or 0) + b"\0"
-        return control + b"\x2c" + struct.pack("<HHHHB", left, top, w, h, flags) + palette + b"\x02" + gif._sub_blocks(gif.lzw_encode(np.array(values, np.uint8), 2, True))
+        return control + b"\x2c" + struct.pack("<HHHHB", left, top, w, h, flags) + palette + b"\x02" + gif._sub_blocks(gif.lzw_encode(np.array(values, np.uint8), 2))
 
     out += frame([0] * 16, 0, 0, 4, 4, 1, 5)
     out += frame([1, 3, 3, 1], 1, 1, 2, 2, 2, 7, clear=3)
