@@ -3,8 +3,7 @@
 The reader follows the container block by block, decodes the LZW code streams, undoes interlacing,
 applies local or global palettes, transparency and disposal to a canvas, and gives timed frames.
 The widths of the codes after a clear code depend only on how many have been read, so all codes up
-to the next clear code are cut from the bit stream at once; a stretch without dictionary codes is
-its own output, any other is expanded code by code.
+to the next clear code are cut from the bit stream at once and then expanded one by one.
 """
 
 from __future__ import annotations
@@ -25,12 +24,19 @@ DELAY = 10  # hundredths of a second for each frame
 FILL = 255
 BINS = 4  # histogram bins for each of red, green and blue
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+MOST_PIXELS = 1 << 26  # canvas of a file that is read
 _FLUSH = 8 << 20
 
 
 # --- LZW -------------------------------------------------------------------------------------
 
 
+def _widths(n: int, size: int) -> np.ndarray:
+    """Widths of the n codes that follow a clear code: the first 2**size - 1 have size + 1 bits, twice as many the next width, at most 12."""
+    ends = np.cumsum([(1 << size) - 1, *(1 << w for w in range(size + 1, 12))])
+    return np.searchsorted(ends, np.arange(n), side="right") + size + 1
+
+
 def _pack_codes(codes: np.ndarray, widths: np.ndarray) -> bytes:
     ends = np.cumsum(widths)
     bits = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
@@ -41,86 +47,75 @@ def _pack_codes(codes: np.ndarray, widths: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _literal_codes(values: np.ndarray, size: int) -> bytes:
-    """Codes without dictionary entries: a clear code often enough keeps the first width."""
-    clear = 1 << size
-    step = clear - 2
-    n = len(values)
-    runs = max(1, -(-n // step))
-    codes = np.full((runs, step + 1), clear + 1, dtype=np.int64)
-    codes[:, 0] = clear
-    codes[:, 1:].flat[:n] = values
-    flat = np.append(codes.ravel()[: n + runs], clear + 1)
-    wide = np.unpackbits(flat.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, : size + 1]
-    return np.packbits(wide.ravel(), bitorder="little").tobytes()
-
-
-def lzw_encode(values: np.ndarray, size: int = 8, compress: bool = False) -> bytes:
-    if not compress:
-        return _literal_codes(np.asarray(values), size)
-    clear, codes, widths, width = 1 << size, [1 << size], [size + 1], size + 1
-    table = {(i,): i for i in range(clear)}
-    held: tuple = ()
-    for v in np.asarray(values).tolist():
-        longer = (*held, v)
-        if longer in table:
-            held = longer
-            continue
-        codes.append(table[held])
-        widths.append(width)
-        table[longer] = len(table) + 2
-        if len(table) + 2 > (1 << width) and width < 12:
-            width += 1
-        if len(table) + 2 >= 4096:
-            codes.append(clear)
-            widths.append(width)
-            table, width = {(i,): i for i in range(clear)}, size + 1
-        held = (v,)
-    if held:
-        codes.append(table[held])
-        widths.append(width)
-        # the reader adds an entry after this code too
-        if len(table) + 3 > (1 << width) and width < 12 and len(table) + 2 < 4096:
-            width += 1
-    codes.append(clear + 1)
-    widths.append(width)
-    return _pack_codes(np.array(codes), np.array(widths))
-
-
-def _expand(codes: list[int], clear: int) -> bytes:
-    """Output of the codes after one clear code."""
-    table = [bytes([i]) for i in range(clear)] + [b"", b""]
-    before = table[codes[0]]
-    out = [before]
-    for c in codes[1:]:
-        if c < len(table):
-            now = table[c]
-        elif c == len(table):
-            now = before + before[:1]
+def lzw_encode(values: np.ndarray, size: int = 8) -> bytes:
+    """Samples below 2**size as a code stream: longest known strings, the dictionary cleared when it is full."""
+    clear, codes, widths = 1 << size, [np.array([1 << size])], [np.array([size + 1])]
+    samples = iter(np.asarray(values).tolist())
+    held = next(samples, None)
+    while held is not None:
+        table: dict[int, int] = {}
+        free, run = clear + 2, []
+        for v in samples:
+            longer = held << 8 | v
+            known = table.get(longer)
+            if known is not None:
+                held = known
+                continue
+            run.append(held)
+            held = v
+            table[longer] = free
+            free += 1
+            if free == 4096:
+                run.append(clear)
+                break
+        else:
+            run.append(held)
+            held = None
+        codes.append(np.array(run))
+        widths.append(_widths(len(run), size))
+    after = len(codes[-1]) if len(codes) > 1 else 0
+    codes.append(np.array([clear + 1]))
+    widths.append(_widths(after + 1, size)[-1:])
+    return _pack_codes(np.concatenate(codes), np.concatenate(widths))
+
+
+def _expand(codes: list[int], clear: int, out: bytearray) -> None:
+    """Append what the codes after one clear code stand for.
+
+    Dictionary entry i is what code i stands for and one sample more, so it already stands in the
+    output: the entry is the stretch that starts where code i was written.
+    """
+    first, starts = clear + 2, []
+    for c in codes:
+        at = len(out)
+        if c < clear:
+            out.append(c)
         else:
-            raise ValueError("code beyond the table")
-        out.append(now)
-        if len(table) < 4096:
-            table.append(before + now[:1])
-        before = now
-    return b"".join(out)
+            i = c - first
+            if not 0 <= i < len(starts):
+                raise ValueError("code beyond the table")
+            start = starts[i]
+            end = (starts[i + 1] if i + 1 < len(starts) else at) + 1
+            if end <= at:
+                out += out[start:end]
+            else:  # the entry is the one that this code completes: its last sample is its first
+                out += out[start:at]
+                out.append(out[start])
+        starts.append(at)
 
 
 def lzw_decode(data: bytes, size: int, expected: int) -> bytes:
     """Samples of a code stream; ValueError if it is corrupt.  Stops once expected samples are out."""
     clear = 1 << size
     bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    at, out, have = 0, [], 0
-    while have < expected and at + size + 1 <= len(bits):
+    at, out = 0, bytearray()
+    while len(out) < expected and at + size + 1 <= len(bits):
         stretch: list[np.ndarray] = []
         width, room, ended = size + 1, clear - 1, False
         while at + width <= len(bits):
             n = (len(bits) - at) // width
-            n = n if width == 12 else min(n, room)
-            # only as many as could still be needed: a stretch mostly ends in a clear code
-            n = min(n, 4096)
-            block = bits[at : at + n * width].reshape(n, width)
-            codes = block.astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
+            n = min(n, 4096) if width == 12 else min(n, room)
+            codes = bits[at : at + n * width].reshape(n, width).astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
             stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
             if len(stops):
                 s = int(stops[0])
@@ -134,22 +129,12 @@ def lzw_decode(data: bytes, size: int, expected: int) -> bytes:
                 room -= n
                 if room == 0:
                     room, width = 1 << width, width + 1
-        codes = np.concatenate(stretch) if stretch else np.zeros(0, np.int32)
-        if len(codes):
-            if codes.max() < clear:
-                piece = codes.astype(np.uint8).tobytes()
-            elif codes[0] >= clear:
-                raise ValueError("first code after a clear code is not a literal")
-            else:
-                piece = _expand(codes.tolist(), clear)
-            out.append(piece)
-            have += len(piece)
+        _expand(np.concatenate(stretch).tolist() if stretch else [], clear, out)
         if ended:
             break
-    joined = b"".join(out)
-    if len(joined) < expected:
+    if len(out) < expected:
         raise ValueError("code stream ends early")
-    return joined[:expected]
+    return bytes(out[:expected])
 
 
 # --- container -------------------------------------------------------------------------------
@@ -159,7 +144,7 @@ def _sub_blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
-def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DELAY, compress: bool = False) -> bytes:
+def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DELAY) -> bytes:
     """Payload bytes as grey samples, top to bottom and frame to frame; len(payload) is a multiple of width."""
     lines = len(payload) // width
     head = b"GIF89a" + struct.pack("<HHBBB", width, min(lines, rows), 0xF7, 0, 0) + _GREY
@@ -169,7 +154,7 @@ def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int
         high = min(rows, lines - top)
         parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay, 0) + b"\0")
         parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, high, 0) + b"\x08")
-        parts.append(_sub_blocks(lzw_encode(samples[top * width : (top + high) * width], 8, compress)))
+        parts.append(_sub_blocks(lzw_encode(samples[top * width : (top + high) * width])))
     return b"".join(parts) + b"\x3b"
 
 
@@ -189,11 +174,23 @@ def _interlaced(high: int) -> np.ndarray:
     return np.concatenate([np.arange(first, high, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
-    """Timed frames in order; ValueError where the file is corrupt."""
+def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """Timed frames in order; ValueError where the file is corrupt.
+
+    A file whose header asks for a canvas of more than most_pixels counts as corrupt.
+    """
+    try:
+        yield from _decoded(data, most_pixels)
+    except (IndexError, struct.error) as short:
+        raise ValueError("file ends inside a block") from short
+
+
+def _decoded(data: bytes, most_pixels: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     wide, tall, flags = struct.unpack_from("<HHB", data, 6)
+    if wide * tall > most_pixels:
+        raise ValueError("canvas too large")
     at, common = 13, None
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
@@ -264,6 +261,14 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         disposal, delay, clear_index = 0, 0, -1
 
 
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """Timed frames up to the end or to the first damage."""
+    try:
+        yield from decode_gif(data)
+    except ValueError:
+        return
+
+
 def histogram(pixels: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Counts of opaque RGBA pixels in bins**3 colour cells, red slowest."""
     step = 256 // bins
@@ -324,13 +329,10 @@ def read_frames(media: DataFrame) -> DataFrame:
             for batch in batches:
                 for key, data in zip(batch.column(0), batch.column(1), strict=True):
                     at = 0
-                    try:
-                        for i, f in enumerate(decode_gif(data.as_py() or b"")):
-                            values = (key.as_py(), i, at, f.delay_ms, f.left, f.top, f.indexes.shape[1], f.indexes.shape[0], f.indexes.tobytes(), f.canvas.tobytes(), histogram(f.canvas).tolist())
-                            yield dict(zip(fields, values, strict=True)), f.canvas.size
-                            at += f.delay_ms
-                    except ValueError:
-                        continue
+                    for i, f in enumerate(frames_of(data.as_py() or b"")):
+                        values = (key.as_py(), i, at, f.delay_ms, f.left, f.top, f.indexes.shape[1], f.indexes.shape[0], f.indexes.tobytes(), f.canvas.tobytes(), histogram(f.canvas).tolist())
+                        yield dict(zip(fields, values, strict=True)), f.canvas.size
+                        at += f.delay_ms
 
         yield from _flushed(rows(), schema)
 
@@ -341,7 +343,8 @@ def media_digests(media: DataFrame) -> DataFrame:
     """media (doc_id, n_bytes, media) of text_to_gif() -> digests of what is read back from the bytes.
 
     The payload is the frames' samples in order.  feature is the number of frames, the running time
-    in ms and the summed histogram of the drawn rows' grey colours in 16 bins, comma-joined.
+    in ms and the frames' summed colour histogram, as read_frames() gives them, comma-joined.  A null,
+    empty or foreign file has no frames and an empty payload; a corrupt one has those before the damage.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
@@ -349,16 +352,15 @@ def media_digests(media: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc, n, data in zip(*batch.columns, strict=True):
-                raw = data.as_py()
+                raw = data.as_py() or b""
                 drawn, time = [], 0
-                grey = np.zeros(16, dtype=np.int64)
-                for f in decode_gif(raw):
-                    shown = f.canvas[f.top : f.top + f.indexes.shape[0], f.left : f.left + f.indexes.shape[1], 0]
-                    drawn.append(shown.tobytes())
-                    grey += np.bincount(shown.ravel() >> 4, minlength=16)
+                colours = np.zeros(BINS**3, dtype=np.int64)
+                for f in frames_of(raw):
+                    drawn.append(f.indexes.tobytes())
+                    colours += histogram(f.canvas)
                     time += f.delay_ms
                 payload = b"".join(drawn)
-                feature = ",".join(map(str, [len(drawn), time, *grey.tolist()]))
+                feature = ",".join(map(str, [len(drawn), time, *colours.tolist()]))
                 out.append((doc.as_py(), n.as_py(), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), sha256(raw).hexdigest(), feature))
             columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
