@@ -2,13 +2,17 @@
 
 The texts of a batch are laid end to end with one line feed between them, so one pass of numpy
 covers many documents.  Words are maximal runs of bytes other than ``[\\x20\\x09-\\x0D]``.
-All hashes are polynomial hashes modulo 2**64 with odd bases, finished with an avalanche mix.
+Words are hashed by XXH64; windows of words and strings of bytes have polynomial hashes modulo 2**64
+with odd bases, finished with an avalanche mix.  Long texts are hashed a stretch at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
+CHUNK = 1 << 20  # bytes that are hashed at a time
+_MEMO = 300_000  # words whose hashes a process remembers
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -64,10 +68,42 @@ def rolling(values: np.ndarray, width: int, which: int) -> np.ndarray:
     return mix(h)
 
 
+def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """spans_hash() of values (bytes) between rising starts and their ends, a stretch of bytes at a time."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    a = 0
+    while a < len(starts):
+        b = int(np.searchsorted(starts, starts[a] + CHUNK, side="right"))
+        low, high = int(starts[a]), int(ends[a:b].max())
+        out[a:b] = spans_hash(prefix(values[low:high] + np.uint8(1), which), starts[a:b] - low, ends[a:b] - low, which)  # UTF-8 has no byte 255
+        a = b
+    return out
+
+
+class _Memo(dict):
+    """Word -> XXH64, remembered."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _MEMO:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word, self.seed)
+        if len(word) < 64:
+            self[word] = h
+        return h
+
+
+_memos: dict[int, _Memo] = {}
+
+
 class Words:
     """The words of a batch: byte spans, and for each text the range of its words."""
 
     def __init__(self, texts: list[bytes], space: np.ndarray = _SPACE):
+        self.table = bytes(32 if space[i] else i for i in range(256))
         self.joined = b"\n".join(texts)
         self.bytes = np.frombuffer(self.joined, dtype=np.uint8)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -87,11 +123,26 @@ class Words:
     def counts(self) -> np.ndarray:
         return self.last - self.first
 
-    def hashes(self, which: int = 0, values: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hash of each word; values replaces the bytes (for example lower-cased)."""
-        values = self.bytes if values is None else values
-        sums = prefix(values + np.uint8(1), which)  # UTF-8 has no byte 255
-        return mix(spans_hash(sums, self.starts, self.ends, which) + (self.ends - self.starts).astype(np.uint64))
+    def hashes(self, which: int = 0, joined: bytes | None = None) -> np.ndarray:
+        """64-bit hash of each word; joined replaces the bytes (for example lower-cased)."""
+        joined = self.joined if joined is None else joined
+        known = _memos.setdefault(which, _Memo(which))
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        a = 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + CHUNK, side="right")))
+            words = joined[self.starts[a] : self.ends[b - 1]].translate(self.table).split()
+            out[a:b] = np.fromiter(map(known.__getitem__, words), np.uint64, b - a)
+            a = b
+        return out
+
+    def normal(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space after each, and where each word starts; at the end, where the next would."""
+        keep = np.append(np.frombuffer(self.table, np.uint8)[self.bytes] != 32, False)
+        keep[self.ends] = True
+        padded = np.append(self.bytes, np.uint8(32))
+        padded[self.ends] = 32
+        return padded[keep].tobytes(), np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
 
     def window_starts(self, k: int) -> np.ndarray:
         """Index of the first word of every window of k words that lies in one text."""
@@ -111,9 +162,11 @@ def window_hashes(word_hash: np.ndarray, starts: np.ndarray, k: int, which: int)
     return mix(spans_hash(sums, starts, starts + k, which))
 
 
-def ascii_lower(values: np.ndarray) -> np.ndarray:
-    upper = (values >= 65) & (values <= 90)
-    return values + (upper * np.uint8(32)).astype(np.uint8)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def ascii_lower(text: bytes) -> bytes:
+    return text.translate(_LOWER)
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +177,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Flags of n positions that some [start, start + width) covers."""
-    change = np.zeros(n + 1, dtype=np.int64)
+    change = np.zeros(n + 1, dtype=np.int32)
     np.add.at(change, starts, 1)
     np.add.at(change, np.minimum(starts + width, n), -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0

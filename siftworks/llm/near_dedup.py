@@ -45,7 +45,7 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     k = min(shingle, len(words))
-    return np.unique(window_hashes(words.hashes(0, ascii_lower(words.bytes)), np.arange(len(words) - k + 1), k, 1))
+    return np.unique(window_hashes(words.hashes(0, ascii_lower(words.joined)), np.arange(len(words) - k + 1), k, 1))
 
 
 def _sketch(shingle: int, bands: int, rows: int):

@@ -4,8 +4,8 @@ Pass 1  Every block hashes its windows of ``window`` words and adds each distinc
         count-min sketch (``depth`` rows).  Sketches are merged slice by slice: counts only ever
         add up, so a window's estimate is never below the number of blocks that hold it.
 Pass 2  Windows whose estimate is two or more (and windows repeated inside a block) are grouped
-        exactly by a 128-bit key.  A unique window that the sketch lets through is thrown out here;
-        a repeated window is never lost.
+        exactly by the XXH128 of their bytes, words joined by one space.  A unique window that the
+        sketch lets through is thrown out here; a repeated window is never lost.
 Pass 3  Blocks learn which of their windows repeat and drop the covered words.
 
 Each block contributes a window once, so a passage in a third of all documents reaches a reducer
@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from siftworks.llm.blocks import (
     BLOCK_BYTES, EXCHANGE_SCHEMA, blocks_of, cut, exchange_rows, is_member, pack_blocks, pack_ints, repeated_cells, unpack_ints,
 )
-from siftworks.llm.hashing import Words, covered, mix, window_hashes
+from siftworks.llm.hashing import Words, covered, mix, runs, window_hashes
 from siftworks.llm.scratch import Scratch
 
 WINDOW = 35
@@ -68,6 +69,18 @@ def _sketch(plan: _Plan):
     return run
 
 
+def _digests(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH128 of the windows' bytes, in two halves."""
+    text, at = words.normal()
+    digest = xxhash.xxh3_128_digest
+    parts = []
+    for i in range(0, len(starts), 1 << 16):
+        some = starts[i : i + (1 << 16)]
+        parts.append(b"".join([digest(text[a:b]) for a, b in zip(at[some].tolist(), at[some + window].tolist(), strict=True)]))
+    halves = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
 class _Candidates:
     """The windows of a block that may repeat: their key, and for each the distinct key it has."""
 
@@ -87,8 +100,8 @@ class _Candidates:
         for row in range(plan.depth):
             estimate &= is_member(np.sort(np.concatenate(lists[row])) if lists[row] else np.zeros(0, np.uint64), plan.cells(h, row))
         pick = estimate | often
-        self.starts, k0 = starts[pick], h[pick]
-        k1 = window_hashes(words.hashes(2), self.starts, plan.window, 3) if len(self.starts) else k0
+        self.starts = starts[pick]
+        k0, k1 = _digests(words, self.starts, plan.window)
         order = np.lexsort((k1, k0))
         k0, k1 = k0[order], k1[order]
         new = np.concatenate([[True], (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])]) if len(k0) else np.zeros(0, bool)
@@ -140,12 +153,11 @@ def _strip(plan: _Plan):
         for _, ids, texts in blocks_of(block_rows):
             words = Words(texts)
             gone = covered(len(words), _Candidates(words, told, plan).confirmed(), plan.window)
-            for doc, text, a, b in zip(ids, texts, words.first, words.last, strict=True):
+            text, at = words.normal()
+            for doc, a, b in zip(ids, words.first.tolist(), words.last.tolist(), strict=True):
                 drop = gone[a:b]
-                each = text.split()
-                if drop.any():
-                    each = [w for w, d in zip(each, drop.tolist(), strict=True) if not d]
-                out.append((doc, int(b - a), int(drop.sum()), b" ".join(each).decode()))
+                kept = (text[at[a + i] : at[a + j] - 1] for i, j in zip(*runs(~drop), strict=True))
+                out.append((doc, b - a, int(drop.sum()), b" ".join(kept).decode()))
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

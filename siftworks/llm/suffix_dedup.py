@@ -13,8 +13,10 @@ of 8-byte strings are refined to 16 bytes by sorting on the identifiers 8 places
 the new identifiers 16 places on, and these to 50 by those 18 places on.  The smallest doc_id of a
 final bucket then decides for all its suffixes.
 
-An anchor that very many documents hold is not gathered: its stretches go out one by one, keyed by
-their own 128-bit hash and reduced to one row for each block.
+The bucket of an anchor that very many documents hold would be too large for a task.  It is split:
+its suffixes of ``length`` bytes go out one by one, each distinct one once for a block, dealt to
+tasks by the hash of all their bytes, and are refined there in the same way.  So the result does not
+depend on where the line is drawn.  Long texts are hashed a stretch at a time.
 """
 
 from __future__ import annotations
@@ -29,13 +31,13 @@ from pyspark.sql import DataFrame, functions as F
 from siftworks.llm.blocks import (
     EXCHANGE_SCHEMA, blocks_of, cut, exchange_rows, is_member, pack_blocks, pack_ints, repeated_cells, unpack_ints,
 )
-from siftworks.llm.hashing import BASES, covered, mix, prefix, rolling, runs, spans_hash
+from siftworks.llm.hashing import BASES, CHUNK, covered, hash_spans, mix, rolling, runs
 from siftworks.llm.scratch import Scratch
 
 LENGTH = 50
 GRAM = 20
 BLOCK_BYTES = 3 << 18  # a task needs up to 200 times as much memory
-HOT = 5_000  # documents with an anchor from which its stretches are treated one by one
+HOT = 5_000  # documents with an anchor from which its bucket is split
 _CELLS, _CROWDED, _AROUND, _SINGLE, _VERDICT, _SINGLE_VERDICT = range(6)
 _CELL_FACTOR = 64  # cells of the sketch for each anchor expected
 
@@ -60,30 +62,37 @@ class _Anchors:
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.raw = raw
-        self.values = raw + np.uint8(1)  # UTF-8 has no byte 255
         self.at = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
         known = np.array([i is not None for i in ids], dtype=bool)
         usable = known & (self.lengths >= length)
         if usable.any():
-            h = rolling(self.values, gram, 0)
-            short = (h >> np.uint64(32)).astype(np.uint32)
-            least = _sliding(np.minimum, short, self.reach + 1)  # of the stretch from each place
             valid = np.zeros(len(raw) + 1, np.int8)
             np.add.at(valid, self.starts[usable], 1)
             np.add.at(valid, self.ends[usable] - length + 1, -1)
-            valid = np.cumsum(valid)[: len(least)].astype(bool)
-            floor = np.zeros(len(least) + 2 * self.reach, np.uint32)
-            floor[self.reach : self.reach + len(least)] = np.where(valid, least, 0)
-            asked = np.zeros(len(floor), bool)
-            asked[self.reach : self.reach + len(least)] = valid
-            high = _sliding(np.maximum, floor, self.reach + 1)[: len(h)]
-            some = _sliding(np.logical_or, asked, self.reach + 1)[: len(h)]
-            self.at = np.flatnonzero(some & (high == short))
-            self.hash = mix(h[self.at])  # the least hashes are small numbers; mixed again they spread over the slices
+            valid = np.cumsum(valid, dtype=np.int8).astype(bool)  # does a stretch start here?
+            parts = [self._of_piece(raw[i : i + CHUNK + length - 1], valid[i : i + CHUNK], i, gram) for i in range(0, len(raw) - length + 1, CHUNK)]
+            at = np.concatenate([x for x, _ in parts])
+            self.at, first = np.unique(at, return_index=True)  # a stretch on either side of a border may have the same anchor
+            self.hash = mix(np.concatenate([h for _, h in parts])[first])  # the least hashes are small numbers; mixed again they spread over the slices
         self.text = np.searchsorted(self.ends, self.at, side="right")
         self.doc = np.array([i if i is not None else 0 for i in ids], dtype=np.int64)[self.text] if len(ids) else self.at
 
+    def _of_piece(self, raw: np.ndarray, valid: np.ndarray, offset: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors of the stretches that start in one piece of the block."""
+        h = rolling(raw + np.uint8(1), gram, 0)  # UTF-8 has no byte 255
+        short = (h >> np.uint64(32)).astype(np.uint32)
+        least = _sliding(np.minimum, short, self.reach + 1)  # of the stretch from each place
+        valid = valid[: len(least)]
+        floor = np.zeros(len(least) + 2 * self.reach, np.uint32)
+        floor[self.reach : self.reach + len(least)] = np.where(valid, least, 0)
+        asked = np.zeros(len(floor), bool)
+        asked[self.reach : self.reach + len(least)] = valid
+        high = _sliding(np.maximum, floor, self.reach + 1)[: len(h)]
+        some = _sliding(np.logical_or, asked, self.reach + 1)[: len(h)]
+        at = np.flatnonzero(some & (high == short))
+        return at + offset, h[at]
+
     def keep(self, pick: np.ndarray) -> None:
         for name in ("at", "hash", "text", "doc"):
             setattr(self, name, getattr(self, name)[pick])
@@ -155,7 +164,7 @@ class _Suffixes:
         after = np.minimum(after, plan.length)
 
         def hashed(starts: np.ndarray, ends: np.ndarray, extra: np.ndarray, which: int) -> np.ndarray:
-            return mix(spans_hash(prefix(a.values, which), starts, ends, which) + extra * np.uint64(BASES[3])) if len(starts) else np.zeros(0, np.uint64)
+            return mix(hash_spans(a.raw, starts, ends, which) + extra * np.uint64(BASES[3])) if len(starts) else np.zeros(0, np.uint64)
 
         # surroundings of the anchors that are gathered
         self.rows = np.flatnonzero(~crowded)
@@ -164,7 +173,7 @@ class _Suffixes:
         self.of, self.first, _ = _groups([a.hash[r], hashed(a.at[r] - before[r], a.at[r] + after[r], room, 1)], a.doc[r])
         self.slices = plan.slices(a.hash[r][self.first])
         self.before, self.after = before[r], after[r]
-        # single stretches over crowded anchors
+        # single stretches over anchors whose bucket is split
         c = np.flatnonzero(crowded)
         starts = []
         for step in range(plan.reach + 1):
@@ -177,7 +186,6 @@ class _Suffixes:
         self.single_of, self.single_first, _ = _groups(keys, self.single_doc)
         self.single_keys = [k[self.single_first] for k in keys]
         self.single_slices = plan.slices(self.single_keys[0])
-        a.values = None
 
     def requests(self, block: int, plan: _Plan) -> list[tuple[int, int, int, bytes]]:
         out, a = [], self.a
@@ -193,8 +201,9 @@ class _Suffixes:
             around[~inside] = 0
             out.append((_AROUND, s, block, pack(doc[i:j].tobytes() + room[i:j].tobytes() + around.tobytes())))
         doc = self.single_doc[self.single_first]
+        at = self.single[self.single_first]
         for s, i, j in cut(doc, self.single_slices):
-            out.append((_SINGLE, s, block, doc[i:j].tobytes() + self.single_keys[0][i:j].tobytes() + self.single_keys[1][i:j].tobytes()))
+            out.append((_SINGLE, s, block, pack(doc[i:j].tobytes() + self.single_keys[0][i:j].tobytes() + padded[at[i:j, None] + column[plan.reach :]].tobytes())))
         return out
 
     def stretches(self, plan: _Plan) -> np.ndarray:
@@ -289,12 +298,21 @@ def _judge(plan: _Plan):
         return [np.packbits(smallest[of[i:j]] < doc[i:j, None]).tobytes() for i, j in zip(ends, ends[1:], strict=False)]
 
     def single_verdicts(parts: list[bytes]) -> list[bytes]:
-        arrays = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in parts]
-        rows = np.concatenate(arrays, axis=1)
-        doc = rows[0].view(np.int64)
-        of, first, _ = _groups([rows[1], rows[2]], doc)
-        ends = np.cumsum([0, *(x.shape[1] for x in arrays)]).tolist()
-        return [np.packbits(doc[first][of[i:j]] < doc[i:j]).tobytes() for i, j in zip(ends, ends[1:], strict=False)]
+        raws = [zstandard.ZstdDecompressor().decompress(p) for p in parts]
+        counts = [len(r) // (16 + plan.length) for r in raws]
+        doc = np.concatenate([np.frombuffer(r, np.int64, n) for r, n in zip(raws, counts, strict=True)])
+        key = np.concatenate([np.frombuffer(r, np.uint64, n, 8 * n) for r, n in zip(raws, counts, strict=True)])
+        text = np.concatenate([np.frombuffer(r, np.uint8, plan.length * n, 16 * n).reshape(n, plan.length) for r, n in zip(raws, counts, strict=True)])
+        del raws
+        order = np.argsort(key, kind="stable")
+        later = np.zeros(len(doc), bool)
+        for part in _batches(order, key[order]):  # equal strings have equal hashes: buckets are apart
+            names = refine(text[part], plan.length)[:, 0]
+            best = np.full(names.max() + 1, big)
+            np.minimum.at(best, names, doc[part])
+            later[part] = doc[part] > best[names]
+        ends = np.cumsum([0, *counts]).tolist()
+        return [np.packbits(later[i:j]).tobytes() for i, j in zip(ends, ends[1:], strict=False)]
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
@@ -350,6 +368,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = GR
     text = blocks.select("block", "doc_ids", "lengths", "data")
     cells = scratch.table("cells", repeated_cells(text.mapInArrow(_sketch(plan), EXCHANGE_SCHEMA), hot, _CROWDED))
     asked = text.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(_ask(plan), EXCHANGE_SCHEMA)
+    asked = asked.repartition(3 << plan.slice_bits, "kind", "slice")  # about a slice to a task, at any size
     verdicts = scratch.table("verdicts", asked.groupBy("kind", "slice").applyInArrow(_judge(plan), EXCHANGE_SCHEMA))
     scratch.hold()
     told = cells.unionByName(verdicts)

@@ -173,3 +173,34 @@ def test_pairs_in_crowded_buckets(spark):
     assert all((alike(p, q) >= 0.8) == (p // 2 == q // 2) for p in range(240) for q in range(p))
     kept = sorted(x.doc_id for x in near_dedup.drop_near_duplicates(table).select("doc_id").collect())
     assert kept == list(range(0, 240, 2))
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    """Thue-Morse words have equal polynomial hashes modulo 2**64; their windows are different all the same."""
+    common = [f"w{i}" for i in range(34)]
+    rows = [(0, " ".join([*common, thue_morse(1024, "a", "b")])), (1, " ".join([*common, thue_morse(1024, "b", "a")]))]
+    got = remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    import numpy as np
+
+    from siftworks.llm import hashing, suffix_dedup
+
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(400)).encode() for _ in range(3)] + [b"", b"x" * 3000, b"tail"]
+    words, anchors = hashing.Words(texts), suffix_dedup._Anchors([1, 2, 3, 4, 5, None], texts, 50, 20)
+    want, spans = words.hashes(), hashing.hash_spans(anchors.raw, anchors.at, anchors.at + 20, 1)
+    monkeypatch.setattr(hashing, "CHUNK", 100)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 100)
+    again = suffix_dedup._Anchors([1, 2, 3, 4, 5, None], texts, 50, 20)
+    assert np.array_equal(hashing.Words(texts).hashes(), want)
+    assert np.array_equal(hashing.hash_spans(anchors.raw, anchors.at, anchors.at + 20, 1), spans)
+    assert np.array_equal(again.at, anchors.at) and np.array_equal(again.hash, anchors.hash)
+    text, at = words.normal()
+    assert text.split() == b" ".join(texts).split() and [text[i : j - 1] for i, j in zip(at.tolist(), at[1:].tolist())] == text.split()
