@@ -176,14 +176,15 @@ def extract(pages: list[str | None], model: Model) -> list[str]:
     for t in trees:
         p = model.marginals(t, odds[at : at + len(t)])
         at += len(t)
-        out.append("\n".join(n.text for n, x in zip(t, p.tolist(), strict=True) if not n.tag and x >= 0.5 and not n.hidden))
+        out.append("\n".join(n.text for n, x in zip(t, p.tolist(), strict=True) if not n.tag and x >= 0.5))
     return out
 
 
 def extract_text(pages: DataFrame, model: Model) -> DataFrame:
     """pages (page_id, url, html) -> (page_id, url, text), one row per input row.
 
-    Whole pages: character references are decoded, white space inside a block (line breaks too) is
+    Whole pages: only code and controls of forms are left out unseen, hidden parts too are judged by
+    the model.  Character references are decoded, white space inside a block (line breaks too) is
     one space, blocks are joined in page order by a line feed.  A null or empty page, or one without
     content, gives ''.  Null ids and urls and repeated rows pass through; other columns are ignored.
     """
@@ -340,7 +341,12 @@ class _Writer:
 
 
 def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
-    return [_Writer(seed * 100_003 + i).page() for i in range(n)]
+    pages = [_Writer(seed * 100_003 + i).page() for i in range(n)]
+    for i in range(0, n, 7):  # some parts are hidden, mostly such as are not content
+        label = 'data-label="1">' if i % 5 == 0 else 'data-label="0">'
+        before, mark, after = pages[i].rpartition(label)
+        pages[i] = f"{before}{mark[:-1]} hidden>{after}" if mark else pages[i]
+    return pages
 
 
 def default_model(n: int = TRAINING_PAGES) -> Model:

@@ -12,8 +12,8 @@ BLOCK = frozenset(
     "html body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption form fieldset legend address details summary center dialog hgroup menu search hr".split()
 )
-SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select option optgroup textarea button datalist map".split())
-_RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template"))
+SKIPPED = frozenset("script style template head title iframe select option optgroup textarea button datalist".split())  # never text: code, and controls of forms
+_RAW = frozenset(("script", "style", "textarea", "title", "iframe", "template"))
 _IN_HEAD = frozenset("base link meta noscript script style template title head html".split())  # other start tags, and text, end a head
 #: A start tag of the first kind ends an open element of the second kinds, up to one of the third.
 _CLOSES = {
@@ -128,9 +128,8 @@ def parse(html: str) -> list[Node]:
                 stop = html.find(">", end) if end >= 0 else -1
                 at = stop + 1 if stop >= 0 else len(html)
                 continue
-            if tag != "svg" or not m[3].rstrip().endswith("/"):
-                stack.append((tag, stack[-1][1]))
-                skip += 1
+            stack.append((tag, stack[-1][1]))
+            skip += 1
             continue
         if tag in BLOCK and not skip:
             parent = stack[-1][1]

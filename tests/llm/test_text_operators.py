@@ -435,3 +435,10 @@ def test_whole_secrets_and_overlaps_are_redacted(spark):
     rows = [("say 0123456789 ab", [("card", 7, 12), ("ip", 4, 9)]), ("0123456789", [("ip", 0, 8), ("card", 2, 4), ("phone", 6, 9)]), ("0123456789", [("ip", 0, 3), ("card", 3, 5)])]
     found = spark.createDataFrame(rows, "text string, pii_spans array<struct<kind:string,start:long,end:long>>")
     assert [x.text for x in pii.redact(found).collect()] == ["say [IP]89 ab", "[IP]9", "[IP][CARD]56789"]
+
+
+@pytest.mark.parametrize("inline", ["<math><mi>E</mi> = <mi>m</mi>c</math>", "<svg viewBox='0 0 1 1'><text>E = mc</text></svg>", "<object>E = mc</object>", "<noscript>E = mc</noscript>", "<video>E = mc</video>", "<canvas>E = mc</canvas>", "<svg/>E = mc"])
+def test_text_of_embedded_elements_stays(inline):
+    page = f"<html><body><nav><a href='/'>Home</a> <a href='/x'>More</a></nav><article><h1>A title of the page</h1><p>Energy is {inline} in physics, as the first sentence says.</p><p>Another sentence follows here.</p></article></body></html>"
+    (text,) = html_extraction.extract([page], html_extraction.default_model(200))
+    assert "Energy is E = mc in physics, as the first sentence says." in text and "Home" not in text
