@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words without outer punctuation, and their first four and five letters (so
-that inflected forms meet).  A bounded sample of labelled rows gives the examples; every term of
-every example is indexed, and document frequencies are counted over all documents.  A term weighs
+Terms are lower-cased words without outer punctuation.  A bounded sample of labelled rows gives the
+examples; every term of every example is indexed, and document frequencies are counted over all
+documents.  A term weighs
 (1 + log count) * idf * importance.  The importance lies between FLOOR and one and grows with the
 chi-square between the term's presence and the label: in plain TF-IDF the many chance words of a
 text outweigh the few that matter.  Vectors are scaled over all terms of the whole text; a term that
@@ -10,17 +10,19 @@ no example holds weighs FLOOR and the idf of a term of one document, so words th
 still thin out a long text.
 
 The index is sparse: a term's postings are cut into blocks of examples, each with its largest
-weight.  A query bounds every block by its terms' largest weights, visits blocks from the highest
-bound down and stops once no block left can reach the k-th best: the k nearest are exact.  Their
-cosine-weighted votes, fitted to probabilities on left-out votes of the examples themselves, are
-the score; the neighbours and the terms that weigh most are the evidence.
+weight.  Examples with the same most frequent word, so mostly of one language, stand together, which
+keeps the blocks alike.  A query bounds every block by its terms' largest weights, visits the blocks
+with the highest bounds first and leaves out those that cannot reach the k-th best: the k nearest are
+exact.  Their cosine-weighted votes, fitted to probabilities on left-out votes of the examples
+themselves, are the score; the neighbours and the terms that weigh most are the evidence.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,47 +32,23 @@ from siftworks.llm.scratch import Scratch
 
 EXAMPLES_PER_CLASS = 1000  # bound of the labelled sample, for each of the two labels
 CHI_SQUARE = 12.0  # from here on a term's importance rises above FLOOR
-FLOOR = 0.05
+FLOOR = 0.06
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 64  # examples in a block
+FIRST = 4  # blocks that are visited before the others are held against the k-th best
 PRIOR_VOTES = 0.5
 EVIDENCE_TERMS = 10  # terms reported with a score
-_MEMO = 200_000  # words whose terms a task remembers
 _TRIM = ".,;:!?\"'()[]{}|<>-_*#%&$¡¿«»"
 
 
-def word_terms(word: str) -> tuple[str, ...]:
-    """Terms of one lower-cased word."""
-    word = word.strip(_TRIM)
-    if len(word) > 5:
-        return word, word[:4] + "*", word[:5] + "*"
-    if len(word) > 4:
-        return word, word[:4] + "*"
-    return (word,) if word else ()
-
-
-class _Reader:
-    """Texts -> term -> how often; known terms are their numbers, others stay strings."""
-
-    def __init__(self, vocabulary: dict[str, int] | None = None):
-        self.vocabulary, self.memo = vocabulary or {}, {}
-
-    def read(self, text: str | None) -> dict[int | str, int]:
-        memo, known, found = self.memo, self.vocabulary, {}
-        if len(memo) > _MEMO:
-            memo.clear()
-        for word in (text or "").lower().split():
-            ids = memo.get(word)
-            if ids is None:
-                ids = memo[word] = tuple(known.get(t, t) for t in word_terms(word))
-            for i in ids:
-                found[i] = found.get(i, 0) + 1
-        return found
-
-
 def terms(text: str | None) -> dict[str, int]:
     """Term -> how often, of a whole text; null and empty texts have none."""
-    return _Reader().read(text)
+    found: dict[str, int] = {}
+    for word, n in Counter((text or "").lower().split()).items():
+        term = word.strip(_TRIM)
+        found[term] = found.get(term, 0) + n
+    found.pop("", None)
+    return found
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -89,11 +67,11 @@ class Index:
         example = np.repeat(np.arange(len(rows)), size)
         weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        self.example, self.weight = example[order], weight[order]
         block, term = example[order] // BLOCK, term[order]
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         self.cell = np.append(new, len(term))  # where a cell's postings start
-        self.block = block[new].astype(np.int32)
+        self.block = block[new]
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
         self.of_term = np.searchsorted(term[new], np.arange(n_terms + 1))  # where a term's cells start
 
@@ -104,15 +82,19 @@ class Index:
         block = self.block[cells]
         bound = np.bincount(block, scale * self.most[cells], minlength=-(-self.examples // BLOCK))
         best_i, best_c = np.zeros(0, np.int64), np.zeros(0)
-        order, start, step = np.argsort(-bound, kind="stable"), 0, 2
-        while start < len(order):
-            if bound[order[start]] <= 0 or len(best_c) == k and bound[order[start]] * (1 + 1e-9) < best_c[-1]:
-                break
+        todo = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        while len(todo):
+            now, todo = todo[:FIRST], todo[FIRST:]
+            if len(best_c) == k:  # whatever can still reach the k-th best, and nothing else
+                reach = bound * (1 + 1e-9) >= best_c[-1]
+                now, todo = np.concatenate([now, todo]), todo[:0]
+                now = now[reach[now]]
             visit = np.zeros(len(bound), bool)
-            visit[order[start : start + step]] = True
-            start, step = start + step, step * 2
-            some = visit[block]
-            first, n = self.cell[cells[some]], self.cell[cells[some] + 1] - self.cell[cells[some]]
+            visit[now] = True
+            some = np.flatnonzero(visit[block])
+            cell = cells[some]
+            first = self.cell[cell]
+            n = self.cell[cell + 1] - first
             postings = _ranges(first, n)
             cosine = np.bincount(self.example[postings], np.repeat(scale[some], n) * self.weight[postings], minlength=self.examples)
             index = np.flatnonzero(cosine > 0)
@@ -128,28 +110,22 @@ class Model:
     """Vocabulary, weights and indexed examples; its size is bounded by the sample."""
 
     vocabulary: dict[str, int]
-    value: np.ndarray  # idf times importance of each term
-    strange: float  # the same of a term that no example holds
+    value: np.ndarray  # idf times importance of each term; at the end, of a term that no example holds
     ids: np.ndarray
     label: np.ndarray
     vote: np.ndarray  # weight of an example's vote: the share of its class over that of the sample
     prior: float
     index: Index
     fit: tuple[float, float] = (1.0, 0.0)
-    reader: _Reader = field(init=False, repr=False)
-
-    def __post_init__(self) -> None:
-        self.reader = _Reader(self.vocabulary)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms and their weights; all terms of the text, known or not, scale it to length one."""
-        found = self.reader.read(text)
-        known = sorted((i, n) for i, n in found.items() if type(i) is int)
-        at = np.array([i for i, _ in known], dtype=np.int64)
-        weight = (1 + np.log(np.array([n for _, n in known], dtype=np.float64))) * self.value[at]
-        other = np.array([n for i, n in found.items() if type(i) is str], dtype=np.float64)
-        norm = math.sqrt(float(weight @ weight) + self.strange**2 * float(((1 + np.log(other)) ** 2).sum()))
-        return at, weight / norm if norm else weight
+        found, number = terms(text), self.vocabulary.get
+        at = np.fromiter((number(t, -1) for t in found), np.int64, len(found))
+        weight = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.value[at]
+        order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
+        norm = math.sqrt(float(weight @ weight))
+        return at[order], weight[order] / norm if norm else weight[order]
 
     def vote_of(self, i: np.ndarray, c: np.ndarray) -> float:
         w = c * self.vote[i]
@@ -197,10 +173,11 @@ def _document_frequency(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(n + 1, dtype=np.int64)
-        reader = _Reader(sent.value)
+        known = sent.value
         for batch in batches:
             for text in batch.column(0):
-                count[[i for i in reader.read(text.as_py()) if type(i) is int]] += 1
+                found = {word.strip(_TRIM) for word in set((text.as_py() or "").lower().split())}
+                count[[known[t] for t in found if t in known]] += 1
                 count[n] += 1
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some])], names=["term", "n"])
@@ -241,9 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
         frequency = _document_frequency(docs, vocabulary)
         idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
         value = idf * _importance(told.column("a").to_numpy().astype(float), told.column("b").to_numpy().astype(float), n1, n0, floor, chi_square)
+        value = np.append(value, floor * (math.log((1 + frequency[-1]) / 2) + 1))
         prior = totals.get(1, 0) / max(1, sum(totals.values()))
-        model = Model(vocabulary, value, floor * (math.log((1 + frequency[-1]) / 2) + 1), np.zeros(0), np.zeros(0), np.zeros(0), prior, Index(len(vocabulary), []))
-        examples = sorted((r.doc_id, r.label, *model.vector(r.text)) for r in sample.select("doc_id", "label", "text").toLocalIterator())
+        model = Model(vocabulary, value, np.zeros(0), np.zeros(0), np.zeros(0), prior, Index(len(vocabulary), []))
+        examples = [(r.doc_id, r.label, *model.vector(r.text)) for r in sample.select("doc_id", "label", "text").toLocalIterator()]
+    leading = lambda at: int(at[np.argmax(frequency[at])]) if len(at) else -1
+    examples.sort(key=lambda x: (leading(x[2]), x[1], x[0]))
     rows = [(at, weight) for _, _, at, weight in examples]
     model.ids = np.array([doc for doc, *_ in examples], dtype=np.int64)
     model.label = np.array([y for _, y, *_ in examples], dtype=np.float64)
@@ -252,7 +232,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
     if n0 and n1:
         left_out = np.array([_logit(model.vote_of(*model.index.nearest(at, weight, k, without=i))) for i, (at, weight) in enumerate(rows)])
         model.fit = _fit_logistic(left_out, model.label, model.vote)
-    model.reader = _Reader(vocabulary)
     return model
 
 

@@ -172,7 +172,7 @@ def cosines(text, examples, model):
     """Cosine of a text to each example, term by term over whole texts."""
 
     def weights(t):
-        value = lambda x: model.value[model.vocabulary[x]] if x in model.vocabulary else model.strange
+        value = lambda x: model.value[model.vocabulary.get(x, -1)]
         return {x: (1 + math.log(n)) * value(x) for x, n in toxicity.terms(t).items()}
 
     long = lambda v: math.sqrt(sum(x * x for x in v.values()))
