@@ -71,15 +71,28 @@ def rolling(values: np.ndarray, width: int, which: int) -> np.ndarray:
 def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     """spans_hash() of values (bytes) between rising starts and their ends, a stretch of bytes at a time."""
     out = np.zeros(len(starts), dtype=np.uint64)
+    long = ends - starts > CHUNK
+    for i in np.flatnonzero(long).tolist():
+        out[i] = _long_hash(values, int(starts[i]), int(ends[i]), which)
+    short = np.flatnonzero(~long)
     a = 0
-    while a < len(starts):
-        b = int(np.searchsorted(starts, starts[a] + CHUNK, side="right"))
-        low, high = int(starts[a]), int(ends[a:b].max())
-        out[a:b] = spans_hash(prefix(values[low:high] + np.uint8(1), which), starts[a:b] - low, ends[a:b] - low, which)  # UTF-8 has no byte 255
+    while a < len(short):
+        b = int(np.searchsorted(starts[short], starts[short[a]] + CHUNK, side="right"))
+        some = short[a:b]
+        low, high = int(starts[some[0]]), int(ends[some].max())
+        out[some] = spans_hash(prefix(values[low:high] + np.uint8(1), which), starts[some] - low, ends[some] - low, which)  # UTF-8 has no byte 255
         a = b
     return out
 
 
+def _long_hash(values: np.ndarray, start: int, end: int, which: int) -> int:
+    base, total = BASES[which], 0
+    for at in range(start, end, CHUNK):
+        part = values[at : min(end, at + CHUNK)].astype(np.uint64) + np.uint64(1)
+        total += int((part * powers(base, len(part))).sum(dtype=np.uint64)) * pow(base, at - start, 1 << 64)
+    return total % (1 << 64)
+
+
 class _Memo(dict):
     """Word -> XXH64, remembered."""
 
@@ -136,6 +149,10 @@ class Words:
             a = b
         return out
 
+    def quick_hashes(self, which: int = 0) -> np.ndarray:
+        """Polynomial hash of each word, faster than hashes(); different words can be made to collide."""
+        return mix(hash_spans(self.bytes, self.starts, self.ends, which) + (self.ends - self.starts).astype(np.uint64))
+
     def normal(self) -> tuple[bytes, np.ndarray]:
         """All words with one space after each, and where each word starts; at the end, where the next would."""
         keep = np.append(np.frombuffer(self.table, np.uint8)[self.bytes] != 32, False)

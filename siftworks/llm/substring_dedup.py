@@ -53,7 +53,7 @@ class _Plan:
 
 def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     starts = words.window_starts(window)
-    return starts, window_hashes(words.hashes(0), starts, window, 1)
+    return starts, window_hashes(words.quick_hashes(), starts, window, 1)  # for estimates: windows that collide are only counted too often
 
 
 def _sketch(plan: _Plan):

@@ -195,11 +195,11 @@ def test_long_texts_are_hashed_in_stretches(monkeypatch):
     r = random.Random(4)
     texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(400)).encode() for _ in range(3)] + [b"", b"x" * 3000, b"tail"]
     words, anchors = hashing.Words(texts), suffix_dedup._Anchors([1, 2, 3, 4, 5, None], texts, 50, 20)
-    want, spans = words.hashes(), hashing.hash_spans(anchors.raw, anchors.at, anchors.at + 20, 1)
+    want, quick, spans = words.hashes(), words.quick_hashes(), hashing.hash_spans(anchors.raw, anchors.at, anchors.at + 20, 1)
     monkeypatch.setattr(hashing, "CHUNK", 100)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 100)
     again = suffix_dedup._Anchors([1, 2, 3, 4, 5, None], texts, 50, 20)
-    assert np.array_equal(hashing.Words(texts).hashes(), want)
+    assert np.array_equal(hashing.Words(texts).hashes(), want) and np.array_equal(hashing.Words(texts).quick_hashes(), quick)
     assert np.array_equal(hashing.hash_spans(anchors.raw, anchors.at, anchors.at + 20, 1), spans)
     assert np.array_equal(again.at, anchors.at) and np.array_equal(again.hash, anchors.hash)
     text, at = words.normal()
