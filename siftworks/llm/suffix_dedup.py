@@ -353,7 +353,7 @@ def _ask(plan: _Plan):
     return run
 
 
-def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, slice_entries: int = 250_000) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, slice_entries: int = 150_000) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept binary): one row per input row.
 
     Texts are UTF-8 bytes.  A byte goes if a string of ``length`` bytes that covers it also starts in
