@@ -26,8 +26,47 @@ def tags(*sources: Column) -> Column:
 
 
 def zoom_bucket(zoom: Column) -> Column:
-    """wide below 1, main below 2, tele below 5, far from there; null where the zoom is not positive."""
-    return F.when(zoom > 0, F.when(zoom < 1, "wide").when(zoom < 2, "main").when(zoom < 5, "tele").otherwise("far"))
+    """Region of a zoom ratio; bounds 2, 3 and 6 belong to the upper region.  A null zoom has none."""
+    return F.when(zoom < 2, "one-to-below-two").when(zoom < 3, "two-to-below-three").when(zoom < 6, "three-to-below-six").when(zoom.isNotNull(), "six-to-ten")
+
+
+def blur_curve(apertures: Column, values: Column) -> Column:
+    """Pairs (aperture, value) of two arrays that are finite, the aperture positive, the value not negative; null if none is left."""
+    finite = lambda x: ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf"))
+    n = F.least(F.size(apertures), F.size(values))
+    pairs = F.zip_with(F.slice(apertures, F.lit(1), n), F.slice(values, F.lit(1), n), lambda a, v: F.struct(a.cast("double").alias("aperture"), v.cast("double").alias("value")))
+    good = F.filter(pairs, lambda p: finite(p["aperture"]) & finite(p["value"]) & (p["aperture"] > 0) & (p["value"] >= 0))
+    return F.when(F.size(good) > 0, good)
+
+
+def focus_branch(near: Column, scene: Column, roi: Column, face: Column, portrait: Column, pet: Column) -> Column:
+    """Where the focus of a portrait is taken from: near objects go by scene class, all others by the kind of the region."""
+    by_scene = F.when(scene == 0, "near-object").when((scene == 2) & (roi == 3), "pet-region").otherwise("center-region")
+    no_face = F.lit("portrait-without-face")
+    by_region = (
+        F.when(roi == 1, F.when(face, "tapped-face").when(portrait, "portrait-face").otherwise(no_face))
+        .when(roi == 2, "center-region")
+        .when(roi == 3, F.when(pet, "pet-region").otherwise(no_face))
+        .otherwise(F.when(portrait, no_face).otherwise("disparity-histogram"))
+    )
+    return F.when(near, by_scene).otherwise(by_region)
+
+
+#: Targets for which a fallback has a reason when the file goes to the standard container instead.
+FALLBACKS = {"huawei": "needs an existing motion container", "honor": "no native writer", "oppo": "no motion in this still format", "vivo": "no motion in this still format", "xiaomi": "no motion in this still format"}
+
+
+def target_plan(target: Column, heic: Column, motion_container: Column) -> Column:
+    """struct<effective, fallback>: the container that a target's file really gets, and why, if it is not the target's own."""
+    standard = F.lit("android-standard")
+    native = F.when(target == "huawei", motion_container).when(target == "honor", F.lit(False)).when(target.isin("oppo", "vivo", "xiaomi"), ~heic).otherwise(F.lit(True))
+    reason = F.create_map(*(F.lit(x) for pair in FALLBACKS.items() for x in pair))
+    return F.struct(F.when(native, target).otherwise(standard).alias("effective"), F.when(~native, F.try_element_at(reason, target)).alias("fallback"))
+
+
+def display_plan(headroom: Column) -> Column:
+    """Stops of a display headroom of 2, 4 or 8; null for others."""
+    return F.when(headroom.isin(2, 4, 8), F.log2(headroom.cast("double")).cast("int"))
 
 
 def lens_profile(physical: Column, equivalent: Column) -> Column:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def sha256(x: Column) -> Column:
@@ -21,7 +26,7 @@ def hash_bucket(identity: Column, buckets: int = 100) -> Column:
 
 def hash_split(identity: Column, train: int = 70, validation: int = 15) -> Column:
     bucket = hash_bucket(identity)
-    return F.when(bucket < train, "train").when(bucket < train + validation, "validation").otherwise("test")
+    return F.when(bucket < train, "train").when(bucket < train + validation, "calibration").otherwise("heldout")
 
 
 def sequenced_name(stem: Column, extension: Column, k: Column) -> Column:
@@ -76,25 +81,23 @@ def resolved_focal(values: Column) -> Column:
     return F.when(first.between(1, 300) & F.forall(used, lambda x: F.abs(x - first) <= 0.001), first)
 
 
+# Names of licences that leave a work free, and the versions of those that ask for the author's name.
 def open_licence(name: Column) -> Column:
-    return F.lower(name).isin("cc0", "cc0 1.0", "public domain", "pd") | name.rlike(r"^CC BY(-SA)? (1\.0|2\.0|2\.5|3\.0|4\.0)$")
+    return F.lower(name).isin("cc0", "public domain", "public-domain") | name.rlike(r"^CC BY(-SA)? (1\.0|2\.0|2\.5|3\.0|4\.0)$")
 
 
 def glob_to_regex(pattern: str) -> str:
-    """A path pattern (*, **, ?) as a regular expression for the whole path."""
-    import re
-
+    """A path pattern (* and ? over any characters, / too; [...] and [!...] classes) as a regular expression for the whole path."""
     out, i = "", 0
     while i < len(pattern):
-        c = pattern[i]
-        if c == "*":
-            deep = pattern[i : i + 2] == "**"
-            out += ".*" if deep else "[^/]*"
-            i += 1 + deep
+        c, end = pattern[i], pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] == "!"))
+        if c == "[" and end > 0:
+            inside = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&").replace("^", "\\^")
+            out, i = out + "[" + ("^" + inside[1:] if inside.startswith("!") else inside) + "]", end + 1
             continue
-        out += "[^/]" if c == "?" else re.escape(c)
+        out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
         i += 1
-    return f"^{out}$"
+    return f"(?s)^{out}(?![\\s\\S])"
 
 
 def canonical_json(values: Column) -> Column:
@@ -111,3 +114,33 @@ def same_time(ticks_a: Column, base_a: Column, ticks_b: Column, base_b: Column)
 def numeric_features(*columns: Column) -> list[Column]:
     """Values with null as 0, and a mask of what was observed."""
     return [F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in columns)), F.array(*(c.isNotNull() for c in columns))]
+
+
+def strict_json(text: Column) -> Column:
+    """text if it is JSON without a repeated key in an object and without NaN or Infinity, else null."""
+    def once(pairs: list) -> dict:
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            raise ValueError("repeated key")
+        return out
+
+    def refuse(word: str) -> None:
+        raise ValueError(word)
+
+    @pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        def checked(v: str | None) -> str | None:
+            try:
+                json.loads(v, object_pairs_hook=once, parse_constant=refuse)
+            except (TypeError, ValueError, RecursionError):
+                return None
+            return v
+
+        return values.map(checked)
+
+    return run(text)
+
+
+def total_order(x: Column) -> Column:
+    """A key that sorts doubles completely: -0.0 before 0.0, NaN last."""
+    return F.struct(F.isnan(x).alias("nan"), x.alias("value"), (x.cast("string") != "-0.0").alias("sign"))

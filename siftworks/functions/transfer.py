@@ -120,3 +120,45 @@ def oriented(x: Column, y: Column, w: Column, h: Column, orientation: Column) ->
     nx = F.when(o.isin(2, 3), 1 - x - w).when(o.isin(5, 8), y).when(o.isin(6, 7), 1 - y - h).otherwise(x)
     ny = F.when(o.isin(3, 4), 1 - y - h).when(o.isin(5, 6), x).when(o.isin(7, 8), 1 - x - w).otherwise(y)
     return [nx, ny, F.when(swapped, h).otherwise(w), F.when(swapped, w).otherwise(h)]
+
+
+def disparity(rank: Column, scale: Column, exponent: int) -> Column:
+    """Disparity of an 8-bit rank, falling from 255 * scale to 0; null where the scale is not positive or the exponent not 1 or 2."""
+    if exponent not in (1, 2):
+        return F.lit(None).cast("double")
+    span = scale * 255.0
+    return F.when(scale > 0, span - F.pow(rank / 255.0, F.lit(exponent)) * span)
+
+
+def focus_disparity(rank: Column, span: Column, exponent: int) -> Column:
+    """Disparity of a focus rank, the rank held to 0..255."""
+    if exponent not in (1, 2):
+        return F.lit(None).cast("double")
+    return F.when(span >= 0, (1 - F.pow(clamp(rank / 255.0, 0.0, 1.0), F.lit(exponent))) * span)
+
+
+def display_schedule(headroom: Column, gap: Column) -> Column:
+    """struct of weights at a display headroom from 1 to 8 for a range gap in stops; null outside."""
+    stops = F.log2(F.when(headroom >= 1, headroom).otherwise(F.lit(1.0)))
+    some = F.greatest(gap, F.lit(0.01))
+    return F.when(headroom.between(1, 8), F.struct((stops / 3).alias("master"), (1 - stops / F.greatest(some, F.lit(3.0))).alias("retained"), F.greatest(1 - stops / some, F.lit(0.0)).alias("unconstrained")))
+
+
+def optical_zoom(equivalent: Column, digital: Column, anchor: Column) -> Column:
+    """struct<optical, zoom>: the lens's own equivalent focal length and the digital zoom in front of it.
+
+    The recorded zoom counts where it is at least 1 and within max(0.08, 5 %) of the ratio of focal
+    lengths; else the ratio does, never below 1.
+    """
+    recorded = F.when(digital > 0, digital).otherwise(F.lit(1.0))
+    optical = F.coalesce(anchor, equivalent / F.greatest(recorded, F.lit(1.0)))
+    ratio = F.try_divide(equivalent, optical)
+    near = (recorded >= 1) & (F.abs(recorded - ratio) <= F.greatest(F.lit(0.08), ratio * 0.05))
+    return F.when((equivalent > 0) & (optical > 0), F.struct(optical.alias("optical"), F.when(near, recorded).otherwise(F.greatest(ratio, F.lit(1.0))).alias("zoom")))
+
+
+def cropped_profile(equivalent: Column, anchor: Column, largest: Column, width: Column, height: Column, base_width: Column, focal_pixels: Column) -> Column:
+    """struct of a lens profile cropped to an equivalent focal length: reference size in multiples of four and focal length in pixels of the image."""
+    scale = anchor / F.least(equivalent, largest)
+    four = lambda x: F.greatest(F.round(x * scale / 4) * 4, F.lit(4.0)).cast("int")
+    return F.struct(four(width).alias("width"), four(height).alias("height"), (focal_pixels * base_width / four(width)).alias("focal_pixels"), ((width - four(width)) / 2.0).alias("offset_x"), ((height - four(height)) / 2.0).alias("offset_y"))

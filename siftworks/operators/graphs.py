@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftworks.operators.lineage import cut_lineage
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """Nodes reachable from roots (node) over edges (a, b), roots included, as a recursive query.
 
-    depth bounds the rounds; cycles are harmless because rounds end there and nodes are made distinct.
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, hops) of the nodes reachable from roots (node) over edges (a, b), roots included, with the fewest hops.
+
+    Each round joins the nodes found last with the edges and keeps those not met before, until there
+    are none: cycles and any depth are harmless.  What was found is written between rounds.
     """
-    spark = edges.sparkSession
-    return spark.sql(
-        "WITH RECURSIVE reach(node, hops) AS (SELECT node, 0 FROM {roots} UNION ALL SELECT e.b, r.hops + 1 FROM reach r JOIN {edges} e ON e.a = r.node WHERE r.hops < {depth}) SELECT node, min(hops) AS hops FROM reach GROUP BY node",
-        roots=roots, edges=edges, depth=depth,
-    )
+    steps = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b")).where("_a is not null and _b is not null").distinct()
+    last = cut_lineage(roots.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0)))
+    found = last
+    while not last.isEmpty():
+        onward = last.join(steps, F.col("node") == F.col("_a")).select(F.col("_b").alias("node"), F.col("hops") + 1).toDF("node", "hops").distinct()
+        last = cut_lineage(onward.join(found, "node", "left_anti"))
+        found = found.unionByName(last)
+    return found
 
 
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:

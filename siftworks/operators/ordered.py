@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from siftworks.operators.ranking import numbered, numeric_order, running, shifted
+from siftworks.operators.ranking import carried, numbered, numeric_order, running, shifted, slice_bounds
 
 
 def replay(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -45,18 +45,16 @@ def islands(df: DataFrame, keys: list[str], order: list[str], state: str) -> Dat
 
 
 def interpolated(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """df with filled: value, or the line between the nearest rows that have one, or the nearest at the ends."""
-    along = Window.partitionBy(*keys).orderBy(at)
-    behind, ahead = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(0, Window.unboundedFollowing)
-    here = F.when(F.col(value).isNotNull(), F.col(at))
-    x0, y0 = F.last(here, ignorenulls=True).over(behind), F.last(value, ignorenulls=True).over(behind)
-    x1, y1 = F.first(here, ignorenulls=True).over(ahead), F.first(value, ignorenulls=True).over(ahead)
+    """df with filled: value, or the line between the nearest rows that have one, or the nearest at the ends.
+
+    The nearest rows are carried along in slices, so a key may have any number of rows.
+    """
+    bounds = slice_bounds(df, at)
+    known = df.withColumn("_known", F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("x"), F.col(value).alias("y"))))
+    both = carried(carried(known, keys, [at], "_known", "_behind", bounds=bounds), keys, [at], "_known", "_ahead", ahead=True, bounds=bounds)
+    x0, y0, x1, y1 = (F.col(side)[c] for side in ("_behind", "_ahead") for c in ("x", "y"))
     line = y0 + (y1 - y0) * F.try_divide(F.col(at) - x0, x1 - x0)
-    return df.withColumn("filled", F.coalesce(F.col(value), line, y0, y1))
-
-
-def running_maximum(value: Column | str, keys: list[str], order: str) -> Column:
-    return F.max(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return both.select(*df.columns, F.coalesce(F.col(value), line, y0, y1).alias("filled"))
 
 
 def strided(df: DataFrame, position: str, total: int, most: int) -> DataFrame:

@@ -103,6 +103,36 @@ def shifted(df: DataFrame, keys: list[str], order: list[str], value: str, name:
     return out.select(*df.columns, F.coalesce("_near", "_over")["v"].alias(name))
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, ahead: bool = False, slices: int = SLICES, bounds: list[float] | None = None) -> DataFrame:
+    """df with name = the last non-null value of the key up to this row (ahead: the first from it on); null where there is none.
+
+    order[0] is numeric and not null, order is unique in a key.
+    """
+    cut = with_slices(df, order[0], slices, bounds)
+    one = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v")))
+    place = F.when(one.isNotNull(), F.struct(*order))
+    edge = (F.min_by if ahead else F.max_by)(one, place)
+    edges = cut.groupBy(*keys, "_slice").agg(edge.alias("_edge")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_slice").alias("_s"), "_edge")
+    along = Window.partitionBy(*(f"_k_{k}" for k in keys)).orderBy("_s")
+    far = F.first("_edge", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)) if ahead else F.last("_edge", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.withColumn("_over", far).drop("_edge")
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    near = F.first(one, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last(one, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    out = cut.withColumn("_near", near).join(edges, (F.col("_slice") == F.col("_s")) & same_keys(keys, "_k_"))
+    return out.select(*df.columns, F.coalesce("_near", "_over")["v"].alias(name))
+
+
+def running_maximum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slices: int = SLICES) -> DataFrame:
+    """df with name = the largest value of the key up to this row."""
+    cut = with_slices(df, order[0], slices)
+    tops = cut.groupBy(*keys, "_slice").agg(F.max(value).alias("_top")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_slice").alias("_s"), "_top")
+    along = Window.partitionBy(*(f"_k_{k}" for k in keys)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_before", F.max("_top").over(along)).drop("_top")
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.withColumn("_here", F.max(value).over(inside)).join(tops, (F.col("_slice") == F.col("_s")) & same_keys(keys, "_k_"))
+    return out.select(*df.columns, F.greatest("_here", "_before").alias(name))
+
+
 def numeric_order(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
     """df and order with a leading time or date as microseconds in column _us."""
     kind = dict(df.dtypes)[order[0]]

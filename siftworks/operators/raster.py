@@ -42,67 +42,114 @@ def fused(value: Column, prior: Column, semantic: Column) -> Column:
     return F.zip_with(value, low, lambda v, m: F.greatest(v, m))
 
 
-def _udf(f: Callable[[np.ndarray], np.ndarray], height: int, width: int) -> Callable[[Column], Column]:
+_STACK = 512  # rasters that are filtered at a time
+
+
+def _udf(f: Callable[..., np.ndarray], height: int, width: int, kinds: tuple = (np.float64,)) -> Callable[..., Column]:
+    """A column function over rasters of one size: f gets one (n, height, width) array for each column; other sizes and nulls give null."""
+    n = height * width
+
     @pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rasters in batches:
-            yield pd.Series([None if r is None or len(r) != height * width else f(np.asarray(r, dtype=np.float64).reshape(height, width)).ravel() for r in rasters])
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            columns = (columns,) if isinstance(columns, pd.Series) else columns
+            fits = np.array([all(x is not None and len(x) == n for x in row) for row in zip(*columns, strict=True)], dtype=bool)
+            out = np.full(len(fits), None, dtype=object)
+            for part in np.array_split(np.flatnonzero(fits), max(1, -(-int(fits.sum()) // _STACK))):
+                if len(part):
+                    found = f(*(np.stack(c.iloc[part].to_numpy()).astype(k).reshape(-1, height, width) for c, k in zip(columns, kinds, strict=True)))
+                    for i, row in zip(part.tolist(), found.reshape(len(part), n), strict=True):
+                        out[i] = row
+            yield pd.Series(out)
 
     return run
 
 
-def _boxes(x: np.ndarray, radius: int, op: Callable) -> np.ndarray:
-    """op over the window of each sample, edges clamped."""
-    padded = np.pad(x, radius, mode="edge")
-    return op(np.lib.stride_tricks.sliding_window_view(padded, (2 * radius + 1,) * 2), axis=(2, 3))
+def _windows(x: np.ndarray, radius: int, **pad) -> np.ndarray:
+    """The square around each sample of a stack."""
+    padded = np.pad(x, ((0, 0), (radius, radius), (radius, radius)), **pad)
+    return np.lib.stride_tricks.sliding_window_view(padded, (2 * radius + 1,) * 2, axis=(1, 2))
 
 
-def box_blur(height: int, width: int, radius: int) -> Callable[[Column], Column]:
-    """Mean of the finite samples in a square, those beyond the border left out."""
+def _box_mean(x: np.ndarray, radius: int) -> np.ndarray:
+    return _windows(x, radius, mode="edge").mean(axis=(3, 4))
 
-    def f(x: np.ndarray) -> np.ndarray:
-        padded = np.pad(np.where(np.isfinite(x), x, np.nan), radius, constant_values=np.nan)
-        return np.nanmean(np.lib.stride_tricks.sliding_window_view(padded, (2 * radius + 1,) * 2), axis=(2, 3))
 
-    return _udf(f, height, width)
+def box_blur(height: int, width: int, radius: int) -> Callable[[Column, Column], Column]:
+    """(raster, valid) -> mean of the valid samples in a square, those beyond the border left out; 0 where there is none."""
+
+    def f(x: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        total = _windows(np.where(valid, x, 0.0), radius).sum(axis=(3, 4))
+        return total / np.maximum(_windows(valid.astype(np.int64), radius).sum(axis=(3, 4)), 1)
+
+    return _udf(f, height, width, (np.float64, bool))
 
 
 def disc_maximum(height: int, width: int, radius: int) -> Callable[[Column], Column]:
     """Largest sample within a circle."""
     y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
     disc = y * y + x * x <= radius * radius
-
-    def f(v: np.ndarray) -> np.ndarray:
-        padded = np.pad(v, radius, constant_values=-np.inf)
-        views = np.lib.stride_tricks.sliding_window_view(padded, disc.shape)
-        return np.where(disc, views, -np.inf).max(axis=(2, 3))
-
-    return _udf(f, height, width)
+    return _udf(lambda v: np.where(disc, _windows(v, radius, constant_values=-np.inf), -np.inf).max(axis=(3, 4)), height, width)
 
 
 def guided(height: int, width: int, radius: int, epsilon: float) -> Callable[[Column], Column]:
     """Self-guided filter: local lines a * x + b from box means, averaged."""
 
     def f(x: np.ndarray) -> np.ndarray:
-        mean = _boxes(x, radius, np.mean)
-        variance = _boxes(x * x, radius, np.mean) - mean * mean
+        mean = _box_mean(x, radius)
+        variance = _box_mean(x * x, radius) - mean * mean
         a = variance / (variance + epsilon)
-        return _boxes(a, radius, np.mean) * x + _boxes(mean * (1 - a), radius, np.mean)
+        return _box_mean(a, radius) * x + _box_mean(mean * (1 - a), radius)
 
     return _udf(f, height, width)
 
 
-def bilateral(height: int, width: int, radius: int, space: float, tone: float) -> Callable[[Column], Column]:
-    """Separable smoothing weighted by distance and by difference of value, rows then columns."""
+def bilateral(height: int, width: int, radius: int = 12, space: float = 4.0, tone: float = 0.5) -> Callable[[Column, Column], Column]:
+    """(raster, guide) -> separable smoothing weighted by distance and by the guide's difference, rows then columns; edges repeat.
+
+    The guide stays the same in both passes.
+    """
     reach = np.arange(-radius, radius + 1)
     near = np.exp(-0.5 * (reach / space) ** 2)
 
-    def pass_over(x: np.ndarray) -> np.ndarray:
-        views = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (radius, radius)), mode="edge"), 2 * radius + 1, axis=1)
-        w = near * np.exp(-0.5 * ((views - x[:, :, None]) / tone) ** 2)
-        return (w * views).sum(axis=2) / w.sum(axis=2)
+    def along(x: np.ndarray, guide: np.ndarray) -> np.ndarray:
+        views = lambda v: np.lib.stride_tricks.sliding_window_view(np.pad(v, ((0, 0), (0, 0), (radius, radius)), mode="edge"), 2 * radius + 1, axis=2)
+        w = near * np.exp(-0.5 * ((views(guide) - guide[..., None]) / tone) ** 2)
+        return (w * views(x)).sum(axis=3) / w.sum(axis=3)
+
+    def f(x: np.ndarray, guide: np.ndarray) -> np.ndarray:
+        turned = np.swapaxes(guide, 1, 2)
+        return np.swapaxes(along(np.swapaxes(along(x, guide), 1, 2), turned), 1, 2)
+
+    return _udf(f, height, width, (np.float64, np.float64))
+
+
+def gain_raster(height: int, width: int, map_height: int, map_width: int, gamma: float, low: float, high: float, weight: float, base_offset: float, alternate_offset: float) -> Callable[[Column, Column], Column]:
+    """(linear samples, 8-bit gain codes of another size) -> samples with the gain applied, codes read bilinearly at pixel centres."""
 
-    return _udf(lambda x: pass_over(pass_over(x).T).T, height, width)
+    def places(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
+        first = np.minimum(at.astype(np.int64), max(0, m - 2))
+        return first, np.minimum(first + 1, m - 1), at - first
+
+    (y0, y1, fy), (x0, x1, fx) = places(height, map_height), places(width, map_width)
+
+    @pandas_udf("array<double>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for base, codes in batches:
+            out = []
+            for b, c in zip(base, codes, strict=True):
+                if b is None or c is None or len(b) != height * width or len(c) != map_height * map_width:
+                    out.append(None)
+                    continue
+                grid = np.asarray(c, np.float64).reshape(map_height, map_width)
+                rows = grid[y0] * (1 - fy)[:, None] + grid[y1] * fy[:, None]
+                code = rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+                gain = low + (code / 255) ** (1 / gamma) * (high - low)
+                out.append(((np.asarray(b, np.float64).reshape(height, width) + base_offset) * 2.0 ** (gain * weight) - alternate_offset).ravel())
+            yield pd.Series(out)
+
+    return run
 
 
 def area_resample(raster: Column, height: int, width: int, rows: int, cols: int) -> Column:

@@ -13,9 +13,17 @@ HEIC_BRANDS = ("heic", "heix", "hevc", "hevx")
 
 
 def scan(spark: SparkSession, roots: list[str], recursive: bool = True, video: bool = False) -> DataFrame:
-    """binaryFile rows of candidates below the roots: no dot-files, no own outputs, each path once."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(roots)
-    return files.where(is_candidate(F.col("path"), video) & ~is_hidden(F.col("path"))).dropDuplicates(["path"])
+    """binaryFile rows of candidates below the roots: no dot-files, no own outputs, each path once.
+
+    Repeated roots, and roots below others, are left out before the scan, so that no content is
+    shuffled to find repeated paths.
+    """
+    top = sorted({r.rstrip("/") for r in roots})
+    if recursive:
+        top = [r for r in top if not any(r.startswith(f"{o}/") for o in top)]
+    any_case = "{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in (VIDEOS if video else STILLS)) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", f"*.{any_case}").load(top)
+    return files.where(is_candidate(F.col("path"), video) & ~is_hidden(F.col("path")))
 
 
 def is_candidate(path: Column, video: bool = False) -> Column:
@@ -35,7 +43,7 @@ def still_encoding(content: Column) -> Column:
     """'jpeg' for FFD8, 'heic' for an ftyp box with a HEIC brand inside that box, else null."""
     head = F.hex(F.substring(content, 1, 4))
     size = F.conv(head, 16, 10).cast("long")
-    box = F.substring(content, 1, 4096)
+    box = F.substr(content, F.lit(1), F.least(size, F.length(content)).cast("int"))
     brands = F.transform(F.sequence(F.lit(8), F.greatest(F.lit(8), F.least(size, F.length(box)) - 4), F.lit(4)), lambda at: F.substr(box, at + 1, F.lit(4)).cast("string"))
     is_ftyp = F.substring(content, 5, 4).cast("string") == "ftyp"
     return F.when(F.substring(head, 1, 4) == "FFD8", "jpeg").when(is_ftyp & F.exists(brands, lambda b: b.isin(*HEIC_BRANDS)), "heic")
@@ -46,6 +54,18 @@ def byte_range(content: Column, offset: Column, length: Column, most: int) -> Co
     return F.when((length <= most) & (offset >= 0) & (offset + length <= F.length(content)), F.substr(content, (offset + 1).cast("int"), length.cast("int")))
 
 
+def blocks(content: Column, entries: Column) -> Column:
+    """name -> bytes of the entries array<struct<name,offset,length>> that lie inside the content; of one name the last."""
+    inside = F.filter(entries, lambda x: (x["offset"] >= 0) & (x["length"] >= 0) & (x["offset"] + x["length"] <= F.length(content)))
+    last = F.filter(inside, lambda x, i: ~F.exists(F.slice(inside, i + 2, F.size(inside)), lambda y: y["name"] == x["name"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["name"], F.substr(content, (x["offset"] + 1).cast("int"), x["length"].cast("int")))))
+
+
+def signature(content: Column) -> Column:
+    """struct<size, sha256> of a file's bytes."""
+    return F.struct(F.length(content).cast("long").alias("size"), F.sha2(content, 256).alias("sha256"))
+
+
 def manifest(tail: Column) -> Column:
     """Entries of the last JSON array of {name, offset, length} in a text, by offset from the end, then order."""
     raw = F.regexp_extract(tail, r"(?s).*(\[\{.*?\])", 1)

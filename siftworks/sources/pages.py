@@ -15,18 +15,20 @@ def records(pages: DataFrame) -> DataFrame:
     )
 
 
-def leaves(df: DataFrame, identity: str, json: str, depth: int = 8) -> DataFrame:
+def leaves(df: DataFrame, identity: str, json: str) -> DataFrame:
     """(identity, path, value) of every leaf of a JSON column; arrays are leaves, paths are joined by dots.
 
-    Objects are opened level by level, at most depth levels; what lies deeper stays JSON.
+    Objects are opened level by level until no value opens; an empty object has no leaves.
     """
     kind = "map<string,string>"
     level = df.select(F.col(identity), F.explode(F.from_json(json, kind)).alias("path", "value"))
     done = None
-    for _ in range(depth - 1):
+    while True:
         opened = F.when(F.ltrim("value").startswith("{"), F.from_json("value", kind))
-        leaf = level.where(opened.isNull())
+        leaf = level.where(opened.isNull() & F.col("value").isNotNull())
         done = leaf if done is None else done.unionByName(leaf)
-        inner = level.where(opened.isNotNull()).select(identity, F.col("path").alias("_outer"), F.explode(opened).alias("path", "value"))
+        deeper = level.where(opened.isNotNull())
+        if deeper.isEmpty():
+            return done
+        inner = deeper.select(identity, F.col("path").alias("_outer"), F.explode(opened).alias("path", "value"))
         level = inner.select(identity, F.concat_ws(".", "_outer", "path").alias("path"), "value")
-    return (level if done is None else done.unionByName(level)).where("value is not null")

@@ -6,11 +6,11 @@ state are in the checkpoint folder, so a stopped stream goes on where it was.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siftworks.operators.lineage import shared_folder
 from siftworks.operators.ordered import replay
 
 
@@ -51,8 +51,7 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last event of each user and type, by a stream over the event table run until it has read everything."""
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if batch.inputFiles()[0].count("events.parquet/") else f"{sf_dir}/events*.parquet")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftworks-")
-    where = f"{root}/siftworks/replayed-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/siftworks/replayed-{uuid.uuid4().hex}"
     last = last_writes(stream, ["user_id", "event_type"], ["ts", "event_id"], "event_id")
     put = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{where}/rows")  # noqa: E731  the whole state, written again
     query = last.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()

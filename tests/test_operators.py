@@ -73,7 +73,7 @@ def test_text_functions(spark):
     assert col(tx.same_time(F.lit(1), half(1, 2), F.lit(2), half(1, 4))) is True
     import re
 
-    assert re.match(tx.glob_to_regex("src/**/a?.py"), "src/x/y/ab.py") and not re.match(tx.glob_to_regex("src/*.py"), "src/x/y.py")
+    assert re.match(tx.glob_to_regex("src/**/a?.py"), "src/x/y/ab.py") and re.match(tx.glob_to_regex("src/*.py"), "src/x/y.py")  # a star crosses slashes
 
 
 # --- transfer ---
@@ -205,7 +205,7 @@ def test_journal_files(spark, tmp_path):
 
 def test_closure_with_a_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 8)], "a int, b int")
-    assert sorted(values(graphs.closure(edges, spark.createDataFrame([(1,)], "node int"), 6), "node", "hops")) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert sorted(values(graphs.closure(edges, spark.createDataFrame([(1,)], "node int")), "node", "hops")) == [(1, 0), (2, 1), (3, 2), (4, 3)]
 
 
 def test_bags_and_ranges(spark):
@@ -253,10 +253,15 @@ def test_rasters(spark):
     get = lambda f: np.array(df.select(f(F.col("r")).alias("x")).collect()[0].x).reshape(8, 8)
     want = np.array([[max(v[a, b] for a in range(8) for b in range(8) if (a - y) ** 2 + (b - x) ** 2 <= 4) for x in range(8)] for y in range(8)])
     assert np.allclose(get(raster.disc_maximum(8, 8, 2)), want)
-    assert np.allclose(get(raster.box_blur(8, 8, 1))[0, 0], v[:2, :2].mean())
+    every = F.transform("r", lambda x: F.lit(True))
+    assert np.allclose(get(lambda c: raster.box_blur(8, 8, 1)(c, every))[0, 0], v[:2, :2].mean())
+    assert (get(lambda c: raster.box_blur(8, 8, 1)(c, F.transform(c, lambda x: x > 2))) == 0).all()
     smooth = get(raster.guided(8, 8, 2, 10.0))
     assert smooth.std() < v.std() and np.allclose(get(raster.guided(8, 8, 2, 0.0)), v)
-    assert get(raster.bilateral(8, 8, 3, 1.5, 0.5)).std() < v.std()
+    assert get(lambda c: raster.bilateral(8, 8)(c, c)).std() < v.std()
+    step = F.transform("r", lambda x, i: F.when(i % 8 < 4, 0.0).otherwise(100.0))  # a guide with an edge: no smoothing over it
+    kept = get(lambda c: raster.bilateral(8, 8)(step, step))
+    assert np.allclose(kept[:, :4], 0) and np.allclose(kept[:, 4:], 100)
     means = df.select(raster.cell_means(F.col("r"), 8, 8, 2, 2).alias("m")).first().m
     assert np.allclose(means, [v[:4, :4].mean(), v[:4, 4:].mean(), v[4:, :4].mean(), v[4:, 4:].mean()])
 
@@ -297,3 +302,91 @@ def test_media(spark):
     payload = media.box_fields(df, boxes, "hvcC").select(media.hevc_profile(F.col("payload")).alias("p")).first().p
     assert (payload.profile, payload.chroma_format, payload.luma_depth) == (2, 1, 10)
     assert values(spark.range(1), media.rational(F.lit(struct.pack(">iI", -3, 2)), 0, True)) == [(-1.5,)]
+
+
+# --- against the rules as written, not against SQL of the same hand ---
+
+
+def test_globs_are_those_of_fnmatch():
+    import fnmatch
+    import re
+
+    from siftworks.functions import text as tx
+
+    paths = ["a/b/c.md", "docs/x.py", "docs/sub/x.py", "x1", "x[", "a.b", "A.B", "x]y", "line\nend", "^a", "a^", "a&&b", "-a"]
+    for pattern in ("*", "docs/*", "docs/**", "?1", "x[[]", "[!a]*", "[a-c].b", "*.py", "x[]]y", "[", "a[", "*end", "[\\^]a", "[^]a", "a[&][&]b", "[!]a]*"):
+        for path in paths:
+            assert bool(re.match(tx.glob_to_regex(pattern), path)) == fnmatch.fnmatchcase(path, pattern), (pattern, path)
+
+
+def test_licences_zoom_and_splits(spark):
+    from siftworks.functions import decisions as dc, text as tx
+
+    names = {"CC0": True, "cc0": True, "Public Domain": True, "public-domain": True, "pd": False, "CC0 1.0": False, "CC BY 2.5": True, "CC BY-SA 4.0": True, "CC BY-NC 4.0": False, "CC BY 4.0 ": False}
+    got = {r.n: r.ok for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", tx.open_licence(F.col("n")).alias("ok")).collect()}
+    assert got == names
+    zooms = [(0.5, "one-to-below-two"), (1.99, "one-to-below-two"), (2.0, "two-to-below-three"), (3.0, "three-to-below-six"), (5.99, "three-to-below-six"), (6.0, "six-to-ten"), (None, None)]
+    assert [r.z for r in spark.createDataFrame([(z,) for z, _ in zooms], "z double").select(dc.zoom_bucket(F.col("z")).alias("z")).collect()] == [b for _, b in zooms]
+
+
+def plain_early(m):
+    """The early headroom model, one number at a time in 32-bit floats."""
+    f = np.float32
+    fma = lambda a, b, c: f(np.float64(a) * np.float64(f(b)) + np.float64(f(c)))
+    if m[0] < 2:
+        return 1.0
+    if m[33] >= 1:
+        return float(m[33])
+    if m[32] <= 0:
+        return 1.0
+    face, light = f(m[24]), f(m[29])
+    e = f(780.3) / (f(np.exp2(fma(m[32], -0.1175, -6.829))) + f(1)) + f(-772.3)
+    if face > 0:
+        e = fma(e - f(1), face if face < 1 else f(1) / face, 1)
+    s = abs(f(np.sqrt(e))) - f(1)
+    e = fma(s, 3.8, 1) if light < 200 else fma(s, 1.34, 1) if light >= 320 else fma(s, fma(light, -0.0205, 7.9), 1)
+    if face > 0:
+        e = fma(abs(f(np.sqrt(e))) - f(1), 1.85, 1)
+    return float(e if light <= 320 else fma(e - f(1), 0.8, 1))
+
+
+def test_early_headroom(spark):
+    from siftworks.functions import headroom as hr
+
+    r = np.random.default_rng(4)
+    rows = []
+    for _ in range(200):
+        m = np.zeros(36, np.float32)
+        m[0], m[23], m[24], m[29], m[32] = r.choice((1.5, 2.5)), 1, r.choice((0, 0.4, 3.0)), r.choice((150, 250, 400)), r.choice((0, 40, 400, 900))
+        m[33] = r.choice((0, 0, 0, 4.25))
+        rows.append((m.tolist(),))
+    df = spark.createDataFrame([*rows, ([1.0] * 5,), (None,)], "m array<double>")
+    got = [x.s for x in df.select(hr.headroom_scale(F.col("m")).alias("s")).collect()]
+    assert np.allclose(got[:200], [plain_early(np.array(m, np.float32)) for (m,) in rows], rtol=1e-6) and got[200:] == [None, None]
+    knees = [x.k for x in spark.createDataFrame([(2.0,), (4.0,), (1.0,)], "s double").select(hr.knee_point(F.col("s")).alias("k")).collect()]
+    assert all(k is None or k < 1 for k in knees) and knees[0] is not None
+
+
+def test_closure_of_a_long_chain_and_a_clique(spark):
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a < 60")
+    assert graphs.closure(chain, spark.createDataFrame([(0,)], "node long")).count() == 61
+    clique = spark.createDataFrame([(i, j) for i in range(12) for j in range(12)], "a long, b long")
+    assert graphs.closure(clique, spark.createDataFrame([(0,)], "node long")).count() == 12
+
+
+def test_leaves_of_deep_objects(spark):
+    from siftworks.sources import pages
+
+    text = '{"a":' * 14 + "1" + "}" * 14
+    rows = pages.leaves(spark.createDataFrame([(1, text), (2, '{"b": [1], "c": {}}')], "i int, j string"), "i", "j").collect()
+    assert sorted((r.i, r.path, r.value) for r in rows) == [(1, ".".join("a" * 14), "1"), (2, "b", "[1]")]
+
+
+def test_scan_of_overlapping_roots(spark, tmp_path):
+    from siftworks.sources import files
+
+    (tmp_path / "a" / ".hid").mkdir(parents=True)
+    for name in ("a/x.JPG", "a/y.heic", "a/z.txt", "a/.hid/w.jpg", "b.jpeg"):
+        (tmp_path / name).write_bytes(b"\xff\xd8")
+    found = files.scan(spark, [str(tmp_path), str(tmp_path / "a"), f"{tmp_path}/"])
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["b.jpeg", "x.JPG", "y.heic"]
