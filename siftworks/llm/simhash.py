@@ -94,6 +94,9 @@ def _signed(x: int) -> int:
 
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (a, b) that connect exactly what radius 2 connects."""
+    # the fingerprints are few bytes but each enters up to 33 cells: deal them to all cores first
+    parts = max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.count() // 100_000)
+    distinct = distinct.repartition(parts, "fp")
     spread = distinct.select("fp", F.explode(_cells(_segment_counts(F.col("fp")))).alias("cell"))
     cells = scratch.table("cells", spread.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = cells.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
