@@ -29,6 +29,7 @@ RADIUS = 23
 BLOCKS = 8
 CHUNK_BYTES = 4_000_000  # benchmark text sent to executors at a time
 _BATCH_BYTES = 4 << 20
+_TILE = 4096  # windows of a text that are fingerprinted at a time
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
@@ -45,6 +46,12 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def _tiles(first: np.ndarray) -> Iterator[np.ndarray]:
+    """Rising first words in stretches that span at most _TILE words, so that a long text needs no more memory than a short one."""
+    cuts = np.flatnonzero(np.diff(first // _TILE)) + 1
+    yield from np.split(first, cuts)
+
+
 class Index:
     """Items of one chunk: shingles, fingerprints and the multi-index."""
 
@@ -113,12 +120,12 @@ class Index:
                     size = min(size, n)
                     windows[size].update(range(max(0, p - size + width), min(p, n - size) + 1))
         best: dict[int, tuple[float, int, int]] = {}
-        signs = _signs(window_hashes(hashed, np.arange(n - width + 1), width, 1))
-        sums = np.zeros((len(signs) + 1, 64), dtype=np.int32)
-        np.cumsum(signs, axis=0, out=sums[1:])
-        for size, firsts in windows.items():
-            first = np.array(sorted(firsts))
-            found = self.within(_packed(sums[first + size - width + 1] - sums[first]))
+        for size, first in ((size, tile) for size, firsts in windows.items() for tile in _tiles(np.array(sorted(firsts)))):
+            low = int(first[0])
+            signs = _signs(window_hashes(hashed, np.arange(low, first[-1] + size - width + 1), width, 1))
+            sums = np.zeros((len(signs) + 1, 64), dtype=np.int32)
+            np.cumsum(signs, axis=0, out=sums[1:])
+            found = self.within(_packed(sums[first - low + size - width + 1] - sums[first - low]))
             found &= (self.length == size) | ((self.length > size) & (size == n))
             for w, i in zip(*np.nonzero(found), strict=True):
                 s = int(first[w])
