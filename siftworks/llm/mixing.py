@@ -101,18 +101,18 @@ def mix(sizes: DataFrame, most: float = MOST, group: int = GROUP) -> DataFrame:
 
     taken = copies * size.  A document without words keeps one copy and takes nothing.  Null sources
     are one source, the last; null ids and repeated rows are documents like any other, and equal
-    rows may swap copies.  An empty table gives an empty result.  Results do not depend on how rows
+    rows may swap copies; rows without an id are dealt to rounding groups by their place in the input.  An empty table gives an empty result.  Results do not depend on how rows
     are dealt to tasks.
     """
     scratch = Scratch(sizes.sparkSession)
-    rows = scratch.table("sizes", sizes.select("id", source_key(F.col("source")).alias("key"), F.col("size").cast("long").alias("size")))
+    rows = scratch.table("sizes", sizes.select("id", source_key(F.col("source")).alias("key"), F.col("size").cast("long").alias("size"), F.when(F.col("id").isNull(), F.monotonically_increasing_id()).alias("tag")))
     cells = scratch.table("cells", rows.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
     per_source = cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("n_docs"))
     goals = targets(per_source.select("key", "words"), most).join(per_source.drop("words"), "key")
     solved = tilts(cells, goals, scratch, most)
     full = F.col("target") >= most * F.col("words") * (1 - 1e-12)
     rate = F.when(full, F.lit(most)).otherwise(_rate(F.col("tilt"), F.col("size") / F.col("scale"), most))
-    mark = F.xxhash64("id", "size")
+    mark = F.xxhash64("id", "size", "tag")
     dealt = rows.join(solved, "key").select("id", "key", "size", rate.alias("rate"), mark.alias("mark"), F.pmod(mark, F.ceil(F.col("n_docs") / group)).alias("part"))
     scratch.hold()
     whole = int(most)

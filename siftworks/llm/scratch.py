@@ -1,8 +1,8 @@
 """Shared scratch tables: intermediate results that cut lineage and survive lost executors.
 
 They are Parquet below the folder that the session names in ``spark.checkpoint.dir``, which the
-driver and all executors share.  Where the session names none (tests on one machine) a temporary
-folder is used.
+driver and all executors share.  Where the session names none a temporary folder is used on one
+machine (tests), and anything else is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ def _root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="siftworks-"))
     return "file://" + _local[0]

@@ -442,3 +442,19 @@ def test_text_of_embedded_elements_stays(inline):
     page = f"<html><body><nav><a href='/'>Home</a> <a href='/x'>More</a></nav><article><h1>A title of the page</h1><p>Energy is {inline} in physics, as the first sentence says.</p><p>Another sentence follows here.</p></article></body></html>"
     (text,) = html_extraction.extract([page], html_extraction.default_model(200))
     assert "Energy is E = mc in physics, as the first sentence says." in text and "Home" not in text
+
+
+def test_null_ids_are_dealt_to_many_groups(spark):
+    sizes = spark.range(3000).select(F.lit(None).cast("long").alias("id"), F.lit("s").alias("source"), F.lit(10).cast("long").alias("size"))
+    other = spark.range(3000, 3100).select("id", F.lit("t").alias("source"), F.lit(1000).cast("long").alias("size"))
+    got = mixing.mix(sizes.unionByName(other), group=50).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in got) == [100, 3000] and all(abs(r.taken - r.target) <= 0.1 * r.target for r in got)
+
+
+def test_leaks_in_a_text_of_many_tiles(monkeypatch):
+    monkeypatch.setattr(decontamination, "_TILE", 7)
+    item = " ".join(f"word{i}" for i in range(30))
+    text = " ".join(["filler"] * 50 + [item] + ["more"] * 100 + [item.replace("word7", "x")] + ["end"] * 9)
+    index = decontamination.Index([(1, item), (2, "filler more end")])
+    (found,) = index.search([text.encode()], 0.8)
+    assert [(i, s, n) for i, s, n, _ in found] == [(0, 50, 30)] and found[0][3] == 1.0
