@@ -150,14 +150,18 @@ def gain_map_parameters(scale: Column, knee: Column) -> dict[str, Column]:
 
 
 def gain_code(code: Column, p: dict[str, Column]) -> Column:
-    """8-bit mask code to 8-bit log gain; tables with 1000 steps a unit are read at truncated places."""
+    """8-bit mask code to 8-bit log gain; tables with 1000 steps a unit are read at truncated places.
+
+    From max_boost on the gain is 255, which 255 / log2(scale) * log2(scale) gives but for its last bit.
+    """
     step = lambda x, top: F.least(F.floor(x * 1000), F.lit(top)) / 1000.0
     grey = F.pow(step(code / 255.0, 1000), F.lit(0.625))
     linear = F.pow(step(F.try_divide(grey - p["knee"], p["knee_range"]), 1000), F.lit(2.2))
     boosted = F.when(grey < p["knee"], 1.0).otherwise(F.pow(step(linear, 1000) * p["headroom_scale"] + 1, F.lit(2.2)))
     at = F.when(boosted < 1, 1.0).otherwise(step(F.least(boosted, F.lit(8.0)), 8000))
-    gain = p["log2_scale"] * F.log2(F.least(F.greatest(at, F.lit(1.0)), p["max_boost"]))
-    return F.greatest(F.lit(0), F.least(F.lit(255), gain.cast("int")))
+    gain = p["log2_scale"] * F.log2(F.greatest(at, F.lit(1.0)))
+    whole = F.greatest(F.lit(0), F.least(F.lit(255), gain.cast("int")))
+    return F.when((at >= p["max_boost"]) & (p["log2_scale"] > 0), 255).otherwise(whole)
 
 
 def info_vector(r: Column) -> Column:

@@ -279,12 +279,13 @@ def headroom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("l_orderkey", "l_linenumber", r6("r.edr_scale").alias("scale"), r6("r.alternate_headroom").alias("alternate"), r6(p["headroom_scale"]).alias("headroom_scale"), F.round(p["log2_scale"], 4).alias("log2_scale"), r6(p["max_boost"]).alias("max_boost"))
 
 
-@query("""WITH c AS (SELECT p_partkey, p_size, 1.5 + p_size / 10.0 AS scale, p_partkey % 256 AS code FROM part), a AS (SELECT *, pow(least(floor(code / 255.0 * 1000), 1000) / 1000.0, 0.625) AS grey, 1 / pow(1 / scale, 1 / 2.2) - 1 AS hs FROM c),
-b AS (SELECT *, pow(least(floor(grey * 1000), 1000) / 1000.0, 2.2) AS lin FROM a), d AS (SELECT *, pow(least(floor(lin * 1000), 1000) / 1000.0 * hs + 1, 2.2) AS boost FROM b)
-SELECT p_partkey, CAST(greatest(0, least(255, trunc(255 / (ln(scale) / ln(2)) * (ln(least(greatest(CASE WHEN boost < 1 THEN 1 ELSE least(floor(least(boost, 8) * 1000), 8000) / 1000.0 END, 1), scale)) / ln(2))))) AS INTEGER) AS gain FROM d""")
+@query("""WITH c AS (SELECT p_partkey, p_size, 1.5005 + p_size / 10.0 AS scale, p_partkey % 256 AS code FROM part), a AS (SELECT *, pow(least(floor(code / 255.0 * 1000), 1000) / 1000.0, 0.625) AS grey, 1 / pow(1 / scale, 1 / 2.2) - 1 AS hs FROM c),
+b AS (SELECT *, pow(least(floor(grey * 1000), 1000) / 1000.0, 2.2) AS lin FROM a), d AS (SELECT *, pow(least(floor(lin * 1000), 1000) / 1000.0 * hs + 1, 2.2) AS boost FROM b),
+e AS (SELECT *, CASE WHEN boost < 1 THEN 1 ELSE least(floor(least(boost, 8) * 1000), 8000) / 1000.0 END AS x FROM d)
+SELECT p_partkey, CASE WHEN x >= scale THEN 255 ELSE CAST(greatest(0, least(255, trunc(255 / log2(scale) * log2(greatest(x, 1))))) AS INTEGER) END AS gain FROM e""")
 def gain_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mask codes as log gains through truncated tables; the largest gain is 255 or 254 by the last bit of a logarithm, so the SQL divides natural ones as Spark does."""
-    p = hr.gain_map_parameters(1.5 + F.col("p_size") / 10.0, F.lit(0.0))
+    """Mask codes as log gains through truncated tables; the scales lie between the tables' steps, where engines agree."""
+    p = hr.gain_map_parameters(1.5005 + F.col("p_size") / 10.0, F.lit(0.0))
     return read(spark, sf_dir, "part").select("p_partkey", hr.gain_code(F.col("p_partkey") % 256, p).alias("gain"))
 
 
