@@ -15,15 +15,18 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROWS_IN_BATCH = "500"  # documents or blocks that pass to Python at a time while a table is written
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# What passes to Python at a time: a batch ends at this many rows or bytes, whichever is first.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+# While a table is written also: what it shuffled goes as soon as it is written, for nothing reads it again.
+_WRITING = {**_BATCHES, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _local: list[str] = []
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
     """Have Spark pass few rows to Python at a time in this session: a batch of whole texts is then
-    a few megabytes in the executor, in its Python worker and on the way back."""
-    spark.conf.set(_BATCH, ROWS_IN_BATCH)
+    a few megabytes, or one text, in the executor, in its Python worker and on the way back."""
+    for key, value in _BATCHES.items():
+        spark.conf.set(key, value)
     return spark
 
 
@@ -64,12 +67,14 @@ class Scratch:
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Write df now and return it as read back."""
         where = f"{self.path}/{name}"
-        before = self.spark.conf.get(_BATCH)
-        self.spark.conf.set(_BATCH, ROWS_IN_BATCH)
+        before = {key: self.spark.conf.get(key) for key in _WRITING}
         try:
+            for key, value in _WRITING.items():
+                self.spark.conf.set(key, value)
             df.write.parquet(where)
         finally:
-            self.spark.conf.set(_BATCH, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         self._names.add(name)
         return self.spark.read.schema(df.schema).parquet(where)
 
