@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftworks.llm.conversation_trie import numbered_turns, prefix_trie, with_heads
 from siftworks.llm.decontamination import find_leaks
+from siftworks.llm.fill_in_middle import fill_in_middle, restored
 from siftworks.llm.gif import media_digests, text_to_gif
 from siftworks.llm.html_extraction import default_model, extract_text
 from siftworks.llm.licenses import scan_licenses
 from siftworks.llm.mixing import mix, n_words
 from siftworks.llm.pii import as_string, find_pii
+from siftworks.llm.quality import score_quality
 from siftworks.llm.scratch import Scratch, small_batches
 from siftworks.llm.simhash import simhash_components
 from siftworks.llm.substring_dedup import remove_repeated_windows
@@ -96,6 +99,34 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `conversations`, each with its family's opening: one row per node of their prefix trie."""
+    with Scratch(spark) as scratch:
+        turns, convs = with_heads(numbered_turns(_read(spark, sf_dir, "conversations"), scratch))
+        return prefix_trie(turns, convs, scratch)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents`: digests of the transformed text and of the text restored from it."""
+    made = fill_in_middle(_read(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    back = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+def quality_held_out(doc_id: Column) -> Column:
+    """Rows whose quality labels are never learnt from; a null doc_id is not one of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents`: probability that a text is of good quality."""
+    labels = _read(spark, sf_dir, "labels").where(~quality_held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+    with Scratch(spark) as scratch:
+        found = score_quality(_read(spark, sf_dir, "documents"), labels, scratch)
+    return found.select("doc_id", quality_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -107,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_quality": op13_quality,
 }
 #: The others cannot be written in SQL, or not at the length of whole texts; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op3_substring_dedup": oracles.OP3, "op9_license_scan": oracles.license_sql()}
+ORACLES: dict[str, str] = {"op3_substring_dedup": oracles.OP3, "op9_license_scan": oracles.license_sql(), "op11_conversation_trie": oracles.OP11, "op12_fill_in_middle": oracles.OP12}
