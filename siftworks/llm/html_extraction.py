@@ -13,6 +13,7 @@ with the label of each part known.  Their number is a parameter.
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
@@ -38,17 +39,45 @@ _AGAINST = frozenset(
 )
 _FOR = frozenset("article content contents main post entry story body text page hentry articlebody maincontent document".split())
 _HEADS = frozenset(("header", "head", "title"))
+#: Names that say how a page looks or what an article is filed under, not what an element is.
+_STATES = frozenset("has no not with without is are can show hide sticky fixed js single logged enable enabled supports".split())
+_FILED = frozenset("tag tags category cat format type status author topic term post postid page".split())
+_WRAPS = frozenset("wrap wrapper wrapping container layout grid holder inner outer row cols columns area".split())
 _WORDS_AGAINST = re.compile(
     r"^(?:©|\(c\)|copyright\b|all rights reserved|advertisement|sponsored|subscribe|sign up|log ?in|share|related|read more|comments?\b|leave a (?:reply|comment)|"
     r"\d+ comments?|reply\b|we use cookies|this (?:site|website) uses cookies|privacy|terms|skip to|menu|search|posted by|follow us|cookies?\b)|(?:cookies|newsletter|all rights reserved)",
     re.I,
 )
+_RIGHTS = re.compile(r"^(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+_ON_COMMENTS = re.compile(r"^(?:\d+\s+|no\s+|reader\s+|user\s+|your\s+)*(?:comments?|responses?|replies|reply|discussion|leave a (?:reply|comment)|join the (?:discussion|conversation)|what do you think\??)(?:\s*\(?\d+\)?)?:?$", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ENDS = re.compile(r"[.!?…:;,](?:\s|$)")
 _KINDS = ("run", "p", "heading", "list", "table", "box", "frame")
 _KIND_OF = {"": 0, "p": 1, **{f"h{i}": 2 for i in range(1, 7)}, "ul": 3, "ol": 3, "li": 3, "dl": 3, "dt": 3, "dd": 3, "table": 4, "tr": 4, "td": 4, "th": 4, "tbody": 4, "nav": 6, "header": 6, "footer": 6, "aside": 6, "form": 6}
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
-N_FEATURES = len(_TAGS) + 21
+N_FEATURES = len(_TAGS) + 23
+
+
+def stance(names: str, in_article: bool = False) -> tuple[bool, bool]:
+    """Whether class, id and role speak against content, and whether for it; each name is judged as a whole.
+
+    In a name of several words one that speaks against decides (comment-body, main-nav), but not
+    in a wrapper of both kinds (content-sidebar-wrap), after a word of state (has-sidebar,
+    page-with-header) or where the first word only files an article (tag-budget, post-42).
+    """
+    against = favour = False
+    for name in names.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        if len(words) > 1 and _STATES & set(words):
+            continue
+        bad = [w for w in words if w in _AGAINST and not (in_article and w in _HEADS)]
+        good = any(w in _FOR for w in words)
+        if len(words) > 1 and words[0] in _FILED and words[-1] not in _AGAINST:
+            bad = [w for w in bad if w != words[0]]
+        if bad and good and words[-1] in _WRAPS:
+            continue
+        against, favour = against or bool(bad), favour or good and not bad
+    return against, favour
 
 
 def _features(nodes: list[Node]) -> np.ndarray:
@@ -63,18 +92,21 @@ def _features(nodes: list[Node]) -> np.ndarray:
                 a[n.parent] += a[i]
     out = np.zeros((len(nodes), N_FEATURES))
     base = len(_TAGS)
+    # Holds most of the page's text and an article: a frame around the page, whatever its name or tag.
+    core = [n.tag in ("main", "h1") or n.tag == "article" and not stance(n.names)[0] for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        core[nodes[i].parent] |= core[i]
+    whole = [n.tag in ("html", "body") or core[i] and size[i] >= 0.5 * size[0] for i, n in enumerate(nodes)]
     against, within = [False] * len(nodes), [False] * len(nodes)  # some ancestor or self speaks against, or for, content
+    opened, talk = [False] * len(nodes), [False] * len(nodes)  # a heading of comments stood in this element; stands below one
     for i, n in enumerate(nodes):
-        own = n if n.tag else nodes[n.parent]
+        own, own_at = (n, i) if n.tag else (nodes[n.parent], n.parent)
         row = out[i]
         if own.tag in _TAG_AT:
             row[_TAG_AT[own.tag]] = 1
-        if own.names.strip():
-            names = {w.lower() for w in _NAME.findall(own.names)}
-            if own.parent >= 0 and within[own.parent]:
-                names -= _HEADS  # the head of an article belongs to it
-            row[base] = bool(names & _AGAINST)
-            row[base + 1] = bool(names & _FOR) and not row[base]
+        if own.names.strip() and own.tag not in ("html", "body"):
+            bad, good = stance(own.names, own.parent >= 0 and within[own.parent])  # the head of an article belongs to it
+            row[base], row[base + 1] = bad and not whole[own_at], good
         long = math.log1p(size[i])
         share = links[i] / size[i] if size[i] else 0.0
         row[base + 2] = share
@@ -90,17 +122,25 @@ def _features(nodes: list[Node]) -> np.ndarray:
         row[base + 12] = not n.tag and bool(_WORDS_AGAINST.search(n.text))
         row[base + 13] = size[i] / max(1, size[0])
         row[base + 14] = size[i] == 0
-        row[base + 15] = own.tag in ("nav", "header", "footer", "aside", "form", "dialog")
+        row[base + 15] = own.tag in ("nav", "header", "footer", "aside", "form", "dialog") and not whole[own_at]
         row[base + 16] = 1
         if n.parent >= 0:
             up = n.parent
             frame = n.tag in ("nav", "footer", "aside", "form", "dialog") or n.tag == "header" and not within[up]
-            against[i] = against[up] or bool(n.tag) and (frame or bool(row[base]))
+            # An article or main is judged by its own features; what is below it is not condemned by its name alone.
+            told = bool(row[base]) and not (n.tag in ("article", "main") and row[base + 1])
+            against[i] = against[up] or bool(n.tag) and not whole[i] and (frame or told)
             within[i] = within[up] or n.tag in ("article", "main") or bool(n.tag) and bool(row[base + 1])
+            talk[i] = talk[up] or opened[up]
+            if not n.tag and not against[i] and len(n.text) < 60 and _ON_COMMENTS.match(n.text):
+                talk[i] = True
+                opened[nodes[up].parent if nodes[up].parent >= 0 and len(nodes[up].children) == 1 else up] = True
         row[base + 17] = against[i]
         row[base + 18] = within[i] and not against[i]
         row[base + 19] = not within[i] and not against[i]
         row[base + 20] = within[i] and against[i]
+        row[base + 21] = talk[i]
+        row[base + 22] = not n.tag and len(n.text) < 200 and bool(_RIGHTS.search(n.text))
     return out
 
 
@@ -317,8 +357,12 @@ class _Writer:
             inner += self.comments()
         wrap = r.choice((("article", "article post entry"), ("article", ""), ("article", ""), ("main", "content main"), ("div", "content article post entry story text articlebody"), ("div", "content post entry"), ("section", "content story"), ("div", "")))
         if r.random() < 0.08:  # no wrapper: the parts stand in the body
-            return "".join(re.sub(r"<(p|h[1-6]|ul|blockquote|table|pre|div)>", r'<\1 data-label="1">', part) for part in parts)
-        out = self.named(*wrap, inner, 1, 0.3)
+            return "".join(part if part.startswith("</p>") else re.sub(r"<(p|h[1-6]|ul|blockquote|table|pre|div)>", r'<\1 data-label="1">', part) for part in parts)
+        if r.random() < 0.25:  # names as publishing systems write them, some of which look like parts of the page
+            names = " ".join(r.sample(("post-42", "post", "hentry", "category-news", "tag-budget", "tag-menu", "format-standard", "has-post-thumbnail", "status-publish", "entry", "type-page"), r.randint(2, 6)))
+            out = f'<{(t := r.choice(("article", "article", "div")))} class="{names}" data-label="1">{inner}</{t}>'
+        else:
+            out = self.named(*wrap, inner, 1, 0.3)
         for _ in range(r.choice((0, 0, 1, 2))):
             out = f'<{(t := r.choice(("div", "main", "section")))} data-label="1">{out}</{t}>'
         return out
@@ -332,12 +376,25 @@ class _Writer:
         r = self.r
         if r.random() < 0.06:  # a page of text alone
             return f'<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body data-label="0">{self.content()}</body></html>'
+        rights = lambda: f'<{(t := r.choice(("div", "p")))} data-label="0">{r.choice(("All rights reserved.", "&copy; " + self.words(1, 3), "Copyright 20" + str(r.randint(10, 26)) + " " + self.words(1, 4)))}</{t}>'
+        bare = lambda: f'<div data-label="0"><{(t := r.choice(("h2", "h3", "p")))}>{r.choice(("Comments", str(r.randint(1, 90)) + " comments", "Comments (" + str(r.randint(1, 30)) + ")", "Discussion", "Leave a reply"))}</{t}>' + "".join(f"<div><b>{self.words(1, 2)}</b><p>{self.sentences(1, 5)}</p></div>" if r.random() < 0.7 else f"<p>{self.sentences(1, 4)}</p>" for _ in range(r.randint(1, 5))) + "</div>"
         body = [self.head(), *(self.noise() for _ in range(r.choice((0, 1, 1, 2, 3)))), self.content(), *(self.noise() for _ in range(r.choice((0, 0, 1, 2))))]
         if r.random() < 0.35:
             body.append(self.comments())
+        elif r.random() < 0.25:
+            body.append(bare())
+        if r.random() < 0.15:
+            body.append(rights())
         if r.random() < 0.9:
             body.append(self.foot())
-        return f'<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body data-label="0">{"".join(body)}</body></html>'
+        inner = "".join(body)
+        if r.random() < 0.2:
+            name = r.choice(("content-sidebar-wrap", "page-with-header", "site-container", "has-sidebar", "layout-sidebar-right", "no-footer", "sticky-header"))
+            inner = f'<div class="{name}" data-label="0">{inner}</div>'
+        if r.random() < 0.08:
+            inner = f'<form id="aspnetForm" data-label="0">{inner}</form>'
+        state = f' class="{r.choice(("single has-sidebar", "no-sidebar", "sticky-header", "page-template menu-open", "logged-in single-post postid-42", "home blog"))}"' if r.random() < 0.3 else ""
+        return f'<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body{state} data-label="0">{inner}</body></html>'
 
 
 def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
@@ -349,5 +406,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
     return pages
 
 
+@functools.lru_cache(maxsize=4)
 def default_model(n: int = TRAINING_PAGES) -> Model:
+    """Fitted once in a process."""
     return train(labelled_pages(n))

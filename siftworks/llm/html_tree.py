@@ -25,6 +25,10 @@ _CLOSES = {
     "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
     "option": (frozenset(("option",)), frozenset(("select",))),
 }
+_CELLS = ("td", "th", "table")  # an end tag inside a cell does not end what was opened outside, but for these
+_ENDS_CELLS = frozenset("table tr tbody thead tfoot body html".split())
+_PROSE = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 blockquote figcaption".split())
+_INLINE_BUTTON = "#button"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"\s+")
@@ -48,6 +52,8 @@ def parse(html: str) -> list[Node]:
     """Nodes in document order, parents before children; node 0 is the root."""
     nodes = [Node("#root", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones share their block's node
+    opened: dict[str, list[int]] = {}  # depths of the open elements of each tag, so that no tag searches the stack
+    blocks: list[int] = [0]  # depths of the open block elements
     skip = links = 0
     pieces: list[tuple[str, bool]] = []
 
@@ -61,14 +67,27 @@ def parse(html: str) -> list[Node]:
                 nodes[at].children.append(len(nodes) - 1)
             pieces.clear()
 
+    def push(tag: str, node: int) -> None:
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
     def pop_to(depth: int) -> None:
         nonlocal skip, links
-        if any(t in BLOCK for t, _ in stack[depth:]):
+        if blocks[-1] >= depth:
             close_run()
         for t, _ in stack[depth:]:
+            opened[t].pop()
             skip -= t in SKIPPED
             links -= t == "a"
         del stack[depth:]
+        while blocks[-1] >= depth:
+            blocks.pop()
+
+    def deepest(tags: frozenset[str] | tuple[str, ...]) -> int:
+        """Depth of the innermost open element of these tags; 0 if none is open."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
 
     at, lower = 0, None
     while at < len(html):
@@ -88,12 +107,10 @@ def parse(html: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            tag = _INLINE_BUTTON if tag == "button" and opened.get(_INLINE_BUTTON) else tag
+            depth = deepest((tag,))
+            if depth and (tag in _ENDS_CELLS or depth >= deepest(_CELLS)):
+                pop_to(depth)
             continue
         if stack[-1][0] == "head" and tag not in _IN_HEAD:
             pop_to(len(stack) - 1)
@@ -104,21 +121,15 @@ def parse(html: str) -> list[Node]:
         if tag in VOID and tag != "hr":
             continue
         if tag in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
+            if stack[blocks[-1]][0] == "p":
+                pop_to(blocks[-1])
             close_run()
         if tag in _CLOSES:
             same, stop = _CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in same:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in stop:
-                    break
+            if deepest(same) > deepest(stop):
+                pop_to(deepest(same))
+        if tag == "button" and stack[blocks[-1]][0] in _PROSE and not opened.get("form"):
+            tag = _INLINE_BUTTON  # a word of a sentence, not a control beside one
         if tag == "hr":
             continue
         if tag in SKIPPED:
@@ -128,7 +139,7 @@ def parse(html: str) -> list[Node]:
                 stop = html.find(">", end) if end >= 0 else -1
                 at = stop + 1 if stop >= 0 else len(html)
                 continue
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             skip += 1
             continue
         if tag in BLOCK and not skip:
@@ -139,9 +150,9 @@ def parse(html: str) -> list[Node]:
             label = {"0": 0, "1": 1}.get(got.get("data-label"), nodes[parent].label)  # other values are the page's own
             nodes.append(Node(tag, parent, " ".join(got.get(k, "") for k in ("class", "id", "role")), label=label, hidden=hidden))
             nodes[parent].children.append(len(nodes) - 1)
-            stack.append((tag, len(nodes) - 1))
+            push(tag, len(nodes) - 1)
         else:
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
     close_run()
     return nodes

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -458,3 +459,37 @@ def test_leaks_in_a_text_of_many_tiles(monkeypatch):
     index = decontamination.Index([(1, item), (2, "filler more end")])
     (found,) = index.search([text.encode()], 0.8)
     assert [(i, s, n) for i, s, n, _ in found] == [(0, 50, 30)] and found[0][3] == 1.0
+
+
+PARAS = "".join(f"<p>The council met on day {i} and said that the budget, at last, is agreed upon. It follows earlier talks.</p>" for i in range(4))
+CORE, MENU = "<h1>Budget agreed</h1>" + PARAS, '<nav><ul><li><a href="/">Home</a><li><a href="/n">News</a></ul></nav>'
+WHOLE = "Budget agreed\n" + "\n".join(re.findall("<p>(.*?)</p>", PARAS))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{MENU}<article class='post-42 post hentry category-news tag-budget'>{CORE}</article><footer>&copy; 2024 Example</footer></body>",
+    f"<body class='single has-sidebar'>{MENU}<div>{CORE}</div></body>",
+    f"<body class='no-sidebar'><div class='entry-content'>{CORE}</div></body>",
+    f"<body><div class='content-sidebar-wrap'><main class='content'>{CORE}</main><aside class='sidebar'><p>Other things, to see.</p></aside></div></body>",
+    f"<body><div class='page-with-header'>{MENU}{CORE}</div></body>",
+    f"<body class='sticky-header'>{MENU}{CORE}</body>",
+    f"<body><form id='aspnetForm'>{MENU}<div>{CORE}</div></form></body>",
+    f"<body class='menu-open'><div id='page' class='site'><div class='layout-sidebar-right'>{MENU}<article id='post-7'>{CORE}</article><div class='widget-area'><p>Read this too, it is new.</p></div></div></div></body>",
+    f"<body><article>{CORE}</article><div><h3>3 comments</h3><div><b>Ann</b><p>I like it, it is nice.</p></div><div><p>So do I. It works.</p></div></div><div>All rights reserved.</div></body>",
+])
+def test_pages_written_by_hand(page):
+    assert html_extraction.extract([page], html_extraction.default_model()) == [WHOLE]
+
+
+def test_buttons_and_unmatched_tags():
+    page = f"<body><article>{CORE}<p>Press the <button>Start</button> key to begin, then wait.</p></article><form><button>Go</button></form><button>Top</button></body>"
+    assert html_extraction.extract([page], html_extraction.default_model())[0] == WHOLE + "\nPress the Start key to begin, then wait."
+    began = time.time()
+    for piece in ("<b>x</u>", "<p><b><hr>", "</td><i>", "<li><b>"):
+        parse("<table><td>" + piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 40  # each megabyte in seconds; searching the open elements took half an hour
+
+
+@pytest.mark.parametrize(("names", "want"), [("has-sidebar", (False, False)), ("comment-body", (True, False)), ("main-nav", (True, False)), ("content-sidebar-wrap", (False, False)), ("post tag-menu", (True, True)), ("post tag-budget", (False, True)), ("siteHeader", (True, False)), ("", (False, False))])
+def test_stance(names, want):
+    assert html_extraction.stance(names) == want
