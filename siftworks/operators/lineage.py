@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="siftworks-")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one; where it is mounted, it goes when the process ends."""
+    path = f"{shared_folder(spark)}/siftworks/{uuid.uuid4().hex}"
+    if path.startswith(("file:", "/")):
+        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), True)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder now and read from there."""
     sc = df.sparkSession.sparkContext
