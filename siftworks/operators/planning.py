@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftworks.functions.text import sequenced_name
+from siftworks.operators import placement
 from siftworks.operators.ranking import numbered
 
 
@@ -30,36 +29,8 @@ def categorize(items: DataFrame, destination: list[str], fingerprint: str, order
 
 
 def place_assets(resources: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """The general rule: resources (directory, asset, path, name, fingerprint), all of an asset move together.
-
-    In a directory, assets go in the order of their least path; each takes the smallest k at which every
-    one of its names (name (k).ext) is free or already holds the same content.  existing
-    (directory, name, fingerprint) are files that are there.  A directory is one group, as each
-    choice depends on all before it.
-    """
-    there = existing if existing is not None else resources.select("directory", "name", "fingerprint").limit(0)
-
-    def run(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        taken = dict(zip(held["name"], held["fingerprint"], strict=True))
-        out = []
-        lead = pdf.groupby("asset")["path"].min().sort_values(kind="stable")
-        groups = dict(list(pdf.sort_values("path").groupby("asset")))
-        for asset in lead.index:
-            rows = groups[asset]
-            k = 1
-            while True:
-                names = [n if k == 1 else f"{n.rpartition('.')[0]} ({k}).{n.rpartition('.')[2]}" if "." in n else f"{n} ({k})" for n in rows["name"]]
-                if all(taken.get(n, f) == f for n, f in zip(names, rows["fingerprint"], strict=True)):
-                    break
-                k += 1
-            for n, (_, r) in zip(names, rows.iterrows(), strict=True):
-                out.append((key[0], asset, r["path"], n, k, "duplicate" if n in taken else "copy"))
-            taken.update(zip(names, rows["fingerprint"], strict=True))
-        return pd.DataFrame(out, columns=["directory", "asset", "path", "name", "sequence", "disposition"])
-
-    schema = "directory string, asset string, path string, name string, sequence long, disposition string"
-    asked = resources.select("directory", "asset", "path", "name", "fingerprint")
-    return asked.groupBy("directory").cogroup(there.groupBy("directory")).applyInPandas(run, schema)
+    """The general rule: resources (directory, asset, path, name, fingerprint), all of an asset move together.  See placement."""
+    return placement.place(resources, existing)
 
 
 def companions(left: DataFrame, right: DataFrame, on: list[str], choose: str, name: str = "companion") -> DataFrame:

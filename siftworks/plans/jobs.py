@@ -6,6 +6,7 @@ import struct
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftworks.operators import placement
 from siftworks.operators.lineage import scratch_folder
 from siftworks.plans.catalog import query, read
 from siftworks.sources import probe
@@ -64,3 +65,30 @@ def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("path", r"f(-?\d+)$", 1).cast("long").alias("doc_id"), "kind", "stage", "reason", "hdr_mode", F.when(F.col("kind") == "pro-xdr", F.size("metadata")).alias("n_floats"), F.round(F.col("metadata")[4], 5).alias("fifth"),
         F.col("video")["length"].alias("video_length"), "presentation_us", F.col("gain_map")["offset"].alias("gain_at"), "gain_sha256", "reads_little",
     )
+
+
+# --- placement -------------------------------------------------------------------------------
+
+
+def placement_inputs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents as assets of one to three files in a directory a language and source; each 50th document is a file that is there.
+
+    A third of the assets share one name; others have names that look numbered, or their own.
+    """
+    d, digest = F.col("doc_id"), F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 8)
+    folder = F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")))
+    n = F.pmod(d, F.lit(3))
+    stem = F.when(n == 0, "IMG").when(n == 1, F.concat(F.lit("IMG ("), (F.pmod(d, F.lit(5)) + 1).cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("note"), F.pmod(d, F.lit(11)).cast("string")))
+    endings = F.slice(F.array(F.lit("txt"), F.lit("json"), F.lit("md")), 1, (F.pmod(F.floor(d / 3), F.lit(3)) + 1).cast("int"))
+    files = docs.select(folder.alias("directory"), d.cast("string").alias("asset"), stem.alias("stem"), digest.alias("digest"), F.explode(endings).alias("ending"))
+    resources = files.select(
+        "directory", "asset", F.concat(F.lpad("asset", 12, "0"), F.lit("."), "ending").alias("path"), F.concat("stem", F.lit("."), "ending").alias("name"), F.when(F.col("ending") == "json", F.lit("same")).otherwise(F.col("digest")).alias("fingerprint")
+    )
+    there = docs.where(F.pmod(d, F.lit(50)) == 7).select(folder.alias("directory"), F.lit("IMG (2).txt").alias("name"), digest.alias("fingerprint"))
+    return resources, there
+
+
+@query()
+def placement_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Destinations of all documents' files; tests replay the serial rule over the same table."""
+    return placement.place(*placement_inputs(read(spark, sf_dir, "documents")))
