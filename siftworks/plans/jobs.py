@@ -10,6 +10,7 @@ from siftworks.operators import placement
 from siftworks.operators.lineage import scratch_folder
 from siftworks.plans.catalog import query, read
 from siftworks.sources import probe
+from siftworks.streaming.publish import Publisher
 
 # --- files by byte ranges --------------------------------------------------------------------
 
@@ -92,3 +93,57 @@ def placement_inputs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def placement_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Destinations of all documents' files; tests replay the serial rule over the same table."""
     return placement.place(*placement_inputs(read(spark, sf_dir, "documents")))
+
+
+# --- publication -----------------------------------------------------------------------------
+
+_BATCHES = 3
+
+
+def _publish_sql() -> str:
+    """Batch after batch: judged against the files of those before."""
+    out = [
+        """r AS (SELECT CAST(doc_id // 2 AS VARCHAR) AS asset, (doc_id // 2) % 3 AS b, CASE WHEN doc_id % 7 = 0 THEN 'shared/' || (doc_id % 21) ELSE coalesce(lang, '') || '/' || (doc_id % 601) END AS destination,
+ CASE WHEN doc_id % 7 = 0 THEN 'same' ELSE coalesce(text, '') END AS content, doc_id % 31 = 5 AS wrong FROM documents),
+s AS (SELECT asset, b, destination, sha256(content) AS digest, bool_or(wrong) AS wrong FROM r GROUP BY ALL),
+f0 AS (SELECT '' AS asset, '' AS destination, '' AS digest WHERE false)"""
+    ]
+    for i in range(_BATCHES):
+        out.append(
+            f"""c{i} AS (SELECT destination, min(asset) AS first, count(DISTINCT CASE WHEN wrong THEN 'bad' ELSE digest END) AS contents FROM s WHERE b = {i} GROUP BY 1),
+j{i} AS (SELECT s.asset, bool_or(wrong) AS wrong, bool_or(coalesce(f.digest <> CASE WHEN wrong THEN 'bad' ELSE s.digest END, false) OR s.asset <> first AND contents > 1) AS clash, bool_and(f.digest IS NOT NULL) AS every FROM s JOIN c{i} USING (destination) LEFT JOIN f{i} f USING (destination) WHERE b = {i} GROUP BY 1),
+t{i} AS (SELECT asset, 'batch-{i}' AS txn, CASE WHEN wrong THEN 'failed' WHEN clash THEN 'conflict' WHEN every THEN 'skipped' ELSE 'published' END AS status FROM j{i}),
+n{i} AS (SELECT min(s.asset) AS asset, destination, any_value(digest) AS digest FROM s JOIN t{i} ON s.asset = t{i}.asset AND status = 'published' WHERE b = {i} AND destination NOT IN (SELECT destination FROM f{i}) GROUP BY destination),
+f{i + 1} AS (SELECT * FROM f{i} UNION ALL SELECT * FROM n{i})"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(_BATCHES))
+    return "WITH " + ",\n".join(out) + f" SELECT t.asset, txn, status, count(f.destination) AS files, coalesce(md5(string_agg(digest, ',' ORDER BY digest)), '') AS digests FROM ({every}) t LEFT JOIN f{_BATCHES} f USING (asset) GROUP BY ALL"
+
+
+class _Died(Exception):
+    pass
+
+
+@query(_publish_sql())
+def publish_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents published as assets of two files in three transactions; each dies once in either phase and is run again."""
+    publisher = Publisher(spark, scratch_folder(spark))
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    shared = d % 7 == 0
+    content = F.when(shared, "same").otherwise(text)
+    digest = F.when(d % 31 == 5, "bad").otherwise(F.sha2(content.cast("binary"), 256))
+    destination = F.when(shared, F.concat(F.lit("shared/"), (d % 21).cast("string"))).otherwise(F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), (d % 601).cast("string")))
+    files = read(spark, sf_dir, "documents").select(F.expr("cast(doc_id div 2 as string)").alias("asset"), (F.expr("doc_id div 2") % _BATCHES).alias("b"), destination.alias("destination"), content.alias("content"), digest.alias("digest"))
+
+    def die(phase: str) -> None:
+        if phase == dying:
+            raise _Died
+
+    for i in range(_BATCHES):
+        for dying in ("prepared", "judged", ""):
+            try:
+                publisher.publish(files.where(F.col("b") == i), f"batch-{i}", die)
+            except _Died:
+                continue
+    made = publisher.published().groupBy("asset").agg(F.count(F.lit(1)).alias("files"), F.md5(F.array_join(F.array_sort(F.collect_list("digest")), ",").cast("binary")).alias("digests"))
+    return publisher.statuses().join(made, "asset", "left").select("asset", "txn", "status", F.coalesce("files", F.lit(0)).cast("long").alias("files"), F.coalesce("digests", F.lit("")).alias("digests"))
