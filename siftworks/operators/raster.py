@@ -75,25 +75,26 @@ def _box_mean(x: np.ndarray, radius: int) -> np.ndarray:
     return _windows(x, radius, mode="edge").mean(axis=(3, 4))
 
 
-def box_blur(height: int, width: int, radius: int) -> Callable[[Column, Column], Column]:
-    """(raster, valid) -> mean of the valid samples in a square, those beyond the border left out; 0 where there is none."""
+# Kernels: functions of stacks (n, height, width), used on whole rasters here and on tiles with a halo.
 
+
+def box_blur_kernel(radius: int) -> Callable[..., np.ndarray]:
     def f(x: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        valid = valid.astype(bool)
         total = _windows(np.where(valid, x, 0.0), radius).sum(axis=(3, 4))
         return total / np.maximum(_windows(valid.astype(np.int64), radius).sum(axis=(3, 4)), 1)
 
-    return _udf(f, height, width, (np.float64, bool))
+    return f
 
 
-def disc_maximum(height: int, width: int, radius: int) -> Callable[[Column], Column]:
-    """Largest sample within a circle."""
+def disc_maximum_kernel(radius: int) -> Callable[..., np.ndarray]:
     y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
     disc = y * y + x * x <= radius * radius
-    return _udf(lambda v: np.where(disc, _windows(v, radius, constant_values=-np.inf), -np.inf).max(axis=(3, 4)), height, width)
+    return lambda v: np.where(disc, _windows(v, radius, constant_values=-np.inf), -np.inf).max(axis=(3, 4))
 
 
-def guided(height: int, width: int, radius: int, epsilon: float) -> Callable[[Column], Column]:
-    """Self-guided filter: local lines a * x + b from box means, averaged."""
+def guided_kernel(radius: int, epsilon: float) -> Callable[..., np.ndarray]:
+    """A sample depends on those within twice the radius."""
 
     def f(x: np.ndarray) -> np.ndarray:
         mean = _box_mean(x, radius)
@@ -101,14 +102,10 @@ def guided(height: int, width: int, radius: int, epsilon: float) -> Callable[[Co
         a = variance / (variance + epsilon)
         return _box_mean(a, radius) * x + _box_mean(mean * (1 - a), radius)
 
-    return _udf(f, height, width)
-
+    return f
 
-def bilateral(height: int, width: int, radius: int = 12, space: float = 4.0, tone: float = 0.5) -> Callable[[Column, Column], Column]:
-    """(raster, guide) -> separable smoothing weighted by distance and by the guide's difference, rows then columns; edges repeat.
 
-    The guide stays the same in both passes.
-    """
+def bilateral_kernel(radius: int, space: float, tone: float) -> Callable[..., np.ndarray]:
     reach = np.arange(-radius, radius + 1)
     near = np.exp(-0.5 * (reach / space) ** 2)
 
@@ -121,7 +118,30 @@ def bilateral(height: int, width: int, radius: int = 12, space: float = 4.0, ton
         turned = np.swapaxes(guide, 1, 2)
         return np.swapaxes(along(np.swapaxes(along(x, guide), 1, 2), turned), 1, 2)
 
-    return _udf(f, height, width, (np.float64, np.float64))
+    return f
+
+
+def box_blur(height: int, width: int, radius: int) -> Callable[[Column, Column], Column]:
+    """(raster, valid) -> mean of the valid samples in a square, those beyond the border left out; 0 where there is none."""
+    return _udf(box_blur_kernel(radius), height, width, (np.float64, bool))
+
+
+def disc_maximum(height: int, width: int, radius: int) -> Callable[[Column], Column]:
+    """Largest sample within a circle."""
+    return _udf(disc_maximum_kernel(radius), height, width)
+
+
+def guided(height: int, width: int, radius: int, epsilon: float) -> Callable[[Column], Column]:
+    """Self-guided filter: local lines a * x + b from box means, averaged."""
+    return _udf(guided_kernel(radius, epsilon), height, width)
+
+
+def bilateral(height: int, width: int, radius: int = 12, space: float = 4.0, tone: float = 0.5) -> Callable[[Column, Column], Column]:
+    """(raster, guide) -> separable smoothing weighted by distance and by the guide's difference, rows then columns; edges repeat.
+
+    The guide stays the same in both passes.
+    """
+    return _udf(bilateral_kernel(radius, space, tone), height, width, (np.float64, np.float64))
 
 
 def gain_raster(height: int, width: int, map_height: int, map_width: int, gamma: float, low: float, high: float, weight: float, base_offset: float, alternate_offset: float) -> Callable[[Column, Column], Column]:

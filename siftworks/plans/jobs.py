@@ -6,7 +6,7 @@ import struct
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftworks.operators import placement
+from siftworks.operators import lattice, local_fits, placement, raster, tiles
 from siftworks.operators.lineage import scratch_folder
 from siftworks.plans.catalog import query, read
 from siftworks.sources import probe
@@ -147,3 +147,94 @@ def publish_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
                 continue
     made = publisher.published().groupBy("asset").agg(F.count(F.lit(1)).alias("files"), F.md5(F.array_join(F.array_sort(F.collect_list("digest")), ",").cast("binary")).alias("digests"))
     return publisher.statuses().join(made, "asset", "left").select("asset", "txn", "status", F.coalesce("files", F.lit(0)).cast("long").alias("files"), F.coalesce("digests", F.lit("")).alias("digests"))
+
+
+# --- tiles and local fits --------------------------------------------------------------------
+
+_WIDE = 125
+_IMAGE_SQL = f"i AS (SELECT event_id // {_WIDE} AS y, event_id % {_WIDE} AS x, sqrt(least(1.0, abs(value) / 500.0)) AS r, (user_id % 11) / 10.0 AS g, (event_id * 7 % 13) / 12.0 AS b, event_type <> 'click' AS ok FROM events WHERE event_id >= 0 AND value IS NOT NULL)"
+
+
+def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the pixels of one image, row by row as they were numbered."""
+    e = F.col("event_id")
+    shown = read(spark, sf_dir, "events").where("event_id >= 0 and value is not null")
+    return shown.select(
+        F.lit("events").alias("image"), F.expr(f"event_id div {_WIDE}").alias("y"), (e % _WIDE).alias("x"), F.sqrt(F.least(F.lit(1.0), F.abs("value") / 500.0)).alias("r"), ((F.col("user_id") % 11) / 10.0).alias("g"), ((e * 7 % 13) / 12.0).alias("b"),
+        (F.col("event_type") != "click").cast("double").alias("ok"),
+    )
+
+
+@query(f"""
+WITH {_IMAGE_SQL}, o AS (SELECT a.range AS dy, b.range AS dx FROM range(-2, 3) a, range(-2, 3) b),
+s AS (SELECT y + dy AS y, x + dx AS x, r FROM i, o WHERE ok)
+SELECT i.y, i.x, round(coalesce(sum(s.r) / greatest(count(s.r), 1), 0), 6) AS blurred FROM i LEFT JOIN s USING (y, x) GROUP BY ALL""")
+def tiled_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the sound pixels around each pixel, on tiles of 32 x 32 with halos of two."""
+    cut = tiles.cut(image_pixels(spark, sf_dir), ["image"], ["r", "ok"], 32)
+    sound = cut.withColumn("ok", F.transform("ok", lambda v: F.when(F.isnan(v), 0.0).otherwise(v)))
+    blurred = tiles.samples_of(tiles.filtered(sound, ["image"], ["r", "ok"], 2, raster.box_blur_kernel(2), "blurred"), ["image"], ["r", "blurred"])
+    return blurred.where(~F.isnan("r")).select("y", "x", F.round("blurred", 6).alias("blurred"))
+
+
+def _spot_sql(pixel: str, extent: str, count: int) -> str:
+    pitch = f"(ceil({extent} / {count}.0) + ceil({extent} / {count}.0) % 2)"
+    held = f"greatest({pitch} / 2 - 1, least({pitch} / 2 - 1 + {pitch} * {count - 1}, {pixel}))"
+    return f"(0.5 + ({held} - ({pitch} / 2 - 1)) * {count - 1} / greatest(1.0, {pitch} * {count - 1}))"
+
+
+_SPREAD_SQL = f"""{_IMAGE_SQL},
+z AS (SELECT *, max(y) OVER () + 1 AS h, max(x) OVER () + 1 AS w FROM i),
+p AS (SELECT *, {_spot_sql("y", "h", lattice.SHORT)} AS ay, {_spot_sql("x", "w", lattice.LONG)} AS ax, 0.5 * ((r + g + b) / 3 + greatest(r, g, b)) AS bright FROM z),
+q AS (SELECT *, least(greatest(floor(ay), 0), {lattice.SHORT - 1}) AS y0, least(greatest(floor(ax), 0), {lattice.LONG - 1}) AS x0, list_transform(range(8), lambda k: exp(-0.5 * pow((bright - (k + 1) / 9.0) * 8 / 2.5, 2))) AS pw FROM p),
+c AS (SELECT y, x, r, g, b, pw, unnest([{{'cy': y0, 'w': CASE WHEN y0 = {lattice.SHORT - 1} THEN 1 ELSE 1 - (ay - y0) END}}, {{'cy': y0 + 1, 'w': CASE WHEN y0 = {lattice.SHORT - 1} THEN 0 ELSE ay - y0 END}}]) AS cy, x0, ax FROM q),
+d AS (SELECT y, x, r, g, b, pw, cy.cy AS cell_y, cy.w AS wy, unnest([{{'cx': x0, 'w': CASE WHEN x0 = {lattice.LONG - 1} THEN 1 ELSE 1 - (ax - x0) END}}, {{'cx': x0 + 1, 'w': CASE WHEN x0 = {lattice.LONG - 1} THEN 0 ELSE ax - x0 END}}]) AS cx FROM c),
+e AS (SELECT y, x, r, g, b, CAST(cell_y AS INTEGER) AS cell_y, CAST(cx.cx AS INTEGER) AS cell_x, wy * cx.w AS share, pw, list_sum(pw) AS total, unnest(range(8)) AS plane FROM d WHERE wy * cx.w > 0),
+v AS (SELECT y, x, r, g, b, cell_y, cell_x, CAST(plane AS INTEGER) AS plane, share * pw[plane + 1] / total AS weight FROM e)"""
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = image_pixels(spark, sf_dir)
+    extent = shown.agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("cols"))  # one row
+    aim = {f"to_{c}": 0.9 * F.col(c) + 0.1 * F.col(c) * F.col(c) + 0.02 for c in "rgb"}
+    return local_fits.local_moments(shown.join(F.broadcast(extent)).withColumns(aim), ["image"])
+
+
+@query(f"""
+WITH {_SPREAD_SQL}
+SELECT cell_x, cell_y, plane, round(sum(weight), 6) AS weight, round(sum(weight * r * g), 6) AS red_green, round(sum(weight * b * b * b * b), 6) AS blue_4, round(sum(weight * g * (0.1 * r * r - 0.1 * r + 0.02)), 6) AS green_to_red, round(sum(weight * b * b * (0.1 * b * b - 0.1 * b + 0.02)), 6) AS blue_to_blue FROM v GROUP BY ALL""")
+def local_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the weighted products of an image's colours, by cell and plane; five of the 85 that the fits use."""
+    at = {pair: f"s{k}" for k, pair in enumerate(local_fits.UPPER)}
+    n = len(local_fits.UPPER)
+    some = {"weight": at[0, 0], "red_green": at[1, 2], "blue_4": at[9, 9], "green_to_red": f"s{n + 2 * 3}", "blue_to_blue": f"s{n + 9 * 3 + 2}"}
+    return _moments(spark, sf_dir).select("cell_x", "cell_y", "plane", *(F.round(c, 6).alias(name) for name, c in some.items()))
+
+
+@query()
+def local_fit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quadratic blocks of every cell and plane of the image, changes held to 0.25 and 0.1; tests hold them against numpy."""
+    return local_fits.local_fits(_moments(spark, sf_dir), ["image"], 0.25, 0.1)
+
+
+@query(f"""
+WITH {_SPREAD_SQL}, n AS (SELECT count(*) AS n FROM part), s AS (SELECT p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS nth FROM part),
+t AS (SELECT v.y, v.x, v.r, v.g, v.b, weight, ((cell_x * {lattice.SHORT} + cell_y) * {lattice.PLANES} + plane) AS block, [1, r, g, b, r * r, r * g, r * b, g * g, g * b, b * b] AS basis FROM v),
+u AS (SELECT y, x, weight * basis[k + 1] AS part, block * 30 + k * 3 AS place, k FROM (SELECT *, unnest(range(10)) AS k FROM t)),
+m AS (SELECT y, x, part, k, c, (place + c) % n AS nth FROM (SELECT *, unnest(range(3)) AS c FROM u), n)
+SELECT y, x, round(sum(part * ((p_size - 25) / 500.0 + CASE WHEN k = c + 1 THEN 1 ELSE 0 END)) FILTER (c = 0), 6) AS r, round(sum(part * ((p_size - 25) / 500.0 + CASE WHEN k = c + 1 THEN 1 ELSE 0 END)) FILTER (c = 1), 6) AS g, round(sum(part * ((p_size - 25) / 500.0 + CASE WHEN k = c + 1 THEN 1 ELSE 0 END)) FILTER (c = 2), 6) AS b
+FROM m JOIN s USING (nth) GROUP BY y, x""")
+def local_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lattice whose numbers are part sizes, applied to the image on tiles of 32 x 32."""
+    sizes = placement.in_order(read(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"], "at").select((F.col("at") - 1).alias("at"), "p_size")
+    n = sizes.agg(F.count(F.lit(1)).alias("n"))
+    blocks = spark.range(lattice.LONG * lattice.SHORT * lattice.PLANES * lattice.BLOCK).join(F.broadcast(n)).withColumn("at", F.col("id") % F.col("n")).join(sizes, "at")
+    place = F.col("id") % lattice.BLOCK
+    number = (F.col("p_size") - 25) / 500.0 + F.when(place.isin(*lattice.UNIT), 1.0).otherwise(0.0)
+    block = F.floor(F.col("id") / lattice.BLOCK)
+    cells = blocks.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), number.alias("v")))).alias("c")).select(
+        F.lit("events").alias("image"), F.floor(F.col("block") / (lattice.SHORT * lattice.PLANES)).cast("int").alias("cell_x"), (F.floor(F.col("block") / lattice.PLANES) % lattice.SHORT).cast("int").alias("cell_y"), (F.col("block") % lattice.PLANES).cast("int").alias("plane"), F.col("c.v").alias("coefficients")
+    )
+    cut = tiles.cut(image_pixels(spark, sf_dir), ["image"], ["r", "g", "b"], 32)
+    shown = tiles.samples_of(tiles.apply_local(cut, ["image"], cells), ["image"], ["out_r", "out_g", "out_b"]).where(~F.isnan("out_r"))
+    return shown.select("y", "x", *(F.round(f"out_{c}", 6).alias(c) for c in "rgb"))
