@@ -7,6 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftworks.operators.resample import bootstrap_rounds, interval
+
 
 def _normal_sums(df: DataFrame, basis: list[Column], target: Column, weight: Column) -> tuple[np.ndarray, np.ndarray]:
     n = len(basis)
@@ -76,17 +78,7 @@ def isotonic(df: DataFrame, keys: list[str], at: str, value: str, weight: str) -
 def cluster_bootstrap(df: DataFrame, cluster: str, before: str, after: str, rounds: int = 200, seed: int = 0) -> DataFrame:
     """Clusters resampled with replacement: 2.5 %, 50 % and 97.5 % of mean(before - after), and how often it is positive.
 
-    The number of times a cluster is drawn in a round is Poisson(1) from a hash of the cluster, so
-    rounds are sums over clusters wherever they lie; none is collected.
+    Every round draws exactly as many clusters as there are; see resample.
     """
-    sums = df.groupBy(cluster).agg(F.sum(F.col(before) - F.col(after)).alias("_gap"), F.count(F.lit(1)).alias("_n"))
-    u = lambda r: (F.pmod(F.xxhash64(F.lit(seed), r, F.col(cluster)), F.lit(1 << 30)).cast("double") + 0.5) / (1 << 30)
-    cuts, p, total = [], np.exp(-1.0), 0.0
-    for k in range(24):  # beyond lies less than 1e-24 of the distribution, below the resolution of u
-        total += p
-        cuts.append(float(total))
-        p /= k + 1
-    drawn = lambda r: sum(((u(r) > c).cast("long") for c in cuts), F.lit(0).cast("long"))
-    each = sums.select("_gap", "_n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.struct(r.alias("round"), drawn(r).alias("k")))).alias("_r"))
-    means = each.groupBy("_r.round").agg((F.sum(F.col("_r.k") * F.col("_gap")) / F.sum(F.col("_r.k") * F.col("_n"))).alias("mean"))
-    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.5).alias("middle"), F.percentile("mean", 0.975).alias("high"), F.avg((F.col("mean") > 0).cast("double")).alias("improved"))
+    gaps = df.select(F.col(cluster).alias("_c"), (F.col(before) - F.col(after)).alias("_gap"))
+    return interval(bootstrap_rounds(gaps, "_c", "_gap", rounds, seed))

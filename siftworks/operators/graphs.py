@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftworks.operators.lineage import cut_lineage
+from siftworks.operators.placement import in_order
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -74,17 +75,19 @@ def tile_problems(tiles: DataFrame, graph: str, tile: str, rows: str, cols: str,
     return each.select(graph, problem.alias("problem")).where("problem is not null")
 
 
-def plan_digest(df: DataFrame, order: str, fields: list[str], slices: int = 64) -> DataFrame:
-    """One digest of a table in the order of a numeric column.
+FAN = 4096  # digests under one of the next level
 
-    Rows are digested, slices of the order digest their rows' digests in order, and the result
-    digests the slices: a list is never longer than a slice.  The slices are fixed spans of the
-    order column, so the digest does not depend on how rows are dealt to tasks.
+
+def plan_digest(df: DataFrame, order: str, fields: list[str], fan: int = FAN) -> DataFrame:
+    """One digest of a table in the order of a column, nulls first, ties by the rows' digests.
+
+    A tree: rows are numbered in order and digested; each fan of them in a row are digested together,
+    each fan of those likewise, and the digests that are left make the last one.  A list holds fan
+    digests whatever the order's values are, the last one a row for each fan * fan.
     """
-    ends = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
     row = F.sha2(F.concat_ws("", *(F.concat(F.length(F.col(f).cast("string")).cast("string"), F.lit(":"), F.col(f).cast("string")) for f in fields)), 256)
-    at = F.floor((F.col(order) - F.col("_low")) * slices / (F.col("_high") - F.col("_low") + 1))
-    sliced = df.join(F.broadcast(ends)).select(at.alias("_slice"), F.col(order).alias("_o"), row.alias("_d"))  # one row is sent
-    joined = lambda a: F.sha2(F.array_join(F.transform(F.array_sort(a), lambda x: x["_d"]), ""), 256)
-    each = sliced.groupBy("_slice").agg(joined(F.collect_list(F.struct("_o", "_d"))).alias("_d"))
-    return each.agg(joined(F.collect_list(F.struct(F.col("_slice").alias("_o"), "_d"))).alias("digest"))
+    level = in_order(df.select(F.col(order).alias("_o"), row.alias("_d")), ["_o", "_d"], "_at").select("_at", "_d")
+    joined = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: x["_d"]), ""), 256)
+    for _ in range(2):
+        level = level.groupBy((F.floor((F.col("_at") - 1) / fan) + 1).alias("_next")).agg(joined().alias("_d")).withColumnRenamed("_next", "_at")
+    return level.agg(joined().alias("digest"))

@@ -228,31 +228,3 @@ def unpack_half(data: Column) -> Column:
         return pd.Series([None if d is None or len(d) % 2 else np.frombuffer(d, "<f2").astype(np.float32) for d in values])
 
     return run(data)
-
-
-def merge_regions(points: pd.DataFrame, radius: float, tolerance: float) -> pd.DataFrame:
-    """Greedy merge in order: a point joins the earlier regions within radius whose tone is within tolerance.
-
-    points (image, point, x, y, tone) of one image, for groupBy('image').applyInPandas: the result
-    depends on the order of the points, so an image is one group.
-    """
-    points = points.sort_values("point")
-    xy, tone = points[["x", "y"]].to_numpy(float), points["tone"].to_numpy(float)
-    parent = list(range(len(points)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    low, high = tone.copy(), tone.copy()
-    for i in range(1, len(points)):
-        for j in np.flatnonzero(((xy[:i] - xy[i]) ** 2).sum(axis=1) <= radius * radius).tolist():
-            a, b = find(i), find(j)
-            if a != b and max(high[a], high[b]) - min(low[a], low[b]) <= tolerance:
-                keep, gone = min(a, b), max(a, b)
-                parent[gone] = keep
-                low[keep], high[keep] = min(low[a], low[b]), max(high[a], high[b])
-    numbers = points["point"].to_numpy()
-    return points[["image", "point"]].assign(region=[int(numbers[find(i)]) for i in range(len(points))])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftworks.functions import decisions as dc, flags as fl, text as tx, transfer as tr
-from siftworks.operators import fits, gates, graphs, ordered, planning, ranking, raster, sessions, stats
+from siftworks.operators import fits, gates, graphs, ordered, planning, ranking, raster, regions, sessions, stats
 from siftworks.sources import pages
 from siftworks.streaming import journal
 
@@ -677,7 +677,7 @@ def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of an embedding as points on an 8 x 8 grid, merged where near and alike."""
     long = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("point", "tone"))
     points = long.select("image", "point", (F.col("point") % 8).alias("x"), F.floor(F.col("point") / 8).alias("y"), "tone")
-    return points.groupBy("image").applyInPandas(lambda pdf: raster.merge_regions(pdf, 1.0, 0.3), "image long, point int, region int")
+    return regions.merge_regions(points, 1.0, 0.3)
 
 
 # --- decision tables, small series, graph shapes ---------------------------------------------
@@ -736,10 +736,10 @@ def tile_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), r AS (SELECT floor((o_orderkey - lo) * 64 / (hi - lo + 1)) AS s, o_orderkey AS o, sha256(len(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || len(o_orderstatus) || ':' || o_orderstatus) AS d FROM orders, e),
-x AS (SELECT s, sha256(string_agg(d, '' ORDER BY o)) AS d FROM r GROUP BY s) SELECT sha256(string_agg(d, '' ORDER BY s)) AS digest FROM x""")
+WITH r AS (SELECT row_number() OVER (ORDER BY o_custkey NULLS FIRST, d) - 1 AS at_, d FROM (SELECT o_custkey, sha256(len(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || len(o_orderstatus) || ':' || o_orderstatus) AS d FROM orders)),
+x AS (SELECT at_ // 4096 AS at_, sha256(string_agg(d, '' ORDER BY at_)) AS d FROM r GROUP BY 1), y AS (SELECT at_ // 4096 AS at_, sha256(string_agg(d, '' ORDER BY at_)) AS d FROM x GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY at_)) AS digest FROM y""")
 def plan_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.plan_digest(read(spark, sf_dir, "orders"), "o_orderkey", ["o_orderkey", "o_orderstatus"])
+    return graphs.plan_digest(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey", "o_orderstatus"])
 
 
 @query("""

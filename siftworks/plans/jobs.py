@@ -6,7 +6,7 @@ import struct
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftworks.operators import lattice, local_fits, placement, raster, tiles
+from siftworks.operators import lattice, local_fits, placement, raster, resample, tiles
 from siftworks.operators.lineage import scratch_folder
 from siftworks.plans.catalog import query, read
 from siftworks.sources import probe
@@ -238,3 +238,12 @@ def local_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = tiles.cut(image_pixels(spark, sf_dir), ["image"], ["r", "g", "b"], 32)
     shown = tiles.samples_of(tiles.apply_local(cut, ["image"], cells), ["image"], ["out_r", "out_g", "out_b"]).where(~F.isnan("out_r"))
     return shown.select("y", "x", *(F.round(f"out_{c}", 6).alias(c) for c in "rgb"))
+
+
+# --- resampling ------------------------------------------------------------------------------
+
+
+@query("SELECT r AS round, count(DISTINCT o_custkey) AS draws FROM orders, (SELECT unnest(range(50)) AS r) GROUP BY 1")
+def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of 50 rounds draws exactly as many customers as have orders, from blocks of 256."""
+    return resample.bootstrap_rounds(read(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", rounds=50, block=256).select("round", "draws")
