@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siftworks.operators import lattice, local_fits, placement, raster, resample, tiles
 from siftworks.operators.lineage import scratch_folder
 from siftworks.plans.catalog import query, read
-from siftworks.sources import probe
+from siftworks.sources import packed, probe
 from siftworks.streaming.publish import Publisher
 
 # --- files by byte ranges --------------------------------------------------------------------
@@ -247,3 +247,49 @@ def local_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each of 50 rounds draws exactly as many customers as have orders, from blocks of 256."""
     return resample.bootstrap_rounds(read(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", rounds=50, block=256).select("round", "draws")
+
+
+# --- packed records --------------------------------------------------------------------------
+
+
+def _bits(*fields: tuple[Column, int]) -> Column:
+    """Fields one after the other as a string of bits, filled up to whole bytes."""
+    bits = F.concat(*(F.lpad(F.conv(v.cast("string"), 10, 2), w, "0") for v, w in fields))
+    return F.rpad(bits, sum(w for _, w in fields) + -sum(w for _, w in fields) % 8, "0")
+
+
+def _packed(bits: Column) -> Column:
+    """The bytes of a string of bits."""
+    digits = F.transform(F.sequence(F.lit(1), F.length(bits), F.lit(8)), lambda i: F.lpad(F.conv(F.substr(bits, i, F.lit(8)), 2, 16), 2, "0"))
+    return F.unhex(F.array_join(digits, ""))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, p_partkey % 1000 AS a, p_size AS s FROM part)
+SELECT p_partkey, CASE k WHEN 3 THEN 'statistics' WHEN 4 THEN 'truncated' END AS reason, CASE WHEN k IN (0, 2) THEN 1000 + s END AS maximum_content, CASE WHEN k IN (1, 2) THEN a END AS minimum, CASE WHEN k IN (1, 2) THEN a + s END AS average,
+ CASE WHEN k IN (1, 2) THEN 2000 + s END AS target, CASE WHEN k IN (1, 2) THEN a * 16 END AS m_p, CASE WHEN k IN (1, 2) THEN p_partkey % 128 END AS delta, CASE WHEN k IN (1, 2) AND s % 2 = 0 THEN 3 * s END AS mb, CASE WHEN k IN (1, 2) THEN 255 - s END AS strength, CASE WHEN k IN (1, 2) THEN s || ',' || (s + 1) END AS gains FROM p""")
+def registered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered HDR record for each part, packed bit by bit: display, statistics, a tone map with a base and a spline, gains; broken ones too."""
+    p, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    k, a, one = p % 5, p % 1000, lambda v: F.lit(v)
+    head = [(one(1), 8), (a, 12), (F.when(k == 3, F.lit(4095)).otherwise(a + s), 12), (s, 12), (a + s, 12), (one(1), 1), (one(0), 1), (2000 + s, 12), (one(1), 1)]
+    base = [(a * 16, 14), (s % 64, 6), (a, 10), (s % 64, 6), (a, 10), (one(1), 2), (one(2), 2), (one(3), 4), (one(4), 3), (p % 128, 7)]
+    # A spline with a threshold in one more byte, for even sizes, is the longer of two layouts.
+    spline = lambda even: [(one(1), 1), (one(0), 1), (one(0 if even else 1), 2), *([(3 * s, 8)] if even else []), (s, 12), (s, 10), (s, 10), (255 - s, 8)]
+    tail = [(one(1), 1), (one(2), 3), (s, 8), (s + 1, 8)]
+    number = lambda v, w: F.unhex(F.lpad(F.hex(v.cast("long")), 2 * w, "0"))
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.when(s % 2 == 0, _bits(*head, *base, *spline(True), *tail)).otherwise(_bits(*head, *base, *spline(False), *tail)).alias("bits"))
+    parts = parts.withColumn("moving", _packed(F.col("bits")))
+    moving = F.col("moving")
+    still = F.concat(F.unhex(F.lit("84D03E8033C286C41D4C0BB83D1340420098968000000032")), number(1000 + s, 2), number(F.lit(400), 2))
+    with_still, with_moving = k.isin(0, 2, 4), k.isin(1, 2, 3)
+    nothing = F.unhex(F.lit(""))
+    section = F.concat(number(F.when(with_still, 28).otherwise(0), 2), F.when(with_still, still).otherwise(nothing), number(F.when(with_moving, F.length(moving)).otherwise(0), 2), F.when(with_moving, moving).otherwise(nothing))
+    whole = F.concat(F.unhex(F.lit(packed.PREFIX.hex())), number(F.lit(packed.PLAIN), 4), number(F.length(section), 2), section)
+    raw = F.when(k == 4, F.substr(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole)
+    got = packed.registered_hdr(parts.select("p_partkey", raw.alias("raw")), ["p_partkey"], "raw")
+    tone = F.get("tone_maps", F.lit(0))
+    return got.select(
+        "p_partkey", "reason", F.col("display.maximum_content").alias("maximum_content"), F.col("statistics.minimum").alias("minimum"), F.col("statistics.average").alias("average"), tone["target"].alias("target"), tone["base"]["m_p"].alias("m_p"),
+        tone["base"]["delta"].alias("delta"), F.get(tone["splines"], F.lit(0))["mb"].alias("mb"), F.get(tone["splines"], F.lit(0))["strength"].alias("strength"), F.array_join("gains", ",").alias("gains"),
+    )
