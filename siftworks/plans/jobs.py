@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siftworks.operators import lattice, local_fits, placement, raster, resample, tiles
 from siftworks.operators.lineage import scratch_folder
 from siftworks.plans.catalog import query, read
-from siftworks.sources import packed, probe
+from siftworks.sources import dual_layer, packed, probe
 from siftworks.streaming.publish import Publisher
 
 # --- files by byte ranges --------------------------------------------------------------------
@@ -293,3 +293,30 @@ def registered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", "reason", F.col("display.maximum_content").alias("maximum_content"), F.col("statistics.minimum").alias("minimum"), F.col("statistics.average").alias("average"), tone["target"].alias("target"), tone["base"]["m_p"].alias("m_p"),
         tone["base"]["delta"].alias("delta"), F.get(tone["splines"], F.lit(0))["mb"].alias("mb"), F.get(tone["splines"], F.lit(0))["strength"].alias("strength"), F.array_join("gains", ",").alias("gains"),
     )
+
+
+# --- dual-layer stills -----------------------------------------------------------------------
+
+
+def _little(x: Column) -> Column:
+    digits = F.lpad(F.hex(x.cast("long")), 8, "0")
+    return F.unhex(F.concat(*(F.substring(digits, i, 2) for i in (7, 5, 3, 1))))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, 104 + strlen(p_name) AS base, 14 + strlen(p_type) AS gain FROM part)
+SELECT p_partkey, CASE k WHEN 2 THEN 'second entry' WHEN 3 THEN 'whole images' WHEN 4 THEN 'one index' WHEN 5 THEN 'index' END AS rule, CASE k WHEN 5 THEN 'count differs' END AS detail,
+ CASE WHEN k < 2 THEN base END AS base_end, CASE WHEN k < 2 THEN base END AS gain_start, CASE WHEN k < 2 THEN base + gain END AS gain_end, CASE WHEN k < 2 THEN 10 END AS tiff FROM p""")
+def dual_layer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stills and an index for each part, its name and type as their scans; cut, without an index, or with a false one too."""
+    p, name, kind = F.col("p_partkey"), F.col("p_name").cast("binary"), F.col("p_type").cast("binary")
+    k, raw = p % 6, lambda h: F.unhex(F.lit(h))
+    base, gain = 104 + F.length(name), 14 + F.length(kind)
+    still = lambda body, first=None: F.concat(raw("FFD8"), *([first] if first is not None else []), raw("FFDA000801010000003F"), body, raw("FFD9"))
+    fields = "00B0070004000000" + "30313030" + "01B0040001000000", "02B0070020000000" + "32000000" + "00000000"
+    entries = F.concat(raw("00000300"), _little(base), raw("0000000000000000"), raw("00000000"), _little(gain + F.when(k == 2, 2).otherwise(0)), _little(base - 10), raw("00000000"))
+    index = F.concat(raw("FFE20058" + "4D504600" + "49492A0008000000" + "0300" + fields[0]), _little(F.when(k == 5, 3).otherwise(2)), raw(fields[1]), entries)
+    with_index = F.concat(still(name, index), still(kind))
+    content = F.when(k == 4, F.concat(still(name), still(kind))).when(k == 3, F.substr(with_index, F.lit(1), F.length(with_index) - 2)).otherwise(with_index)
+    found = dual_layer.index_dual_layer(read(spark, sf_dir, "part").select(p.cast("string").alias("path"), content.alias("content")))
+    return found.select(F.col("path").cast("long").alias("p_partkey"), "rule", "detail", "base_end", "gain_start", "gain_end", "tiff")
