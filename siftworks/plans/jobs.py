@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftworks.operators import lattice, local_fits, placement, raster, resample, tiles
 from siftworks.operators.lineage import scratch_folder
 from siftworks.plans.catalog import query, read
-from siftworks.sources import dual_layer, packed, probe
+from siftworks.plans.heif import WRONG, heif
+from siftworks.sources import dual_layer, item_graph, packed, probe
 from siftworks.streaming.publish import Publisher
 
 # --- files by byte ranges --------------------------------------------------------------------
@@ -320,3 +323,37 @@ def dual_layer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(k == 4, F.concat(still(name), still(kind))).when(k == 3, F.substr(with_index, F.lit(1), F.length(with_index) - 2)).otherwise(with_index)
     found = dual_layer.index_dual_layer(read(spark, sf_dir, "part").select(p.cast("string").alias("path"), content.alias("content")))
     return found.select(F.col("path").cast("long").alias("p_partkey"), "rule", "detail", "base_end", "gain_start", "gain_end", "tiff")
+
+
+# --- item graphs -----------------------------------------------------------------------------
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """(path, rows, columns, width, height, depth, wrong) -> (path, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [heif(*row) for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return rows.select("path", "rows", "columns", "width", "height", "depth", "wrong").mapInArrow(run, "path string, content binary")
+
+
+_CASES = list(WRONG)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_size AS s, {[w for w in _CASES]!r}[p_partkey % {len(_CASES)} + 1] AS wrong, {[WRONG[w] or '' for w in _CASES]!r}[p_partkey % {len(_CASES)} + 1] AS told, 2 + p_size % 3 AS r, 1 + p_size % 4 AS c FROM part)
+SELECT p_partkey, nullif(told, '') AS rule, CASE WHEN told = 'integrity' THEN wrong END AS detail, CASE WHEN told = '' THEN r * c END AS n_tiles, CASE WHEN told = '' THEN r END AS rows, CASE WHEN told = '' THEN c END AS columns, CASE WHEN told = '' THEN 100 + s END AS width, CASE WHEN told = '' THEN 200 + s END AS height,
+ CASE WHEN told = '' THEN CASE WHEN s % 2 = 0 THEN 8 ELSE 10 END END AS depth, CASE WHEN told = '' THEN '10,10,10' END AS out_depths, CASE WHEN told = '' THEN 16 END AS transfer FROM p""")
+def gain_map_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A HEIF file with a gain map for each part, of its size, sound or with one thing wrong, judged by joins of item facts."""
+    s = F.col("p_size")
+    wrong = F.element_at(F.array(*map(F.lit, _CASES)), (F.col("p_partkey") % len(_CASES) + 1).cast("int"))
+    made = _written(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), (2 + s % 3).alias("rows"), (1 + s % 4).alias("columns"), (100 + s).alias("width"), (200 + s).alias("height"), F.when(s % 2 == 0, 8).otherwise(10).alias("depth"), wrong.alias("wrong")))
+    folder = scratch_folder(spark)
+    item_graph.item_facts(made).write.parquet(folder)  # the facts are joined many times: the files are walked once
+    found = item_graph.gain_map_semantics(spark.read.parquet(folder))
+    return found.select(
+        F.col("path").cast("long").alias("p_partkey"), "rule", "detail", "n_tiles", "rows", "columns", "width", "height", F.col("luma_depth").alias("depth"), F.array_join(F.transform("out_depths", lambda d: d.cast("string")), ",").alias("out_depths"), F.col("nclx.transfer").alias("transfer")
+    )
