@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftworks.functions import colour
 from siftworks.operators import lattice, local_fits, placement, raster, resample, tiles
 from siftworks.operators.lineage import scratch_folder
 from siftworks.plans.catalog import query, read
 from siftworks.plans.heif import WRONG, heif
-from siftworks.sources import dual_layer, item_graph, packed, probe
+from siftworks.sources import dual_layer, files, item_graph, packed, probe
 from siftworks.streaming.publish import Publisher
 
 # --- files by byte ranges --------------------------------------------------------------------
@@ -357,3 +358,89 @@ def gain_map_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("path").cast("long").alias("p_partkey"), "rule", "detail", "n_tiles", "rows", "columns", "width", "height", F.col("luma_depth").alias("depth"), F.array_join(F.transform("out_depths", lambda d: d.cast("string")), ",").alias("out_depths"), F.col("nclx.transfer").alias("transfer")
     )
+
+
+# --- scans -----------------------------------------------------------------------------------
+
+_TREE_SQL = "'lib' || (doc_id % 3) || CASE WHEN doc_id % 7 = 0 THEN '/.hid' WHEN doc_id % 2 = 0 THEN '/deep/er' ELSE '' END || '/' || CASE WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || 'IMG_' || doc_id || '.' || ['jpg', 'HEIC', 'Mov', 'txt', 'JPEG', 'mp4'][doc_id % 6 + 1]"
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, {_TREE_SQL} AS path, strlen(coalesce(text, '')) AS length FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0)
+SELECT 'still' AS kind, path, length FROM f WHERE doc_id % 6 IN (0, 1, 4) UNION ALL SELECT 'video', path, length FROM f WHERE doc_id % 6 IN (2, 5) AND doc_id % 3 = 2""")
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a tree of files: stills below overlapping roots, and videos below one, each once, without hidden ones."""
+    d = F.col("doc_id")
+    ending = F.element_at(F.array(*map(F.lit, ("jpg", "HEIC", "Mov", "txt", "JPEG", "mp4"))), (d % 6 + 1).cast("int"))
+    name = F.concat(F.lit("lib"), (d % 3).cast("string"), F.when(d % 7 == 0, "/.hid").when(d % 2 == 0, "/deep/er").otherwise(""), F.lit("/"), F.when(d % 11 == 0, ".").otherwise(""), F.lit("IMG_"), d.cast("string"), F.lit("."), ending)
+    folder = scratch_folder(spark)
+    docs = read(spark, sf_dir, "documents").select(name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    probe.write_files(docs.repartition(spark.sparkContext.defaultParallelism, "name"), folder).write.mode("overwrite").format("noop").save()
+    stills = files.scan(spark, [folder, f"{folder}/lib0", f"{folder}/lib1/"]).select(F.lit("still").alias("kind"), "path", "length")
+    videos = files.scan(spark, [f"{folder}/lib2"], video=True).select(F.lit("video").alias("kind"), "path", "length")
+    return stills.unionByName(videos).select("kind", F.regexp_extract("path", r"(lib\d/.*)$", 1).alias("path"), "length")
+
+
+# --- colour ----------------------------------------------------------------------------------
+
+_LINES = ["l_orderkey", "l_linenumber"]
+_CURVE = [(i / 255) ** 0.75 for i in range(256)]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select(*_LINES, (F.col("l_quantity") / 50).alias("r"), (F.col("l_discount") * 10).alias("g"), (F.col("l_tax") * 10).alias("b"), (F.col("l_extendedprice") / 110000).alias("p"))
+
+
+_LINES_SQL = "x AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS r, l_discount * 10 AS g, l_tax * 10 AS b, l_extendedprice / 110000 AS p FROM lineitem)"
+_half_sql = lambda x: f"(sign({x}) * round_even(abs({x}) / pow(2.0, -24 + {' + '.join(f'CAST(abs({x}) >= {2.0**k!r} AS INTEGER)' for k in range(-13, 16))}), 0) * pow(2.0, -24 + {' + '.join(f'CAST(abs({x}) >= {2.0**k!r} AS INTEGER)' for k in range(-13, 16))}))"
+
+
+@query(f"""
+WITH {_LINES_SQL}, m AS (SELECT *, least(1, greatest(0, 0.9 * r + 0.2 * g - 0.1 * b)) AS u, least(1, greatest(0, 0.1 * r + 0.8 * g + 0.1 * b)) AS v, least(1, greatest(0, b - 0.3 * r)) AS w FROM x)
+SELECT l_orderkey, l_linenumber, round((u + v) / 2, 6) AS red, round(v * w, 6) AS green, round(1 - u, 6) AS blue FROM m""")
+def matrix_then_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity, discount and tax as a colour, through a matrix whose results leave the domain, then through a table."""
+    grid = [i / 4 for i in range(5)]
+    table = raster.lut_trilinear(5, [((r + g) / 2, g * b, 1 - r) for b in grid for g in grid for r in grid])
+    rgb = colour.mapped(F.col("r"), F.col("g"), F.col("b"), [[0.9, 0.2, -0.1], [0.1, 0.8, 0.1], [-0.3, 0.0, 1.0]], table)
+    return _lines(spark, sf_dir).select(*_LINES, rgb.alias("rgb")).select(*_LINES, *(F.round(F.col("rgb")[i], 6).alias(n) for i, n in enumerate(("red", "green", "blue"))))
+
+
+def _bt2020_sql() -> str:
+    m = colour.TO_BT2020["p3"]
+    row = lambda i, c: " + ".join(f"({m[i][j]!r}) * {c[j]}" for j in range(3))
+    lit = lambda c: f"(pow(2.0, p * (-1 + pow(g, 1 / 1.5) * 3)) * ({c} + 0.015625) - 0.03125)"
+    own = [lit(c) for c in "rgb"]
+    wide = [lit(f"({row(i, 'rgb')})") for i in range(3)]
+    return f"WITH {_LINES_SQL} SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({row(i, own)}, 6) AS own_{'rgb'[i]}, round({wide[i]}, 6) AS wide_{'rgb'[i]}" for i in range(3)) + " FROM x"
+
+
+@query(_bt2020_sql())
+def bt2020_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels with a gain applied in their own primaries and in BT.2020, given in BT.2020."""
+    base, made = [F.col(c) for c in "rgb"], {}
+    for name, own in (("own", True), ("wide", False)):
+        found = colour.reconstructed(base, [F.col("g")], F.col("p"), [F.lit(-1.0)], [F.lit(2.0)], [1.5], [0.015625], [0.03125], "p3", own)
+        made |= {f"{name}_{c}": F.round(v, 6) for c, v in zip("rgb", found, strict=True)}
+    return _lines(spark, sf_dir).select(*_LINES, *(v.alias(n) for n, v in made.items()))
+
+
+@query(f"""
+WITH {_LINES_SQL}, c AS (SELECT list_transform(range(256), lambda i: pow(i / 255.0, 0.75)) AS curve), y AS (SELECT *, least(1.3 * p, 1.0) AS x1 FROM x),
+h AS (SELECT *, CAST(CAST(least(1, greatest(0, x1)) AS FLOAT) * CAST(255 AS FLOAT) AS DOUBLE) AS s FROM y), k AS (SELECT *, least(255.0, {_half_sql("s")}) AS place FROM h),
+t AS (SELECT *, x1 * (1 - 0.6) + 0.6 * (curve[CAST(floor(place) AS INTEGER) + 1] * (1 - (place - floor(place))) + curve[CAST(least(255, floor(place) + 1) AS INTEGER) + 1] * (place - floor(place))) AS target FROM k, c),
+q AS (SELECT *, CASE WHEN r - 0.02 < 1 / 255.0 THEN 0 ELSE target / (r - 0.02) END AS ratio FROM t),
+z AS (SELECT *, ratio * 0.75 + 0.25 AS back, ratio * 0.5 + 0.5 AS fore FROM q)
+SELECT l_orderkey, l_linenumber, round(((back * (1 - g) + least(back, 1) * g) * (1 - b) + (fore * 0.3 + least(fore, 1) * 0.7) * b) * (r - 0.02), 6) AS toned FROM z""")
+def semantic_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tone stage over lines: quantity as the channel, price as its thumbnail, discount as a highlight and tax as the matte."""
+    toned = colour.semantic_tone(F.col("r") - 0.02, F.col("p"), _CURVE, F.lit(1.3), F.lit(0.6), (F.lit(0.25), F.lit(0.5)), (F.col("g"), F.lit(0.7)), F.col("b"))
+    return _lines(spark, sf_dir).select(*_LINES, F.round(toned, 6).alias("toned"))
+
+
+@query(f"WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings) SELECT vec_id, CAST(place AS INTEGER) AS place, CASE WHEN v = 0 THEN 0 ELSE {_half_sql('v')} END AS value, true AS alike FROM e")
+def half_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings packed as 16-bit floats and read back, against the rounding rule as a column expression."""
+    packed_up = read(spark, sf_dir, "embeddings").select("vec_id", raster.unpack_half(raster.pack_half(F.col("embedding"))).alias("back"), "embedding")
+    each = packed_up.select("vec_id", F.posexplode(F.arrays_zip("back", "embedding")).alias("place", "v"))
+    return each.select("vec_id", "place", F.col("v.back").cast("double").alias("value"), (F.col("v.back").cast("double") == colour.half_rounded(F.col("v.embedding"))).alias("alike"))

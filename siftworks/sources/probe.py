@@ -307,7 +307,7 @@ def extract(probed: DataFrame) -> DataFrame:
 def write_files(df: DataFrame, folder: str) -> DataFrame:
     """df (name, content) as files of a folder, each moved to its name when whole; -> path, size.
 
-    A repeated task writes the same file again.
+    A repeated task writes the same file again.  A name may lead through folders.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,6 +317,8 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
             paths, sizes = [], []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = f"{root}/.{uuid.uuid4().hex}"
+                if "/" in name:
+                    system.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
                 with system.open_output_stream(part) as out:
                     out.write(content or b"")
                 system.move(part, f"{root}/{name}")
