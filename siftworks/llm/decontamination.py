@@ -6,8 +6,8 @@ into eight blocks: fingerprints within RADIUS bits differ by at most RADIUS // 8
 block, so looking every block up at that distance finds all of them.  What is found is verified by
 the exact weighted (multiset) Jaccard similarity of the shingles.
 
-A similarity above zero needs a common shingle, so windows are formed only around shingles that
-some item has; this leaves out nothing that the exact check could accept.  Items are sent to the
+A similarity above zero needs a common shingle, so a window is held against an item only if it
+stands around a shingle of that item; this leaves out nothing that the exact check could accept.  Items are sent to the
 executors in chunks of bounded size, one pass over the documents for each chunk.
 """
 
@@ -46,10 +46,10 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _tiles(first: np.ndarray) -> Iterator[np.ndarray]:
-    """Rising first words in stretches that span at most _TILE words, so that a long text needs no more memory than a short one."""
+def _tiles_of(first: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of rising first words in stretches that span at most _TILE words, so that a long text needs no more memory than a short one."""
     cuts = np.flatnonzero(np.diff(first // _TILE)) + 1
-    yield from np.split(first, cuts)
+    yield from np.split(np.arange(len(first)), cuts)
 
 
 class Index:
@@ -74,8 +74,10 @@ class Index:
             for x in h.tolist():
                 owner[x].add(i)
         self.fingerprint = np.array(prints, dtype=np.uint64)
-        self.owner = {x: sorted(i) for x, i in owner.items()}
         self.known = np.array(sorted(owner), dtype=np.uint64)
+        # Items of each known shingle, one list after the other.
+        self.owner_ends = np.cumsum([0, *(len(owner[x]) for x in self.known.tolist())])
+        self.owners = np.array([i for x in self.known.tolist() for i in sorted(owner[x])], dtype=np.int64)
         self.widths = sorted({int(min(shingle, n)) for n in self.length})
         blocks = self.fingerprint.view(np.uint8).reshape(-1, BLOCKS) if len(prints) else np.zeros((0, BLOCKS), np.uint8)
         self.near = [_NEAR[:, blocks[:, b]] <= radius // BLOCKS for b in range(BLOCKS)]  # value of the block x items
@@ -84,14 +86,13 @@ class Index:
         k = min(self.shingle, len(words))
         return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else Counter()
 
-    def within(self, prints: np.ndarray) -> np.ndarray:
-        """windows x items: exactly the pairs within the radius, found through the blocks."""
+    def within(self, prints: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which pairs of a window's fingerprint and an item are within the radius, looked up block by block."""
         values = prints.view(np.uint8).reshape(-1, BLOCKS)
-        found = np.zeros((len(prints), len(self.ids)), dtype=bool)
+        found = np.zeros(len(prints), dtype=bool)
         for b in range(BLOCKS):
-            found |= self.near[b][values[:, b]]
-        w, i = np.nonzero(found)
-        found[w, i] = np.bitwise_count(prints[w] ^ self.fingerprint[i]) <= self.radius
+            found |= self.near[b][values[:, b], items]
+        found[found] = np.bitwise_count(prints[found] ^ self.fingerprint[items[found]]) <= self.radius
         return found
 
     def search(self, texts: list[bytes], least: float) -> list[list[tuple[int, int, int, float]]]:
@@ -112,28 +113,51 @@ class Index:
 
     def _search_one(self, words: Words, hashed: np.ndarray, a: int, b: int, width: int, at: np.ndarray, h: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
         n = b - a
-        windows: dict[int, set[int]] = defaultdict(set)  # words of a window -> first words
-        for p, x in zip(at.tolist(), h.tolist(), strict=True):
-            for i in self.owner[x]:
-                size = int(self.length[i])
-                if min(self.shingle, size) == width:
-                    size = min(size, n)
-                    windows[size].update(range(max(0, p - size + width), min(p, n - size) + 1))
+        # Pairs (item, hit): every window of the item's size around a shingle that the item has.
+        k = np.searchsorted(self.known, h)
+        many = self.owner_ends[k + 1] - self.owner_ends[k]
+        ends = np.cumsum(many)
+        items = self.owners[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.owner_ends[k] - (ends - many), many)]
+        hits = np.repeat(at, many)
+        mine = np.minimum(self.shingle, self.length[items]) == width
+        items, hits = items[mine], hits[mine]
+        order = np.lexsort((hits, items))
+        items, hits = items[order], hits[order]
+        size = np.minimum(self.length[items], n)
+        low, high = np.maximum(0, hits - size + width), np.minimum(hits, n - size)
+        # Windows of one item overlap from hit to hit: each is taken once.
+        again = np.concatenate([[False], items[1:] == items[:-1]])
+        low[again] = np.maximum(low[again], high[np.flatnonzero(again) - 1] + 1)
+        each = np.maximum(0, high - low + 1)
+        ends = np.cumsum(each)
+        first = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - each), each)
+        items_of, size_of = np.repeat(items, each), np.repeat(size, each)
+        span = {int(i): (int(x), int(y)) for i, x, y in zip(*np.unique(items, return_index=True), [*np.unique(items, return_index=True)[1][1:], len(items)], strict=True)}
         best: dict[int, tuple[float, int, int]] = {}
-        for size, first in ((size, tile) for size, firsts in windows.items() for tile in _tiles(np.array(sorted(firsts)))):
-            low = int(first[0])
-            signs = _signs(window_hashes(hashed, np.arange(low, first[-1] + size - width + 1), width, 1))
-            sums = np.zeros((len(signs) + 1, 64), dtype=np.int32)
-            np.cumsum(signs, axis=0, out=sums[1:])
-            found = self.within(_packed(sums[first - low + size - width + 1] - sums[first - low]))
-            found &= (self.length == size) | ((self.length > size) & (size == n))
-            for w, i in zip(*np.nonzero(found), strict=True):
-                s = int(first[w])
-                text = [words.joined[x:y] for x, y in zip(words.starts[a + s : a + s + size], words.ends[a + s : a + s + size], strict=True)]
-                here, item = self.shingles(text), self.counts[i]
-                alike = sum((here & item).values()) / sum((here | item).values())
-                if alike >= least and (i not in best or alike > best[i][0]):
-                    best[int(i)] = (alike, s, size)
+        for size in np.unique(size_of).tolist():
+            some = np.flatnonzero(size_of == size)
+            some = some[np.lexsort((items_of[some], first[some]))]
+            for tile in _tiles_of(first[some]):
+                pair = some[tile]
+                low = int(first[pair[0]])
+                signs = _signs(window_hashes(hashed, np.arange(low, first[pair[-1]] + size - width + 1), width, 1))
+                sums = np.zeros((len(signs) + 1, 64), dtype=np.int32)
+                np.cumsum(signs, axis=0, out=sums[1:])
+                starts, of = np.unique(first[pair], return_inverse=True)
+                prints = _packed(sums[starts - low + size - width + 1] - sums[starts - low])
+                for j in pair[self.within(prints[of], items_of[pair])].tolist():
+                    i, s = int(items_of[j]), int(first[j])
+                    x, y = span[i]
+                    # No more can be alike than the window's shingles that the item has.
+                    most = int(np.searchsorted(hits[x:y], s + size - width + 1) - np.searchsorted(hits[x:y], s))
+                    here_n, item_n = size - width + 1, int(self.length[i]) - width + 1
+                    if most < least * (here_n + item_n - most) - 1e-9:
+                        continue
+                    text = [words.joined[p:q] for p, q in zip(words.starts[a + s : a + s + size], words.ends[a + s : a + s + size], strict=True)]
+                    here, item = self.shingles(text), self.counts[i]
+                    alike = sum((here & item).values()) / sum((here | item).values())
+                    if alike >= least and (i not in best or alike > best[i][0]):
+                        best[i] = (alike, s, size)
         return [(i, s, size, alike) for i, (alike, s, size) in sorted(best.items())]
 
 

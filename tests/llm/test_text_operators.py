@@ -493,3 +493,26 @@ def test_buttons_and_unmatched_tags():
 @pytest.mark.parametrize(("names", "want"), [("has-sidebar", (False, False)), ("comment-body", (True, False)), ("main-nav", (True, False)), ("content-sidebar-wrap", (False, False)), ("post tag-menu", (True, True)), ("post tag-budget", (False, True)), ("siteHeader", (True, False)), ("", (False, False))])
 def test_stance(names, want):
     assert html_extraction.stance(names) == want
+
+
+def test_leaks_of_thousands_of_items():
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    words = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    template = words(9)
+    items = [(i, " ".join(template[: r.choice((0, 9))] + words(r.randint(3, 30)))) for i in range(4000)]
+    texts = []
+    for _ in range(5):
+        parts = []
+        for i in r.sample(range(300), 6):
+            quoted = items[i][1].split()
+            if r.random() < 0.5 and len(quoted) > 12:
+                quoted[r.randrange(len(quoted))] = "other"
+            parts += words(7) + quoted
+        texts.append(" ".join(parts))
+    found = decontamination.Index(items).search([t.encode() for t in texts], 0.8)
+    want = plain_leaks(texts, items[:300])
+    assert {(t, i) for t, hits in enumerate(found) for i, *_ in hits if i < 300} == {(t, i) for t, i in want} and len(want) > 20
+    began = time.time()
+    decontamination.Index(items).search([" ".join(texts * 5).encode()], 0.8)
+    assert time.time() - began < 20
