@@ -96,3 +96,24 @@ def test_stream(spark, tmp_path):
     assert len(seen(p)) == 12 and len(p.commits()) == 3
     p.publish_stream(stream, "s", f"{tmp_path}/other").awaitTermination(120)  # its checkpoint lost: batches have their markers
     assert len(seen(p)) == 12 and len(p.commits()) == 3
+
+
+def test_journal_in_splits(spark, tmp_path):
+    from siftworks.streaming import journal
+
+    path = tmp_path / "journal"
+    rows = [(f"k{i % 7}", i) for i in range(400)]
+    whole = "".join(f'{{"k": "{k}", "v": {v}}}\n' + ("\n" if v % 50 == 0 else "") for k, v in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        for text, n in ((whole, 400), (whole[:-1], 399), (whole[:-1] + '\n{"k": "k0", "v": 9', 400), ("", 0)):
+            path.write_text(text)
+            found = journal.lines(spark, str(path))
+            assert found.where("complete").count() == n and found.count() <= n + 1
+            last = {r.k: r.v for r in journal.last_state(journal.strict(found, "k string, v long"), ["k"]).collect()}
+            assert last == {k: v for k, v in rows[:n]}
+        path.write_text(whole)
+        assert journal.lines(spark, str(path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
