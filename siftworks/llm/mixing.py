@@ -55,7 +55,7 @@ def _rate(tilt: Column, x: Column, most: float) -> Column:
 
 
 def tilts(cells: DataFrame, goals: DataFrame, scratch: Scratch, most: float = MOST, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
-    """cells (key, size, n), goals (key, words, n_docs, target) -> goals with tilt and scale.
+    """cells (key, size, n), goals (key, words, n_docs, target) of the same keys -> goals with tilt and scale.
 
     The exponent is tilt * size / scale, scale being the source's mean size.
     """
@@ -66,9 +66,9 @@ def tilts(cells: DataFrame, goals: DataFrame, scratch: Scratch, most: float = MO
     for i in range(1, rounds + 1):
         rate = _rate(F.col("tilt"), x, most)
         words = F.col("n") * F.col("size")
-        each = cells.join(now, "key").groupBy("key").agg(F.sum(words * rate).alias("got"), F.sum(F.when(rate < most, words * x * rate).otherwise(0.0)).alias("slope"))
+        # a key's row is the same in all its cells, so the sums are grouped by the row: nothing is joined back
+        step = cells.join(now, "key").groupBy(*now.columns).agg(F.sum(words * rate).alias("got"), F.sum(F.when(rate < most, words * x * rate).otherwise(0.0)).alias("slope"))
         gap = F.col("got") - F.col("target")
-        step = now.join(each, "key", "left").withColumns({"got": F.coalesce("got", F.lit(0.0)), "slope": F.coalesce("slope", F.lit(0.0))})
         step = step.withColumns({"low": F.when(gap < 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(gap > 0, F.col("tilt")).otherwise(F.col("high")), "done": F.col("done") | (F.abs(gap) <= tolerance * F.greatest("target", F.lit(1.0)))})
         newton = F.col("tilt") - F.try_divide(gap, F.col("slope"))
         inside = newton.isNotNull() & (newton > F.col("low")) & (newton < F.col("high")) & (F.abs(newton - F.col("tilt")) < 4 + F.abs("tilt"))

@@ -199,13 +199,13 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingl
         starred = scratch.table("stars", spread.join(full, ["band", "key"]).select("class", "first", "second"))
         ordered = lambda df: df.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         pairs = heads.select("p", "q").unionByName(same).unionByName(starred.select(F.col("class").alias("p"), F.col("first").alias("q")))
-        edges = _verified(scratch.table("pairs1", ordered(pairs)), texts, similarity, shingle, scratch, "one")
+        tried = scratch.table("pairs1", ordered(pairs))
+        edges = _verified(tried, texts, similarity, shingle, scratch, "one")
         # round two: other representatives, where round one has not joined the two already
         joined = connected_components(edges, scratch, "cc_one")
         where = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
         apart = ordered(starred.select(F.col("class").alias("p"), F.col("second").alias("q"))).join(where("a"), "a", "left").join(where("b"), "b", "left")
         apart = apart.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        tried = scratch.table("tried", ordered(pairs))
         more = _verified(scratch.table("pairs2", apart.join(tried, ["a", "b"], "left_anti")), texts, similarity, shingle, scratch, "two")
         edges = edges.unionByName(more)
         group = connected_components(edges, scratch, "cc_two")

@@ -1,14 +1,19 @@
 """Window and string removal, and near-duplicate components, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siftworks.llm import near_dedup
+from siftworks.llm.components import connected_components
+from siftworks.llm.mixing import tilts
+from siftworks.llm.scratch import Scratch
 from siftworks.llm.simhash import fingerprint, simhash_components
 from siftworks.llm.substring_dedup import remove_repeated_windows
 from siftworks.llm.suffix_dedup import refine, remove_earlier_strings
@@ -144,6 +149,53 @@ def test_components(spark):
     assert len({c for _, _, c in want}) < len(rows) - 25
 
 
+class Plans(Scratch):
+    """Counts the tables that are read in the plan of each table."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.reads = {}
+
+    def table(self, name, df):
+        self.reads[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+        return super().table(name, df)
+
+
+def test_components_of_edges(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000, 1001 + i) for i in range(50)] + [(3000 - i, 2999 - i) for i in range(40)]
+    edges += [(7, 7), (None, 3), (4, None), *edges[:5], *((b, a) for a, b in edges[:9])]
+    parent = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a in parent and b in parent:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    with Plans(spark) as scratch:
+        got = connected_components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in parent)
+    assert max(scratch.reads.values()) <= 2  # a step reads its edges twice at most, however often its parts use them
+
+
+def test_newton_steps_join_once(spark):
+    cells = spark.createDataFrame([(k, s, 1 + s % 3) for k in "abc" for s in range(1, 40)], "key string, size long, n long")
+    goals = cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("n_docs"))
+    with Plans(spark) as scratch:
+        goals = goals.withColumn("target", F.col("words") * F.when(F.col("key") == "a", 0.5).when(F.col("key") == "b", 1.7).otherwise(2.5))
+        now = tilts(scratch.table("cells", cells), scratch.table("goals", goals), scratch)
+        rows = [(r["key"], r["target"], r["tilt"] / r["scale"]) for r in now.collect()]
+    assert max(n for name, n in scratch.reads.items() if name.startswith("tilt")) <= 2
+    assert len(rows) == 3
+    for key, target, tilt in rows:
+        got = sum(r["n"] * r["size"] * min(3.0, math.exp(tilt * r["size"])) for r in cells.where(F.col("key") == key).collect())
+        assert abs(got - target) <= 1e-5 * target
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_windows(docs).collect() == []
