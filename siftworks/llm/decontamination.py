@@ -30,6 +30,7 @@ BLOCKS = 8
 CHUNK_BYTES = 4_000_000  # benchmark text sent to executors at a time
 _BATCH_BYTES = 4 << 20
 _TILE = 4096  # windows of a text that are fingerprinted at a time
+_STRETCH = 1 << 15  # windows that are looked up at a time
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
@@ -101,16 +102,26 @@ class Index:
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         hashed = words.hashes(0)
         for width in self.widths:
-            starts = words.window_starts(width)
-            h = window_hashes(hashed, starts, width, 1)
-            hit = np.flatnonzero(is_member(self.known, h))
-            text_of = np.searchsorted(words.first, starts[hit], side="right") - 1
+            starts, h = self._known_windows(hashed, words.window_starts(width), width)
+            text_of = np.searchsorted(words.first, starts, side="right") - 1
             for t in np.unique(text_of).tolist():
-                own = hit[text_of == t]
+                own = text_of == t
                 a, b = int(words.first[t]), int(words.last[t])
                 out[t] += self._search_one(words, hashed[a:b], a, b, width, starts[own] - a, h[own], least)
         return out
 
+    def _known_windows(self, hashed: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the windows whose hash is a known shingle, and the hash; hashed a stretch of windows at a time."""
+        found, hashes = [starts[:0]], [np.zeros(0, np.uint64)]
+        for at in range(0, len(starts), _STRETCH):
+            some = starts[at : at + _STRETCH]
+            low = int(some[0])
+            h = window_hashes(hashed[low : int(some[-1]) + width], some - low, width, 1)
+            hit = is_member(self.known, h)
+            found.append(some[hit])
+            hashes.append(h[hit])
+        return np.concatenate(found), np.concatenate(hashes)
+
     def _search_one(self, words: Words, hashed: np.ndarray, a: int, b: int, width: int, at: np.ndarray, h: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
         n = b - a
         # Pairs (item, hit): every window of the item's size around a shingle that the item has.

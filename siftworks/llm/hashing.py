@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 CHUNK = 1 << 20  # bytes that are hashed at a time
-_MEMO = 300_000  # words whose hashes a process remembers
+_MEMO = 1 << 15  # words whose hashes a process remembers: the frequent ones; each takes over 150 bytes as long as the process lives
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 

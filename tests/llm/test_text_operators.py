@@ -4,12 +4,14 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from siftworks.llm import decontamination, gif, html_extraction, licenses, mixing, pii, toxicity
+from siftworks.llm import decontamination, gif, hashing, html_extraction, licenses, mixing, pii, toxicity
 from siftworks.llm.html_tree import parse
 from siftworks.llm.scratch import Scratch
 
@@ -516,3 +518,33 @@ def test_leaks_of_thousands_of_items():
     began = time.time()
     decontamination.Index(items).search([" ".join(texts * 5).encode()], 0.8)
     assert time.time() - began < 20
+
+
+def test_memory_that_a_worker_keeps_does_not_follow_the_words():
+    hashing._memos.clear()
+    texts = [" ".join(f"word{i}" for i in range(at, at + 10_000)).encode() for at in range(0, 200_000, 10_000)]
+    tracemalloc.start()
+    try:
+        hashed = [hashing.Words([t]).hashes() for t in texts]
+        kept = tracemalloc.get_traced_memory()[0] - sum(h.nbytes for h in hashed)
+    finally:
+        tracemalloc.stop()
+    assert kept < 8_000_000
+    assert all(int(h[i]) == xxhash.xxh64_intdigest(t.split()[i], 0) for t, h in zip(texts, hashed, strict=True) for i in (0, 5_000, 9_999))
+
+
+def test_windows_are_looked_up_a_stretch_at_a_time(monkeypatch):
+    items = [(1, "a b c d e f g h"), (2, "one two"), (3, "k l m n o p q r s t")]
+    texts = [("x y " * n + t + " z w" * n).encode() for n in range(1, 12) for _, t in items] + [b"", b"a b", ("u v " * 40_000 + items[0][1]).encode()]
+    index, asked = decontamination.Index(items), []
+    monkeypatch.setattr(decontamination, "_STRETCH", 1 << 40)
+    whole = index.search(texts, 0.8)
+    assert sum(map(bool, whole)) >= 34
+    plain = decontamination.window_hashes
+    monkeypatch.setattr(decontamination, "window_hashes", lambda h, starts, k, which: asked.append(len(starts)) or plain(h, starts, k, which))
+    for stretch in (1, 7, 1000):
+        asked.clear()
+        monkeypatch.setattr(decontamination, "_STRETCH", stretch)
+        few = texts if stretch > 7 else texts[:-1]
+        assert index.search(few, 0.8) == whole[: len(few)]
+        assert max(asked) <= max(stretch, 20)  # the windows around a hit are hashed once more
