@@ -69,10 +69,10 @@ def scan_json_flags(raw: Column, key: str = JSON_KEY) -> Column:
 
 
 def halves(flags: Column) -> tuple[Column, Column]:
-    """High and low 32 bits as longs."""
-    wide = flags.cast("decimal(38,0)")
-    high = F.floor(wide / F.lit(_HALF).cast("decimal(38,0)")).cast("long")
-    return high, (wide - high.cast("decimal(38,0)") * F.lit(_HALF).cast("decimal(38,0)")).cast("long")
+    """High and low 32 bits as longs.  A decimal quotient is rounded to six places, so only what divides is divided."""
+    wide, half = flags.cast("decimal(38,0)"), F.lit(_HALF).cast("decimal(38,0)")
+    low = wide % half
+    return ((wide - low) / half).cast("long"), low.cast("long")
 
 
 def _and(flags: Column, mask: int) -> Column:

@@ -49,6 +49,13 @@ def test_flag_classes(spark):
     assert got[5][3] == "1"
 
 
+def test_halves_next_to_a_border(spark):
+    """Low halves so near 2^32 that a quotient of six places would be rounded up."""
+    rows = [1413040 * 1000003, (1 << 32) - 1, (1 << 64) - 1, 7 << 32, (5 << 32) - 1000]
+    df = spark.createDataFrame([(str(v),) for v in rows], "s string").select(F.col("s").cast("decimal(20,0)").alias("v"))
+    assert values(df, *fl.halves(F.col("v"))) == [divmod(v, 1 << 32) for v in rows]
+
+
 def test_padding(spark):
     df = spark.createDataFrame([(5, "0007"), (12345, "07")], "v long, o string")
     assert values(df, fl.padded(F.col("v"), F.col("o"))) == [("0005",), ("12345",)]
