@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import numpy as np
 import pytest
@@ -276,6 +277,16 @@ def test_rasters(spark):
 # --- files ---
 
 
+def test_brands_of_a_long_box(spark):
+    """Time follows the length of the box, not its square; brands stand at multiples of four inside it."""
+    box = lambda n, tail: (n * 4 + 12 + len(tail)).to_bytes(4, "big") + b"ftypavif" + b"mif1" * n + tail
+    made = {"last": box(400_000, b"heic"), "none": box(400_000, b"mif1"), "aside": box(1, b"\0\0heic\0\0"), "cut": box(1, b"hei"), "behind": box(0, b"") + b"heic", "empty": b"", "null": None}
+    df = spark.createDataFrame(list(made.items()), "n string, c binary")
+    began = time.monotonic()
+    got = {r.n: r.e for r in df.select("n", files.still_encoding(F.col("c")).alias("e")).collect()}
+    assert got == dict.fromkeys(made) | {"last": "heic"} and time.monotonic() - began < 60
+
+
 def test_files(spark, tmp_path):
     for name, data in {"a.jpg": b"\xff\xd8rest", "b.heic": b"\0\0\0\x18ftypmif1\0\0\0\0heicxxxx", "c.heic": b"\0\0\0\x10ftypmif1\0\0\0\0heic", ".d.jpg": b"x", "e.txt": b"x"}.items():
         (tmp_path / name).write_bytes(data)
