@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -74,20 +72,22 @@ _SLOTS = LONG * SHORT * PLANES * BLOCK
 
 
 def unpack_lattice(payload: Column, landscape: Column) -> Column:
-    """Half floats stored column by column -> values row by row (y, x, plane, term, output); null where the size is wrong or a value not finite."""
+    """Half floats stored column by column -> values row by row (y, x, plane, term, output); null where the size is wrong or a value not finite.
+
+    A lattice has 100 kB: call lineage.small_batches() for many, or hundreds of them pass to Python at a time.
+    """
 
     @pandas_udf("array<float>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for data, wide in batches:
-            out = []
-            for d, w in zip(data, wide, strict=True):
-                v = np.frombuffer(d, "<f2") if d is not None and len(d) == 2 * _SLOTS else None
-                if v is None or not np.isfinite(v).all():
-                    out.append(None)
-                    continue
-                x, y = (LONG, SHORT) if w else (SHORT, LONG)
-                out.append(v.reshape(x, y, -1).swapaxes(0, 1).astype(np.float32).ravel())
-            yield pd.Series(out)
+    def run(data: pd.Series, wide: pd.Series) -> pd.Series:
+        out = []
+        for d, w in zip(data, wide, strict=True):
+            v = np.frombuffer(d, "<f2") if d is not None and len(d) == 2 * _SLOTS else None
+            if v is None or not np.isfinite(v).all():
+                out.append(None)
+                continue
+            x, y = (LONG, SHORT) if w else (SHORT, LONG)
+            out.append(v.reshape(x, y, -1).swapaxes(0, 1).astype(np.float32).ravel())
+        return pd.Series(out, dtype=object)
 
     return run(payload, landscape)
 
@@ -96,17 +96,16 @@ def pack_lattice(values: Column, landscape: Column) -> Column:
     """The inverse of unpack_lattice(); null where a value does not fit a half float."""
 
     @pandas_udf("binary")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for rows, wide in batches:
-            out = []
-            for r, w in zip(rows, wide, strict=True):
-                if r is None or len(r) != _SLOTS:
-                    out.append(None)
-                    continue
-                x, y = (LONG, SHORT) if w else (SHORT, LONG)
-                with np.errstate(over="ignore"):
-                    h = np.asarray(r, np.float64).reshape(y, x, -1).swapaxes(0, 1).astype("<f2")
-                out.append(np.ascontiguousarray(h).tobytes() if np.isfinite(h).all() else None)
-            yield pd.Series(out)
+    def run(rows: pd.Series, wide: pd.Series) -> pd.Series:
+        out = []
+        for r, w in zip(rows, wide, strict=True):
+            if r is None or len(r) != _SLOTS:
+                out.append(None)
+                continue
+            x, y = (LONG, SHORT) if w else (SHORT, LONG)
+            with np.errstate(over="ignore"):
+                h = np.asarray(r, np.float64).reshape(y, x, -1).swapaxes(0, 1).astype("<f2")
+            out.append(np.ascontiguousarray(h).tobytes() if np.isfinite(h).all() else None)
+        return pd.Series(out, dtype=object)
 
     return run(values, landscape)

@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative jobs in the folder that the cluster names."""
+"""Cutting the lineage of iterative jobs in the folder that the cluster names, and bounds of what passes to Python."""
 
 from __future__ import annotations
 
@@ -28,6 +28,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Have Spark pass no more than 1 MB, or one row, to Python at a time in this session, for rows that are large themselves."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder now and read from there."""
     sc = df.sparkSession.sparkContext

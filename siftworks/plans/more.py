@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftworks.functions import decisions as dc, flags as fl, headroom as hr, text as tx, transfer as tr
 from siftworks.operators import graphs, lattice, ordered, raster
+from siftworks.operators.lineage import small_batches
 from siftworks.plans.catalog import query, r6, read, rounded
 from siftworks.sources import files, media
 
@@ -347,7 +348,7 @@ def lattice_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole numbers packed as a lattice of half floats and unpacked again; arrays of another size give null."""
     values = F.transform(F.sequence(F.lit(0), F.lit(lattice._SLOTS - 1)), lambda i: ((i + F.col("vec_id")) % 2048).cast("float"))
     wide = F.col("vec_id") % 2 == 0
-    df = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", values.alias("values"))
+    df = read(small_batches(spark), sf_dir, "embeddings").select("vec_id", "embedding", values.alias("values"))
     back = lattice.unpack_lattice(lattice.pack_lattice(F.col("values"), wide), wide)
     return df.select("vec_id", (back == F.col("values")).alias("same"), (lattice.pack_lattice(F.col("embedding"), wide).isNull() & (F.size("embedding") == 64)).alias("sized"))
 

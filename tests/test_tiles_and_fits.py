@@ -154,3 +154,19 @@ def test_local_fit_blocks_of_events(spark):
         want = np.clip(np.linalg.solve(m[at] + max(np.trace(m[at]) / TERMS * 1e-5, 1e-9) * np.diag([1.0] * 4 + [10.0] * 6), v[at]), -bound, bound).ravel()
         want[[3, 7, 11]] += 1
         assert np.allclose(r.coefficients, want, atol=1e-5)
+
+
+def test_lattices_pass_to_python_a_few_at_a_time(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    from siftworks.plans import more
+
+    key, was = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        assert {(r.same, r.sized) for r in more.lattice_round_trip(spark, "/root/testdata/sf0.001").collect()} == {(True, True)}
+        rows = spark.range(200, numPartitions=1).select(F.array_repeat(F.col("id").cast("float"), LONG * SHORT * PLANES * TERMS * OUTPUTS).alias("v"), "id")
+        held = pandas_udf(lambda v, i: i * 0 + len(v), "long", PandasUDFType.SCALAR)  # rows of a batch
+        assert rows.select(held("v", "id").alias("n")).agg(F.max("n")).first()[0] <= 20
+    finally:
+        spark.conf.set(key, was)
