@@ -86,13 +86,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
+_FEW = 16  # numbers of one content at one name that are tried one by one
+
+
 class _Slots:
     """What a component's destinations hold, and for a name and a content the numbers at which it stands."""
 
     def __init__(self) -> None:
         self.held: dict[tuple[str, str], str] = {}
-        self.free: dict[tuple[str, str], int] = {}  # the least number that may be free
         self.numbers: dict[tuple[str, str, str], list[int]] = {}
+        self.free: dict[tuple[str, str], int] = {}  # the least number that may be free
+        self.open: dict[tuple[str, tuple[str, ...], tuple[str | None, ...]], int] = {}  # the least that may suit names together
 
     def put(self, directory: str, name: str, content: str) -> bool:
         """Whether the destination was free."""
@@ -107,18 +111,34 @@ class _Slots:
         return True
 
     def smallest(self, directory: str, names: list[str], contents: list[str]) -> int:
-        """The first number that suits all names: where the first one holds its content, or is free."""
-        first = (directory, names[0])
-        k = self.free.get(first, 1)
-        while (directory, with_number(names[0], k)) in self.held:
+        """The first number at which every name is free or holds its content.
+
+        A content that stands at few numbers of its name is tried at these; elsewhere its name must be
+        free.  A content that stands at many is not listed: its name may be free or hold it.  What suits
+        names in this way only gets less as destinations fill, so a search goes on where the last one for
+        the same names, and contents of the second kind, ended.
+        """
+        places = [self.numbers.get((directory, n, c), ()) for n, c in zip(names, contents, strict=True)]
+        bound = max(_FEW, min(map(len, places)))
+        rare = [len(p) <= bound for p in places]
+        suits = lambda j: all(self.held.get((directory, with_number(n, j)), c) == c for n, c in zip(names, contents, strict=True))
+        best = None
+        for few, numbers in zip(rare, places, strict=True):
+            for j in numbers if few else ():
+                if (best is None or j < best) and suits(j):
+                    best = j
+        key = (directory, tuple(names), tuple(None if few else c for few, c in zip(rare, contents, strict=True)))
+        k = max(self.open.get(key, 1), *(self._free(directory, n) for few, n in zip(rare, names, strict=True) if few))
+        while (best is None or k < best) and not all(self.held.get((directory, with_number(n, k)), c) == c for n, c in zip(names, key[2], strict=True)):
             k += 1
-        self.free[first] = k
-        suits = lambda k: all(self.held.get((directory, with_number(n, k)), c) == c for n, c in zip(names, contents, strict=True))
-        for j in sorted(self.numbers.get((*first, contents[0]), ())):
-            if j < k and suits(j):
-                return j
-        while not suits(k):
+        self.open[key] = k
+        return k if best is None else min(k, best)
+
+    def _free(self, directory: str, name: str) -> int:
+        k = self.free.get((directory, name), 1)
+        while (directory, with_number(name, k)) in self.held:
             k += 1
+        self.free[directory, name] = k
         return k
 
 

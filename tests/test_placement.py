@@ -1,6 +1,7 @@
 """General placement against the serial rule."""
 
 import random
+import time
 
 import pytest
 
@@ -55,6 +56,34 @@ def test_one_name_for_all_is_ranked(spark):
     assert sorted((tuple(r) for r in placement.place(spark.createDataFrame(resources, RESOURCES)).collect()), key=str) == serial(resources, [])
 
 
+def test_a_shared_content_at_many_numbers(monkeypatch):
+    """One content at thousands of numbers costs no more a turn; the numbers are those of the plain search."""
+    names = {1: ["IMG.txt"], 2: ["IMG.json", "IMG.txt"], 3: ["IMG.json", "IMG.md", "IMG.txt"]}
+    slots, began = placement._Slots(), time.monotonic()
+    for i in range(6000):
+        asked = names[i % 3 + 1]
+        contents = ["same" if n == "IMG.json" else f"c{i}" for n in asked]
+        k = slots.smallest("d", asked, contents)
+        assert k == i + 1
+        for n, c in zip(asked, contents, strict=True):
+            slots.put("d", placement.with_number(n, k), c)
+    assert time.monotonic() - began < 15
+    monkeypatch.setattr(placement, "_FEW", 1)
+    for seed in range(60):
+        r, held, slots = random.Random(seed), {}, placement._Slots()
+        for _ in range(80):
+            stem = r.choice(["x", "x (2)", "x (3)", "y"])
+            asked = sorted(f"{stem}.{e}" for e in r.sample(["jpg", "mov", "xmp"], r.randint(1, 3)))
+            contents = [r.choice("ssssabc") for _ in asked]
+            want = 1
+            while any(held.get(placement.with_number(n, want), c) != c for n, c in zip(asked, contents, strict=True)):
+                want += 1
+            assert slots.smallest("d", asked, contents) == want
+            for n, c in zip(asked, contents, strict=True):
+                assert slots.put("d", placement.with_number(n, want), c) == (placement.with_number(n, want) not in held)
+                held.setdefault(placement.with_number(n, want), c)
+
+
 def test_placement_of_nothing_and_nulls(spark):
     none = spark.createDataFrame([], RESOURCES)
     assert placement.place(none).collect() == []
