@@ -256,3 +256,22 @@ def test_long_texts_are_hashed_in_stretches(monkeypatch):
     assert np.array_equal(again.at, anchors.at) and np.array_equal(again.hash, anchors.hash)
     text, at = words.normal()
     assert text.split() == b" ".join(texts).split() and [text[i : j - 1] for i, j in zip(at.tolist(), at[1:].tolist())] == text.split()
+
+
+def test_blocks_of_a_bundle_share_exchange_rows(spark):
+    """Rows of the exchange number at most slices times bundles, and the strings removed stay the same."""
+    from pyspark.sql import functions as F
+
+    from siftworks.llm import suffix_dedup
+    from siftworks.llm.blocks import EXCHANGE_SCHEMA, pack_blocks
+
+    r = random.Random(4)
+    said = ["".join(r.choice("abcdefgh ") for _ in range(70)) for _ in range(12)]
+    rows = [(i, "".join(r.choice(said) if r.random() < 0.3 else "".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(8))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    one, many = ({tuple(x[:4]) + (bytes(x[4]),) for x in remove_earlier_strings(docs, block_bytes=2_000, bundle_bytes=b, hot=hot, slice_entries=100).collect()} for b, hot in ((0, 5_000), (20_000, 6)))
+    assert one == many == set(strings_expected(rows, 50))
+    plan = suffix_dedup._Plan(sum(len(t) for _, t in rows), 50, 20, 100)
+    blocks = pack_blocks(docs, 2_000)
+    counts = [blocks.withColumn("bundle", F.floor(F.col("block") / n).cast("long")).mapInArrow(suffix_dedup._sketch(plan), EXCHANGE_SCHEMA).count() for n in (1, 10)]
+    assert counts[1] <= 3 << plan.slice_bits and counts[1] < counts[0] / 3
