@@ -46,7 +46,9 @@ def _containers(docs: DataFrame) -> DataFrame:
         F.when(kind == 0, local).when(kind == 1, container((probe.ULTRA_INFO, _INFO), probe.ULTRA_DATA)).when(kind == 2, container((probe.ULTRA_INFO, bytes(80)), probe.ULTRA_DATA))
         .when(kind == 3, photo(size + 12)).when(kind == 4, photo(F.lit(10**12))).when(kind == 5, text).otherwise(F.substring(local, 1, 2**30).substr(F.lit(1), F.length(local) - 1))
     )
-    return docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"), made.alias("content"))
+    # Fixed value: folders the files are dealt to, so that none has to hold them all.
+    name = F.concat(F.lit("d"), F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("string"), F.lit("/f"), F.col("doc_id").cast("string"))
+    return docs.select(name.alias("name"), made.alias("content"))
 
 
 @query("""

@@ -1,7 +1,8 @@
 """Probing containers by byte ranges: a data source of heads and tails, ranges on request, tagged rows.
 
-A file of gigabytes is told by a few kilobytes.  ``ByteRanges`` plans files by size into partitions
-and reads the head and the tail of each and the headers of its top-level boxes, by seeks;
+A file of gigabytes is told by a few kilobytes.  ``heads_and_tails`` lists folders in tasks and reads
+the head and the tail of each file and the headers of its top-level boxes, by seeks; ``ByteRanges`` does
+so as a data source, whose partitions the driver plans, for as many files as it can hold;
 ``with_ranges`` then reads the byte ranges that a column asks for.  What they find is judged in
 column expressions: ``probe`` gives one tagged row a file, also for those that are no container,
 and ``extract`` the metadata and the mask of those that are.
@@ -12,7 +13,9 @@ gives an error row; such files can be read whole with Spark's binaryFile source.
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -24,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.functions import pandas_udf
 
+from siftworks.operators.lineage import scratch_folder
+
 HEAD, TAIL = 64 << 10, 64 << 10
 FILES = 256  # files of a partition, at most
 INSPECTION_VERSION = 1
@@ -42,6 +47,13 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+_ENDS = "path string, size long, head binary, tail binary, boxes array<struct<kind:string,start:long,length:long>>, bytes_read long, error string"
+_ENDS_ARROW = pa.schema([
+    ("path", pa.string()), ("size", pa.int64()), ("head", pa.binary()), ("tail", pa.binary()),
+    ("boxes", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))), ("bytes_read", pa.int64()), ("error", pa.string()),
+])
+
+
 class _Files(InputPartition):
     def __init__(self, files: list[tuple[str, int, str | None]]):
         self.files = files
@@ -65,6 +77,27 @@ def _boxes(file: pa.NativeFile, size: int) -> tuple[list[dict], int]:
     return found, read
 
 
+def _ends(path: str, size: int, error: str | None, most_head: int, most_tail: int) -> tuple:
+    """A row of _ENDS for one file."""
+    if error:
+        return path, size, None, None, None, 0, error
+    try:
+        system, inner = _file_system(path)
+        with system.open_input_file(inner) as file:
+            if size <= most_head + most_tail:
+                whole = file.read(size)
+                head, tail, read = whole[:most_head], whole[max(0, size - most_tail) :], len(whole)
+            else:
+                head = file.read(most_head)
+                file.seek(size - most_tail)
+                tail = file.read(most_tail)
+                read = len(head) + len(tail)
+            boxes, more = _boxes(file, size) if head[4:8] == b"ftyp" else ([], 0)
+        return path, size, head, tail, boxes, read + more, None
+    except _ERRORS as failed:
+        return path, size, None, None, None, 0, f"not read: {type(failed).__name__}"
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"])
@@ -93,24 +126,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         for path, size, error in partition.files:
-            if error:
-                yield path, size, None, None, None, 0, error
-                continue
-            try:
-                system, inner = _file_system(path)
-                with system.open_input_file(inner) as file:
-                    if size <= self.head + self.tail:
-                        whole = file.read(size)
-                        head, tail, read = whole[: self.head], whole[max(0, size - self.tail) :], len(whole)
-                    else:
-                        head = file.read(self.head)
-                        file.seek(size - self.tail)
-                        tail = file.read(self.tail)
-                        read = len(head) + len(tail)
-                    boxes, more = _boxes(file, size) if head[4:8] == b"ftyp" else ([], 0)
-                yield path, size, head, tail, boxes, read + more, None
-            except _ERRORS as failed:
-                yield path, size, None, None, None, 0, f"not read: {type(failed).__name__}"
+            yield _ends(path, size, error, self.head, self.tail)
 
 
 class ByteRanges(DataSource):
@@ -121,15 +137,88 @@ class ByteRanges(DataSource):
         return "byte_ranges"
 
     def schema(self) -> str:
-        return "path string, size long, head binary, tail binary, boxes array<struct<kind:string,start:long,length:long>>, bytes_read long, error string"
+        return _ENDS
 
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(dict(self.options))
 
 
+def _inside(root: str) -> Iterator[tuple[str, int, bool, str | None]]:
+    """(path, size, is a folder, error) of what stands in a folder, or of a file; a local folder is never held whole."""
+    try:
+        system, path = _file_system(root)
+        info = system.get_file_info(path)
+        if info.type == pafs.FileType.NotFound:
+            yield root, 0, False, "not found"
+        elif info.is_file:
+            yield root, info.size, False, None
+        else:
+            prefix = root[: len(root) - len(path)] if root.endswith(path) else root.partition("://")[0] + "://" if "://" in root else ""
+            if isinstance(system, pafs.LocalFileSystem):
+                with os.scandir(path) as entries:
+                    each = ((e.path, e.name, e.stat().st_size if e.is_file() else 0, e.is_file(), e.is_dir()) for e in entries)
+                    for at, name, size, is_file, is_folder in each:
+                        if is_folder or is_file and not name.startswith((".", "_")):
+                            yield prefix + at, size, is_folder, None
+            else:
+                for i in system.get_file_info(pafs.FileSelector(path)):
+                    if not i.is_file or not i.base_name.startswith((".", "_")):
+                        yield prefix + i.path, i.size or 0, not i.is_file, None
+    except _ERRORS as error:
+        yield root, 0, False, f"not listed: {type(error).__name__}"
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("is_folder", pa.bool_()), ("error", pa.string())])
+    for batch in batches:
+        found = (row for root in batch.column(0).to_pylist() for row in _inside(root))
+        while some := list(itertools.islice(found, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, size, error) of the files below paths, each once; hidden files are left out.
+
+    Folders are listed in tasks, level by level, and what they hold stays in tables: the driver holds
+    the paths that it is given and nothing that it finds.
+    """
+    folders, levels = spark.createDataFrame([(p,) for p in paths], "path string"), []
+    while True:
+        levels.append(scratch_folder(spark))
+        folders.mapInArrow(_list, "path string, size long, is_folder boolean, error string").write.parquet(levels[-1])
+        below = spark.read.parquet(levels[-1]).where("is_folder").select("path").distinct()
+        n = below.count()
+        if not n:
+            return spark.read.parquet(*levels).where("not is_folder").groupBy("path").agg(F.min("size").alias("size"), F.min("error").alias("error"))
+        folders = below.repartition(min(n, 4 * spark.sparkContext.defaultParallelism), "path")
+
+
 def heads_and_tails(spark: SparkSession, paths: list[str], head: int = HEAD, tail: int = TAIL) -> DataFrame:
-    spark.dataSource.register(ByteRanges)
-    return spark.read.format("byte_ranges").option("paths", json.dumps(paths)).option("head", head).option("tail", tail).load()
+    """What the data source gives, with the listing done now, and in tasks: for folders of any number of files."""
+    folder = scratch_folder(spark)
+    listed(spark, paths).write.parquet(folder)
+    files = spark.read.parquet(folder)
+    n = files.count()
+    tasks = max(1, -(-n // (8 * FILES)), min(spark.sparkContext.defaultParallelism, -(-n // FILES)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            held, size = [], 0
+            for row in (_ends(*f, head, tail) for f in each):
+                held.append(row)
+                size += len(row[2] or b"") + len(row[3] or b"")
+                if size >= 4 << 20:
+                    yield _rows(held)
+                    held, size = [], 0
+            if held:
+                yield _rows(held)
+
+    return files.repartition(tasks, "path").mapInArrow(run, _ENDS)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENDS_ARROW.types, strict=True)], schema=_ENDS_ARROW)
 
 
 def with_ranges(df: DataFrame, ranges: str, name: str = "parts") -> DataFrame:

@@ -113,3 +113,14 @@ def test_files_are_dealt_by_size(tmp_path):
     assert sorted(f[0][-2:] for p in parts for f in p.files) == [f"f{i}" for i in range(7)] and len(parts) == 4
     assert [p.files[0][1] for p in parts] == [700, 600, 500, 400]  # the largest first, one each
     assert all(row[5] == 20 for p in parts for row in reader.read(p))
+
+
+def test_the_driver_lists_no_folder(spark, tmp_path, monkeypatch):
+    """Folders are listed in tasks: deep ones, overlapping roots, hidden names; planning on the driver is not used."""
+    (tmp_path / "a" / "b" / ".h").mkdir(parents=True)
+    for name in ("x", "a/y", "a/b/z", "a/b/.h/in", "a/.hidden", "a/_no"):
+        (tmp_path / name).write_bytes(b"abc")
+    monkeypatch.setattr(probe._Reader, "partitions", lambda self: 1 / 0)
+    roots = [str(tmp_path), str(tmp_path / "a"), str(tmp_path / "x"), str(tmp_path / "gone")]
+    got = sorted((r.path.removeprefix(f"{tmp_path}/"), r.size, r.error, r.head) for r in probe.heads_and_tails(spark, roots).collect())
+    assert got == [(n, 3, None, b"abc") if n != "gone" else (n, 0, "not found", None) for n in ("a/b/.h/in", "a/b/z", "a/y", "gone", "x")]
